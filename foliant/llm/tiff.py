@@ -112,17 +112,17 @@ def lzw_encode(data: bytes) -> bytes:
         put(table[seen])
         table[longer] = fill
         fill += 1
-        if fill == 4094:
+        if fill == 4095:
             put(256)
             table = {bytes((k,)): k for k in range(256)}
             fill, width = 258, 9
-        elif fill + 1 > (1 << width) - 1:
+        elif fill > (1 << width) - 1:
             width += 1
         seen = data[k : k + 1]
     if seen:
         put(table[seen])
         fill += 1
-        if fill + 1 > (1 << width) - 1 and width < 12:
+        if fill > (1 << width) - 1 and width < 12:
             width += 1
     put(257)
     if held:
