@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -34,8 +35,6 @@ from .common import bound_batches
 
 SUFFIX = "</w>"
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Texts are cut at these characters before anything else; no token spans one.
-CUTS = str.maketrans("\n\t\r", "   ")
 
 
 def byte_characters() -> dict[str, int]:
@@ -45,6 +44,25 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Words:
+    """What a tokenizer file of this kind does before BPE: special tokens, normalisation, word pattern."""
+
+    def __init__(self, spec: dict):
+        self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.source = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = regex.compile(self.source.replace("\\s", WHITE))
+
+    def parts(self, piece: str) -> list[str]:
+        """The piece cut at special tokens, which stay as parts of their own."""
+        return self.split_special.split(piece) if self.split_special and "<" in piece else [piece]
+
+    def words(self, part: str) -> list[str]:
+        if not part.isascii():
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+        return self.pattern.findall(part.lower())
+
+
 class Recent(dict):
     """A map from pieces of text to what ``make`` gives for them, of bounded size:
     two generations, of which the older is dropped when the newer is full."""
@@ -58,14 +76,82 @@ class Recent(dict):
         if value is None:
             value = self.make(piece)
         if len(piece) <= self.longest:
-            if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
+            self.age()
             self[piece] = value
         return value
 
+    def age(self) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
+#: Texts of ASCII and composed Latin letters only: there NFC changes nothing, and lower case and letter classes are the same everywhere.
+LATIN = "^[\\x00-\\x7f\u00a1-\u012f\u0131-\u017f]*$"
+
+
+class Encoder:
+    """Encodes arrays of texts. No token spans white space, so each distinct piece of a
+    batch is encoded once: words of Latin texts, which Arrow cuts, lowers and counts,
+    and pieces between ASCII white space of all others."""
+
+    text: Words
+
+    def learn_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words as the pattern gives them."""
+        raise NotImplementedError
+
+    def learn_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without ASCII white space, whatever they hold."""
+        raise NotImplementedError
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts (null: empty), and where each text's ids start and end."""
+        texts = pc.fill_null(texts, "")
+        plain = pc.match_substring_regex(texts, LATIN)
+        for special in self.text.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(texts, special)))
+        ids, ends = _assemble(pc.ascii_split_whitespace(texts.filter(plain)), self._latin)
+        if pc.all(plain).as_py() in (True, None):
+            return ids, ends
+        more, more_ends = _assemble(pc.ascii_split_whitespace(texts.filter(pc.invert(plain))), lambda d: _joined(self.learn_pieces(d.to_pylist())))
+        plain = plain.to_numpy(zero_copy_only=False)
+        start, many = np.empty(len(plain), np.int64), np.empty(len(plain), np.int64)
+        start[plain], many[plain] = ends[:-1], np.diff(ends)
+        start[~plain], many[~plain] = more_ends[:-1] + len(ids), np.diff(more_ends)
+        return _gather(np.concatenate((ids, more)), start, many)
+
+    def _latin(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces of Latin texts and their bounds: pieces of letters are words, others are cut by the pattern."""
+        low = pc.utf8_lower(pieces)
+        mixed = pc.invert(pc.utf8_is_alpha(low))
+        words = "(" + self.text.source.replace("\\s", "\\t-\\r ") + ")"
+        spaced = pc.replace_substring_regex(low.filter(mixed), words, "\\1 ")
+        return _assemble(pc.ascii_split_whitespace(pc.replace_with_mask(low, mixed, spaced)), lambda d: _joined(self.learn_words(d.to_pylist())))
+
 
-class PrefixBPE:
+def _gather(ids: np.ndarray, start: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ids one after the other, and their bounds."""
+    ends = np.concatenate(([0], np.cumsum(many)))
+    return ids[np.repeat(start - ends[:-1], many) + np.arange(ends[-1])], ends
+
+
+def _joined(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    count = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    return np.frombuffer(b"".join(values), "<u4"), np.concatenate(([0], np.cumsum(count)))
+
+
+def _assemble(lists: pa.ListArray, learn: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of lists of strings, each distinct string learned once."""
+    bounds = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
+    coded = lists.flatten().dictionary_encode()
+    ids, edge = learn(coded.dictionary)
+    which = coded.indices.to_numpy()
+    ids, ends = _gather(ids, edge[:-1][which], np.diff(edge)[which])
+    return ids, ends[bounds]
+
+
+class PrefixBPE(Encoder):
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -74,11 +160,9 @@ class PrefixBPE:
         self.tokens = [""] * (1 + max([*vocab.values(), *(a["id"] for a in spec["added_tokens"])]))
         for token, k in vocab.items():
             self.tokens[k] = token
-        self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        for token, k in self.special.items():
+        self.text = Words(spec)
+        for token, k in self.text.special.items():
             self.tokens[k] = token
-        self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", WHITE))
         # merge trees: the merge of rank r makes the token of rank r; single symbols have rank -1
         n = len(self.tokens)
         self.rank, self.left, self.right = [-1] * n, [-1] * n, [-1] * n
@@ -92,7 +176,7 @@ class PrefixBPE:
         byte_of = byte_characters()
         self.automaton = ahocorasick.Automaton()
         for token, k in vocab.items():
-            if token in self.special:
+            if token in self.text.special:
                 continue
             last = token.endswith(SUFFIX) and token != SUFFIX
             body = token[: -len(SUFFIX)] if last else token
@@ -103,7 +187,7 @@ class PrefixBPE:
                 self.automaton.add_word("".join(map(chr, symbols)), (len(symbols), k))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces = Recent(self._piece)
+        self.kept = Recent(self._word, 400_000)
 
     def _boundary_holds(self, a: int, b: int, limit: int) -> bool:
         """Whether BPE keeps a boundary between the expansions of a and b until rank ``limit``.
@@ -145,25 +229,37 @@ class PrefixBPE:
         ids.reverse()
         return ids
 
+    def _word(self, word: str) -> bytes:
+        if not word:
+            return b""
+        raw = word.encode()
+        return np.array(self.encode_symbols(raw[:-1].decode("latin-1") + chr(256 + raw[-1])), "<u4").tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        """Ids of a piece without cuts, as little-endian 32-bit integers."""
-        ids: list[int] = []
-        for part in self.split_special.split(piece) if self.split_special and "<" in piece else (piece,):
-            if part in self.special:
-                ids.append(self.special[part])
-                continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            for word in self.words.findall(part.lower()):
-                raw = word.encode()
-                ids += self.encode_symbols(raw[:-1].decode("latin-1") + chr(256 + raw[-1]))
-        return np.array(ids, "<u4").tobytes()
+        out = []
+        for part in self.text.parts(piece):
+            special = self.text.special.get(part)
+            out += [np.array([special], "<u4").tobytes()] if special is not None else map(self.kept.__getitem__, self.text.words(part))
+        return b"".join(out)
+
+    def learn_words(self, words: list[str]) -> list[bytes]:
+        return list(map(self.kept.__getitem__, words))
+
+    def learn_pieces(self, pieces: list[str]) -> list[bytes]:
+        return list(map(self._piece, pieces))
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_array(pa.array([text]))[0].tolist()
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, text.translate(CUTS).split(" ")))
+    def decode_arrays(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The texts of lists of ids, tokens joined by spaces."""
+        if not hasattr(self, "strings"):
+            self.strings = pa.array(self.tokens, pa.large_string())
+        tokens = self.strings.take(pa.array(ids.astype(np.int64)))
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), tokens), pa.scalar(" ", pa.large_string()))
 
-    def decode(self, ids: bytes) -> str:
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: list[int]) -> str:
+        return " ".join(map(self.tokens.__getitem__, ids))
 
 
 _loaded: dict[str, PrefixBPE] = {}
@@ -176,27 +272,37 @@ def load(path: str) -> PrefixBPE:
     return _loaded[path]
 
 
-def _map_column(df: DataFrame, column: str, out: str, kind: T.DataType, make: Callable[[], Callable]) -> DataFrame:
-    """Replace ``column`` by ``out`` = function of its value, in batches."""
+def _replace(df: DataFrame, column: str, out: str, kind: T.DataType, make: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """Replace ``column`` by ``out`` = function of its values, in batches."""
     bound_batches(df.sparkSession)
     schema = T.StructType([*(f for f in df.schema.fields if f.name != column), T.StructField(out, kind)])
-    arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
         for batch in batches:
             k = batch.schema.get_field_index(column)
-            values = pa.array([f(v) for v in batch.column(k).to_pylist()], arrow)
-            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != k] + [values], names=schema.names)
+            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != k] + [make(batch.column(k))], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def encode_bpe(df: DataFrame, text: str, path: str, out: str = "ids") -> DataFrame:
     """Replace the column ``text`` by ``out``: its ids as little-endian unsigned 32-bit integers (binary)."""
-    return _map_column(df, text, out, T.BinaryType(), lambda: lambda v, m=load(path): m.encode(v or ""))
+
+    def make(texts: pa.Array) -> pa.Array:
+        ids, bounds = load(path).encode_array(texts)
+        raw = ids.astype("<u4").tobytes()
+        edge = (4 * bounds).tolist()
+        return pa.array([raw[a:b] for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
+
+    return _replace(df, text, out, T.BinaryType(), make)
 
 
 def decode_bpe(df: DataFrame, ids: str, path: str, out: str = "decoded") -> DataFrame:
     """Replace the binary column ``ids`` by the text of its tokens; null counts as empty."""
-    return _map_column(df, ids, out, T.StringType(), lambda: lambda v, m=load(path): m.decode(v or b""))
+
+    def make(column: pa.Array) -> pa.Array:
+        raw = [v or b"" for v in column.to_pylist()]
+        bounds = np.concatenate(([0], np.cumsum([len(v) // 4 for v in raw], dtype=np.int64)))
+        return load(path).decode_arrays(np.frombuffer(b"".join(raw), "<u4"), bounds).cast(pa.string())
+
+    return _replace(df, ids, out, T.StringType(), make)

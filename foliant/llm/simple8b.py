@@ -19,6 +19,8 @@ import numpy as np
 #: Selector -> (bits of a value, values in a word); 0 is the escape.
 SELECTORS = {1: (1, 60), 2: (2, 30), 3: (3, 20), 4: (4, 15), 5: (5, 12), 6: (6, 10), 7: (7, 8), 8: (8, 7), 9: (10, 6), 10: (12, 5), 11: (15, 4), 12: (20, 3), 13: (30, 2), 14: (60, 1)}
 _COUNT = np.array([0] + [SELECTORS[s][1] for s in range(1, 15)] + [0], np.int64)
+#: Bits of a value -> the largest selector size that is too small for it.
+_TOO_NARROW = np.array([max([0, *(b for b, _ in SELECTORS.values() if b < k)]) for k in range(66)], np.int8)
 BLOCK = 1 << 14
 MAGIC = b"FOLS8B01"
 _TAIL = struct.Struct("<QQQQQI4x8s")
@@ -30,40 +32,46 @@ def pack_block(values: np.ndarray) -> np.ndarray:
     n = len(v)
     if not n:
         return np.empty(0, np.uint64)
-    width = np.zeros(n, np.int8)
-    for bits in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60):
-        width[v >= np.uint64(1 << bits)] = bits
+    top = int(v.max())
+    width = _TOO_NARROW[np.frexp(v.astype(np.float64))[1]]
     # width is now the largest selector size that does not fit; each selector's reach by a sliding maximum
     best = np.zeros(n, np.int8)
-    for s in range(14, 0, -1):
+    widest = min((s for s, (bits, _) in SELECTORS.items() if not top >> bits), default=15)
+    best[:] = widest % 15  # fits everywhere
+    for s in range(min(widest, 15) - 1, 0, -1):
         bits, many = SELECTORS[s]
-        fits = np.concatenate(([0], np.cumsum(width >= bits)))
+        wide = width >= bits
+        half = max(1, many // 2)  # any full window holds an aligned stretch of half its length
+        if n > many and wide[: n // half * half].reshape(-1, half).any(axis=1).all():
+            continue
+        fits = np.concatenate(([0], np.cumsum(wide, dtype=np.int32)))
         end = np.minimum(np.arange(n) + many, n)
         best[fits[end] == fits[:n]] = s
-    step = np.minimum(_COUNT[best], n - np.arange(n)).tolist()
-    escape = (best == 0).tolist()
-    heads, at, raw = [], 0, False
+    raw = bool((best == 0).any())
+    if raw:  # an escape takes all values up to the next one that fits a selector
+        fits = np.flatnonzero(np.append(best, 1) != 0)
+        after = fits[np.searchsorted(fits, np.arange(n))]
+        follow = np.where(best == 0, after, np.arange(n) + _COUNT[best]).tolist()
+    else:
+        follow = (np.arange(n) + _COUNT[best]).tolist()
+    heads, at = [], 0
     while at < n:
         heads.append(at)
-        if escape[at]:
-            raw = True
-            at += 1
-            while at < n and escape[at]:
-                at += 1
-        else:
-            at += step[at]
+        at = follow[at]
     heads = np.array(heads)
     used = best[heads]
     words = used.astype(np.uint64) << np.uint64(60)
+    padded = np.concatenate((v, np.zeros(60, np.uint64)))
     for s in np.unique(used):
         mine = np.flatnonzero(used == s)
         if s == 0:
             words[mine] = np.diff(np.append(heads, n))[mine].astype(np.uint64)
             continue
         bits, many = SELECTORS[int(s)]
-        where = heads[mine][:, None] + np.arange(many)
-        cut = np.where(where < n, v[np.minimum(where, n - 1)], np.uint64(0))
-        words[mine] |= np.bitwise_or.reduce(cut << (np.arange(many, dtype=np.uint64) * np.uint64(bits)), axis=1)
+        head, made = heads[mine], words[mine]
+        for k in range(many):
+            made |= padded[head + k] << np.uint64(k * bits)
+        words[mine] = made
     if not raw:
         return words
     out, ends = [], np.append(heads[1:], n)

@@ -15,6 +15,7 @@ as it needs. Columns other than the two named are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -27,16 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import CUTS, Recent
+from .bpe import SUFFIX, Encoder, Recent, Words
 from .common import bound_batches, fresh_path, materialise
 from .simple8b import TokenFile, TokenFileWriter
 
 MANIFEST = "part int, piece int, path string, n_docs bigint, n_tokens bigint"
 
 
-class LibraryEncoder:
-    """Ids by the tokenizers library. No token of a file whose pre-tokenizer drops white
-    space spans any, so distinct pieces between white space are encoded once and kept."""
+class LibraryEncoder(Encoder):
+    """Ids by the tokenizers library, for files whose pre-tokenizer drops white space and
+    marks the end of each word: each distinct word is encoded once, many words with spaces
+    between them at a time, and kept."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,26 +47,36 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces = Recent(self._one)
-
-    def _one(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        cut = [t.translate(CUTS).split(" ") for t in texts]
-        kept = self.pieces
-        new = [p for p in set().union(*cut) if p not in kept and p not in kept.old]
-        for lo in range(0, len(new), 50_000):
-            part = new[lo : lo + 50_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                if len(piece) <= kept.longest:
-                    kept[piece] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(kept.__getitem__, c)) for c in cut]
-        if len(kept) > 2 * kept.limit:
-            kept.old = dict(kept)
-            kept.clear()
+        with open(path, encoding="utf-8") as f:
+            self.text = Words(json.load(f))
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith(SUFFIX)]] = True
+        self.kept = Recent(self._alone, 500_000)
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn_words(self, words: list[str]) -> list[bytes]:
+        kept = self.kept
+        new = [w for w in words if w not in kept and w not in kept.old and len(w) <= kept.longest]
+        for lo in range(0, len(new), 200):
+            part = new[lo : lo + 200]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stop = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stop) != len(part):  # a word that the library cuts otherwise: one by one
+                kept.update((w, self._alone(w)) for w in part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for word, to in zip(part, stop, strict=True):
+                kept[word] = raw[at:to]
+                at = to
+        out = list(map(kept.__getitem__, words))
+        kept.age()
         return out
 
+    def learn_pieces(self, pieces: list[str]) -> list[bytes]:
+        return [self._alone(p) for p in pieces]
+
 
 _encoders: dict[str, LibraryEncoder] = {}
 
@@ -95,16 +107,16 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None,
             store.move(hidden, path)
             return pa.RecordBatch.from_pylist([{"part": part, "piece": piece, "path": path, "n_docs": len(writer.ids), "n_tokens": writer.n_values}], schema=pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        end = np.array([] if end_id is None else [end_id], "<u4")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                docs, texts = (c.to_pylist() for c in batch.slice(lo, 500).columns[:2])
-                for doc, ids in zip(docs, encoder.encode_many([t or "" for t in texts]), strict=True):
-                    writer = writer or TokenFileWriter()
-                    writer.add(doc, np.frombuffer(ids + end, "<u4"))
-                    if writer.n_values >= file_tokens:
-                        yield close()
-                        writer, piece = None, piece + 1
+            ids, bounds = encoder.encode_array(batch.column(1))
+            edge = bounds.tolist()
+            for k, doc in enumerate(batch.column(0).to_pylist()):
+                writer = writer or TokenFileWriter()
+                writer.add(doc, np.concatenate((ids[edge[k] : edge[k + 1]], end)))
+                if writer.n_values >= file_tokens:
+                    yield close()
+                    writer, piece = None, piece + 1
         if writer:
             yield close()
 
