@@ -109,7 +109,7 @@ class LanguageModel:
         return self.languages[k], float(p[k]), bool(p[k] >= self.level)
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 8, rate: float = 0.5, apart: float = 0.2, right: float = 0.99, seed: int = 11) -> LanguageModel:
+def train(texts: list[str], labels: list[str], epochs: int = 8, rate: float = 0.2, apart: float = 0.2, right: float = 0.99, seed: int = 11) -> LanguageModel:
     """Fit a model; the last ``apart`` of the rows, shuffled, set temperature and level."""
     rows = [(s, y) for t, y in zip(texts, labels, strict=True) if len(s := subwords(t or ""))]
     languages = sorted({y for _, y in rows})
@@ -137,7 +137,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 8, rate: float = 0.
             back = weight @ p
             weight -= step * np.outer(hidden, p)
             bias -= step * p
-            np.add.at(embed, at, -step * back)
+            np.add.at(embed, at, -step * back / len(at) ** 0.5)  # short and long texts move their subwords alike
             done += 1
     model = LanguageModel(languages, (embed @ weight).astype(np.float32), bias)
     if held:
