@@ -1,6 +1,6 @@
 """All queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import op1, op2, op3, op4, op5, op7, op9
+from . import op1, op10, op2, op3, op4, op5, op7, op9
 
 QUERIES = {
     "op1_tiff": op1.op1_tiff,
@@ -10,5 +10,6 @@ QUERIES = {
     "op5_order_minhash": op5.op5_order_minhash,
     "op7_bpe": op7.op7_bpe,
     "op9_langid": op9.op9_langid,
+    "op10_crf": op10.op10_crf,
 }
 ORACLE_SQL = {"op2_chat": op2.SQL, "op3_sorted_projections": op3.SQL}
