@@ -10,11 +10,12 @@ more, by an alignment inside the band of the edits allowed.
 Work follows links, not pairs: exact copies are one class; each key first pairs its
 members with its smallest one, links are united, and only members of a key that are
 still in different components are compared further (in blocks of bounded size, each
-pair at the first key it shares, if it shares two at least). A key whose members
-are copies of one text costs one comparison for each.
+pair at the first key it shares, if it shares four of the 24 at least). A key whose
+members are copies of one text costs one comparison for each; texts that share a
+passage only, but not most of their k-mers, rarely share four keys.
 
 Chance of missing a pair of k-mer similarity 0.8, at 24 sketches of 3: 3e-8 for a
-shared key with the smallest member, 1e-6 for two shared keys.
+shared key with the smallest member, 9e-5 for four shared keys.
 
 Defined cases: null texts and texts without words link with nothing and are classes
 of their own; rows with equal ids are one document if their texts are equal, else
@@ -36,6 +37,8 @@ from .common import bound_batches, materialise
 from .graph import components
 
 K, SKETCHES, SAMPLE, SIMILARITY = 5, 24, 3, 0.8
+#: Keys that a pair must share to be compared, unless one of the two is the smallest member of a key.
+SHARED = 4
 BLOCK = 1024
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -203,7 +206,7 @@ def near_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "words", "component", "keys")
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of one block against another: near in size, of different components, two keys shared, this one the first."""
+        """Pairs of one block against another: near in size, of different components, SHARED keys in common, this one the first."""
         key, x, y = int(pdf["key"].iloc[0]), int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
         p, q = pdf[pdf["own"] == x], pdf[pdf["own"] == y]
         out = []
@@ -216,7 +219,7 @@ def near_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
                 at = np.flatnonzero(ok)
                 same = other[at] == np.asarray(row.keys)
                 first_key = np.asarray(row.keys)[np.argmax(same, axis=1)] if len(at) else np.empty(0, np.int64)
-                hit = at[(same.sum(axis=1) >= min(2, sketches)) & (first_key == key)]
+                hit = at[(same.sum(axis=1) >= SHARED) & (first_key == key)]
                 out += [(max(row.node, o), min(row.node, o)) for o in node[hit].tolist()]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
