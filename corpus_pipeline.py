@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.bpe import decode_bpe, encode_bpe
+from foliant.llm.bpe import encode_bpe
 from foliant.llm.common import materialise, table
 from foliant.llm.crf import score_quality
 from foliant.llm.mixing import mix_draws, mixed
@@ -52,9 +52,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row (little-endian unsigned 32-bit integers), and digests of the ids and of the decoded text."""
     path = public_tokenizers.path(VOCABULARY)
-    ids = encode_bpe(docs.select("doc_id", "source", "text"), "text", path)
-    ids = ids.select("doc_id", "source", *digests(ids["ids"]), "ids", F.col("ids").alias("again"))
-    return decode_bpe(ids, "again", path).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    coded = encode_bpe(docs.select("doc_id", "source", "text"), "text", path, decoded="decoded")
+    return coded.select("doc_id", "source", *digests(coded["ids"]), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -157,14 +157,9 @@ class PrefixBPE(Encoder):
             spec = json.load(f)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
-        self.tokens = [""] * (1 + max([*vocab.values(), *(a["id"] for a in spec["added_tokens"])]))
-        for token, k in vocab.items():
-            self.tokens[k] = token
         self.text = Words(spec)
-        for token, k in self.text.special.items():
-            self.tokens[k] = token
         # merge trees: the merge of rank r makes the token of rank r; single symbols have rank -1
-        n = len(self.tokens)
+        n = 1 + max(vocab.values())
         self.rank, self.left, self.right = [-1] * n, [-1] * n, [-1] * n
         self.merge: dict[tuple[int, int], int] = {}
         for r, pair in enumerate(model["merges"]):
@@ -186,8 +181,8 @@ class PrefixBPE(Encoder):
             if self.rank[k] < 0 or self._boundary_holds(self.left[k], self.right[k], self.rank[k]):
                 self.automaton.add_word("".join(map(chr, symbols)), (len(symbols), k))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.kept = Recent(self._word, 400_000)
+        self.pairs: dict[int, bool] = {}
+        self.kept = Recent(self._word, 120_000)
 
     def _boundary_holds(self, a: int, b: int, limit: int) -> bool:
         """Whether BPE keeps a boundary between the expansions of a and b until rank ``limit``.
@@ -205,11 +200,12 @@ class PrefixBPE(Encoder):
                 limit, b = rank[b] + 1, self.left[b]
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        key = a << 24 | b
+        known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) >= 300_000:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._boundary_holds(a, b, 1 << 60)
+            known = self.pairs[key] = self._boundary_holds(a, b, 1 << 60)
         return known
 
     def encode_symbols(self, symbols: str) -> list[int]:
@@ -251,58 +247,86 @@ class PrefixBPE(Encoder):
     def encode(self, text: str) -> list[int]:
         return self.encode_array(pa.array([text]))[0].tolist()
 
+class Vocabulary:
+    """Token strings only, for decoding."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        ids = dict(spec["model"]["vocab"]) | {a["content"]: a["id"] for a in spec["added_tokens"]}
+        tokens = [""] * (1 + max(ids.values()))
+        for token, k in ids.items():
+            tokens[k] = token
+        self.strings = pa.array(tokens, pa.large_string())
+
     def decode_arrays(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
-        """The texts of lists of ids, tokens joined by spaces."""
-        if not hasattr(self, "strings"):
-            self.strings = pa.array(self.tokens, pa.large_string())
+        """The texts of lists of ids: tokens joined by spaces."""
         tokens = self.strings.take(pa.array(ids.astype(np.int64)))
-        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), tokens), pa.scalar(" ", pa.large_string()))
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), tokens), pa.scalar(" ", pa.large_string())).cast(pa.string())
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.tokens.__getitem__, ids))
+        return self.decode_arrays(np.array(ids), np.array([0, len(ids)]))[0].as_py()
+
+
+_loaded: dict[tuple[type, str], object] = {}
+
+#: Characters of text encoded at a time, whatever the size of the batch.
+SLICE = 2 << 20
 
 
-_loaded: dict[str, PrefixBPE] = {}
+def load(path: str, kind: type = PrefixBPE):
+    """One model of a kind for each path and worker process."""
+    if (kind, path) not in _loaded:
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
 
 
-def load(path: str) -> PrefixBPE:
-    """One model for each path and worker process."""
-    if path not in _loaded:
-        _loaded[path] = PrefixBPE(path)
-    return _loaded[path]
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose values in a column have few bytes together, a row at least."""
+    if not batch.num_rows:
+        return
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
-def _replace(df: DataFrame, column: str, out: str, kind: T.DataType, make: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """Replace ``column`` by ``out`` = function of its values, in batches."""
+def _replace(df: DataFrame, column: str, out: dict[str, T.DataType], make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """Replace ``column`` by columns made of its values, slice by slice."""
     bound_batches(df.sparkSession)
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != column), T.StructField(out, kind)])
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != column), *(T.StructField(n, t) for n, t in out.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index(column)
-            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != k] + [make(batch.column(k))], names=schema.names)
+            for part in slices(batch, k):
+                yield pa.RecordBatch.from_arrays([c for i, c in enumerate(part.columns) if i != k] + make(part.column(k)), names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def encode_bpe(df: DataFrame, text: str, path: str, out: str = "ids") -> DataFrame:
-    """Replace the column ``text`` by ``out``: its ids as little-endian unsigned 32-bit integers (binary)."""
+def encode_bpe(df: DataFrame, text: str, path: str, out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Replace the column ``text`` by ``out``: its ids as little-endian unsigned 32-bit integers
+    (binary), and, if ``decoded`` names a column, by the text that those ids decode to."""
 
-    def make(texts: pa.Array) -> pa.Array:
+    def make(texts: pa.Array) -> list[pa.Array]:
         ids, bounds = load(path).encode_array(texts)
         raw = ids.astype("<u4").tobytes()
         edge = (4 * bounds).tolist()
-        return pa.array([raw[a:b] for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
+        packed = pa.array([raw[a:b] for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
+        return [packed, load(path, Vocabulary).decode_arrays(ids, bounds)] if decoded else [packed]
 
-    return _replace(df, text, out, T.BinaryType(), make)
+    return _replace(df, text, {out: T.BinaryType()} | ({decoded: T.StringType()} if decoded else {}), make)
 
 
 def decode_bpe(df: DataFrame, ids: str, path: str, out: str = "decoded") -> DataFrame:
     """Replace the binary column ``ids`` by the text of its tokens; null counts as empty."""
 
-    def make(column: pa.Array) -> pa.Array:
+    def make(column: pa.Array) -> list[pa.Array]:
         raw = [v or b"" for v in column.to_pylist()]
         bounds = np.concatenate(([0], np.cumsum([len(v) // 4 for v in raw], dtype=np.int64)))
-        return load(path).decode_arrays(np.frombuffer(b"".join(raw), "<u4"), bounds).cast(pa.string())
+        return [load(path, Vocabulary).decode_arrays(np.frombuffer(b"".join(raw), "<u4"), bounds)]
 
-    return _replace(df, ids, out, T.StringType(), make)
+    return _replace(df, ids, {out: T.StringType()}, make)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import decode_bpe, encode_bpe
+from .bpe import encode_bpe
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -18,6 +18,5 @@ def digests(ids: Column) -> list[Column]:
 
 def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(VOCABULARY)
-    ids = encode_bpe(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", path)
-    back = decode_bpe(ids.select("doc_id", *digests(ids["ids"]), "ids"), "ids", path)
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode_bpe(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", path, decoded="decoded")
+    return coded.select("doc_id", *digests(coded["ids"]), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import SUFFIX, Encoder, Recent, Words
+from .bpe import SUFFIX, Encoder, Recent, Words, slices
 from .common import bound_batches, fresh_path, materialise
 from .simple8b import TokenFile, TokenFileWriter
 
@@ -108,10 +108,10 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None,
             return pa.RecordBatch.from_pylist([{"part": part, "piece": piece, "path": path, "n_docs": len(writer.ids), "n_tokens": writer.n_values}], schema=pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         end = np.array([] if end_id is None else [end_id], "<u4")
-        for batch in batches:
-            ids, bounds = encoder.encode_array(batch.column(1))
+        for part_of in (p for batch in batches for p in slices(batch, 1, 6 << 20)):
+            ids, bounds = encoder.encode_array(part_of.column(1))
             edge = bounds.tolist()
-            for k, doc in enumerate(batch.column(0).to_pylist()):
+            for k, doc in enumerate(part_of.column(0).to_pylist()):
                 writer = writer or TokenFileWriter()
                 writer.add(doc, np.concatenate((ids[edge[k] : edge[k + 1]], end)))
                 if writer.n_values >= file_tokens:
