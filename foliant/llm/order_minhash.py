@@ -8,14 +8,14 @@ they link where word edit similarity, 1 - edits / words of the longer, is 0.8 or
 more, by an alignment inside the band of the edits allowed.
 
 Work follows links, not pairs: exact copies are one class; each key first pairs its
-members with its smallest one, links are united, and only members of a key that are
-still in different components are compared further (in blocks of bounded size, each
-pair at the first key it shares, if it shares four of the 24 at least). A key whose
-members are copies of one text costs one comparison for each; texts that share a
-passage only, but not most of their k-mers, rarely share four keys.
+members with its smallest one, and links are united, so that a key whose members are
+copies of one text costs one comparison for each. Members of a key that are then
+still in different components are compared if they share one of their rarest
+k-mers, as any pair of k-mer similarity 0.8 must; texts with a common passage do not.
 
-Chance of missing a pair of k-mer similarity 0.8, at 24 sketches of 3: 3e-8 for a
-shared key with the smallest member, 9e-5 for four shared keys.
+Candidates are complete for k-mer similarity 0.8 but for the chance of sharing no
+key, 3e-8 at 24 sketches of 3. Pairs that edits leave with fewer common k-mers, down
+to edit similarity 0.8, are mostly found too, by the keys of their smallest member.
 
 Defined cases: null texts and texts without words link with nothing and are classes
 of their own; rows with equal ids are one document if their texts are equal, else
@@ -28,18 +28,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, materialise
 from .graph import components
 
 K, SKETCHES, SAMPLE, SIMILARITY = 5, 24, 3, 0.8
-#: Keys that a pair must share to be compared, unless one of the two is the smallest member of a key.
-SHARED = 4
-BLOCK = 1024
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -196,35 +192,12 @@ def near_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     first = _verify(materialise(stars, "stars"), classes, docs, least)
     found = components(first)
 
-    # members of a key in different components yet
+    # members of a key in different components yet: compared where they share one of their rarest k-mers
     labels = found.select("node", "component")
     left = shared.select("key", "node", "words").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    left = materialise(left.join(mixed, "key").join(classes.select("node", "keys"), "node"), "mixed")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "words", "component", "keys")
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of one block against another: near in size, of different components, SHARED keys in common, this one the first."""
-        key, x, y = int(pdf["key"].iloc[0]), int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-        p, q = pdf[pdf["own"] == x], pdf[pdf["own"] == y]
-        out = []
-        if len(p) and len(q):
-            other = np.stack(q["keys"].to_numpy())
-            size, comp, node = q["words"].to_numpy(), q["component"].to_numpy(), q["node"].to_numpy()
-            for row in p.itertuples():
-                ok = (comp != row.component) & (np.minimum(size, row.words) >= np.maximum(size, row.words) * (least - 1e-9))
-                ok &= (node < row.node) if x == y else True
-                at = np.flatnonzero(ok)
-                same = other[at] == np.asarray(row.keys)
-                first_key = np.asarray(row.keys)[np.argmax(same, axis=1)] if len(at) else np.empty(0, np.int64)
-                hit = at[(same.sum(axis=1) >= SHARED) & (first_key == key)]
-                out += [(max(row.node, o), min(row.node, o)) for o in node[hit].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    rest = dealt.groupBy("key", "x", "y").applyInPandas(pairs, "a bigint, b bigint").distinct()
-    second = _verify(materialise(rest, "rest"), classes, docs, least)
+    mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    rest = materialise(left.join(mixed, "key").select("node", "words", "component").distinct(), "mixed")
+    second = _verify(materialise(_rare_pairs(rest, classes, docs, k, least), "rest"), classes, docs, least)
     links = first.unionByName(second)
     final = components(links)
     named = classes.join(final, "node", "left").select("digest", "copies", "first", F.coalesce("component", "node").alias("component"))
@@ -236,18 +209,48 @@ def near_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     return known.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
 
 
+def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text), from the document that gave the class its first id."""
+    wanted = nodes.join(classes.select("node", "digest", "first"), "node")
+    return docs.join(wanted, (docs["digest"] == wanted["digest"]) & docs["doc_id"].eqNullSafe(wanted["first"])).select("node", "text").dropDuplicates(["node"])
+
+
+def _rare_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, words, component) of different components that can have
+    k-mer similarity ``least``: with n k-mers each, ordered from rare to common, they must
+    share one of the first n - least * n + 1. Texts that share a common passage only, however
+    long, share none of these; so pairs follow similarity and not the size of such a group."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h = kmer_hashes(word_hashes(text or ""), k).view(np.int64)
+                for lo in range(0, len(h), 100_000):
+                    cut = h[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), node)), pa.array(cut), pa.array(np.full(len(cut), len(h), np.int32))], names=["node", "kmer", "n"])
+
+    kmers = materialise(_texts(rest.select("node"), classes, docs).mapInArrow(explode, "node bigint, kmer bigint, n int"), "kmers")
+    counts = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "kmer"))
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1
+    rare = kmers.join(counts, "kmer").withColumn("rank", rank).where((F.col("rank") <= first) & (F.col("df") > 1)).select("node", "kmer")
+    rare = materialise(rare.join(rest, "node").select("kmer", "node", "words", "component"), "rare")
+    p, q = rare.alias("p"), rare.alias("q")
+    sizes = F.least("p.words", "q.words") >= F.greatest("p.words", "q.words") * (least - 1e-9)
+    joined = p.join(q, (F.col("p.kmer") == F.col("q.kmer")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.component") != F.col("q.component")) & sizes)
+    return joined.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+
+
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar; a written table."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(classes.select("node", "digest", "first"), "node")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seqs = [word_hashes(t or "").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seqs, pa.binary())], names=["node", "seq"])
 
-    texts = docs.join(wanted, (docs["digest"] == wanted["digest"]) & docs["doc_id"].eqNullSafe(wanted["first"])).select("node", "text")
-    seqs = materialise(texts.mapInArrow(hashes, "node bigint, seq binary").dropDuplicates(["node"]), "words")
+    seqs = materialise(_texts(nodes, classes, docs).mapInArrow(hashes, "node bigint, seq binary"), "words")
     joined = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("sa")), "a").join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("sb")), "b")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
