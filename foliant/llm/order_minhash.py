@@ -10,11 +10,12 @@ more, by an alignment inside the band of the edits allowed.
 Work follows links, not pairs: exact copies are one class; each key first pairs its
 members with its smallest one, and links are united, so that a key whose members are
 copies of one text costs one comparison for each. Members of a key that are then
-still in different components are compared if they share one of their rarest
-k-mers, as any pair of k-mer similarity 0.8 must; texts with a common passage do not.
+still in different components are compared if both have four such keys at least and
+their rare parts, without k-mers that many components hold, agree in one of 24 smallest
+k-mers; texts that only have a passage in common do not.
 
-Candidates are complete for k-mer similarity 0.8 but for the chance of sharing no
-key, 3e-8 at 24 sketches of 3. Pairs that edits leave with fewer common k-mers, down
+Candidates are complete for k-mer similarity 0.8 but for the chance of sharing fewer
+than four keys of 24, 9e-5. Pairs that edits leave with fewer common k-mers, down
 to edit similarity 0.8, are mostly found too, by the keys of their smallest member.
 
 Defined cases: null texts and texts without words link with nothing and are classes
@@ -29,13 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, materialise
 from .graph import components
 
 K, SKETCHES, SAMPLE, SIMILARITY = 5, 24, 3, 0.8
+#: Keys that a text must share with texts of other components to be compared once more.
+SHARED = 4
+#: Texts sampled to tell common k-mers, and components that hold a common one there.
+SAMPLED, FEW = 1000, 3
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -196,8 +201,9 @@ def near_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     labels = found.select("node", "component")
     left = shared.select("key", "node", "words").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = materialise(left.join(mixed, "key").select("node", "words", "component").distinct(), "mixed")
-    second = _verify(materialise(_rare_pairs(rest, classes, docs, k, least), "rest"), classes, docs, least)
+    several = left.join(mixed, "key").groupBy("node", "words", "component").agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") >= min(SHARED, sketches))
+    rest = materialise(several.drop("keys"), "mixed")
+    second = _verify(materialise(_rare_pairs(rest, classes, docs, k, least, sketches), "rest"), classes, docs, least)
     links = first.unionByName(second)
     final = components(links)
     named = classes.join(final, "node", "left").select("digest", "copies", "first", F.coalesce("component", "node").alias("component"))
@@ -215,29 +221,49 @@ def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(wanted, (docs["digest"] == wanted["digest"]) & docs["doc_id"].eqNullSafe(wanted["first"])).select("node", "text").dropDuplicates(["node"])
 
 
-def _rare_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
-    """Pairs (a, b) of nodes (node, words, component) of different components that can have
-    k-mer similarity ``least``: with n k-mers each, ordered from rare to common, they must
-    share one of the first n - least * n + 1. Texts that share a common passage only, however
-    long, share none of these; so pairs follow similarity and not the size of such a group."""
+def _rare_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float, sketches: int) -> DataFrame:
+    """Pairs (a, b) of nodes (node, words, component) of different components that agree in
+    one of ``sketches`` smallest k-mers of their rare part.
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Common k-mers are those that FEW components hold in a sample of SAMPLED texts. Two texts
+    of k-mer similarity 0.8 whose common part is 80 % of them have a rare part of similarity
+    0.29, and miss each other with a chance of 3e-4 at 24 sketches; with less in common it
+    falls fast. Texts that share a common passage only, however long, do not agree, so
+    pairs follow similarity and not the size of such a group. Where nearly all of a text is
+    common its whole counts."""
+    spark = rest.sparkSession
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seqs = [kmer_hashes(word_hashes(t or ""), k).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seqs, pa.binary())], names=["node", "kmers"])
+
+    kmers = _texts(rest.select("node"), classes, docs).mapInArrow(hashes, "node bigint, kmers binary")
+    kmers = materialise(kmers.join(rest, "node").select("node", "words", "component", "kmers"), "kmers")
+    share = int((1 << 32) * min(1.0, SAMPLED / max(1, kmers.count())))
+    sample = kmers.where(F.pmod(F.xxhash64("node"), F.lit(1 << 32)) < share).select("component", "kmers").limit(2 * SAMPLED).collect()
+    held: dict[int, list[np.ndarray]] = {}
+    for component, raw in sample:
+        held.setdefault(component, []).append(np.frombuffer(raw, np.uint64))
+    value, count = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.unique(np.concatenate(h)) for h in held.values())]), return_counts=True)
+    common = spark.sparkContext.broadcast(value[count >= FEW])  # of SAMPLED texts: bounded
+
+    def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = common.value
         for b in batches:
-            for node, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = kmer_hashes(word_hashes(text or ""), k).view(np.int64)
-                for lo in range(0, len(h), 100_000):
-                    cut = h[lo : lo + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), node)), pa.array(cut), pa.array(np.full(len(cut), len(h), np.int32))], names=["node", "kmer", "n"])
-
-    kmers = materialise(_texts(rest.select("node"), classes, docs).mapInArrow(explode, "node bigint, kmer bigint, n int"), "kmers")
-    counts = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "kmer"))
-    first = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1
-    rare = kmers.join(counts, "kmer").withColumn("rank", rank).where((F.col("rank") <= first) & (F.col("df") > 1)).select("node", "kmer")
-    rare = materialise(rare.join(rest, "node").select("kmer", "node", "words", "component"), "rare")
-    p, q = rare.alias("p"), rare.alias("q")
+            keys = []
+            for raw in b.column(3).to_pylist():
+                h = np.frombuffer(raw, np.uint64)
+                at = np.minimum(np.searchsorted(often, h), max(0, len(often) - 1))
+                rare = h[often[at] != h] if len(often) else h
+                keys.append(order_sketch(rare if len(rare) * 20 > len(h) else h, sketches, 1).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(keys, pa.list_(pa.int64()))], names=["node", "words", "component", "keys"])
+
+    keyed = kmers.mapInArrow(minima, "node bigint, words int, component bigint, keys array<bigint>").select("node", "words", "component", F.explode("keys").alias("key"))
+    keyed = materialise(keyed, "rare")
+    p, q = keyed.alias("p"), keyed.alias("q")
     sizes = F.least("p.words", "q.words") >= F.greatest("p.words", "q.words") * (least - 1e-9)
-    joined = p.join(q, (F.col("p.kmer") == F.col("q.kmer")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.component") != F.col("q.component")) & sizes)
+    joined = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.component") != F.col("q.component")) & sizes)
     return joined.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
 
 
