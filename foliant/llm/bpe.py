@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, lean
 
 SUFFIX = "</w>"
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -271,7 +271,7 @@ class Vocabulary:
 _loaded: dict[tuple[type, str], object] = {}
 
 #: Characters of text encoded at a time, whatever the size of the batch.
-SLICE = 2 << 20
+SLICE = 3 << 19
 
 
 def load(path: str, kind: type = PrefixBPE):
@@ -304,7 +304,7 @@ def _replace(df: DataFrame, column: str, out: dict[str, T.DataType], make: Calla
             for part in slices(batch, k):
                 yield pa.RecordBatch.from_arrays([c for i, c in enumerate(part.columns) if i != k] + make(part.column(k)), names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def encode_bpe(df: DataFrame, text: str, path: str, out: str = "ids", decoded: str | None = None) -> DataFrame:

@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, lean
 from .order_minhash import _power, mix
 
 PER_LABEL = 1500
 BINS = 8
 #: Bytes handled at once when features of many texts are made.
-CHUNK = 2 << 20
+CHUNK = 256 << 10
 
 # Classes of bytes: 0 space, 1 lower-case letter, 2 capital, 3 digit, 4 full stop and comma,
 # 5 exclamation and question mark, 6 bar, 7 other sign, 8 first byte of a longer character, 9 its other bytes.
@@ -89,6 +89,24 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return out, chars, np.bincount(of_text, minlength=len(texts))
 
 
+def chunked_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features of any number of texts, CHUNK bytes at a time."""
+    parts = [line_features(texts[lo:hi]) for lo, hi in _chunks(texts)]
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.empty((0, N_FEATURES)), np.empty(0), np.empty(0, np.int64))
+
+
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of CHUNK bytes together, or one longer text."""
+    lo = 0
+    while lo < len(texts):
+        hi, held = lo, 0
+        while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= CHUNK):
+            held += len(texts[hi]) + 1
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
 def _seen(h: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Whether the same value came before in its group."""
     order = np.lexsort((h, group))
@@ -185,7 +203,7 @@ def train(texts: list[bytes], labels: list[int], prior: float | None = None, epo
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     held, fit = order[: int(apart * len(order))], order[int(apart * len(order)) :]
-    features, _, per_text = line_features([texts[i] for i in fit])
+    features, _, per_text = chunked_features([texts[i] for i in fit])
     edges = np.stack([np.quantile(features[:, k], np.linspace(0, 1, BINS + 1)[1:-1]) for k in range(N_FEATURES)])
     model = QualityModel(edges, np.zeros((3, N_FEATURES, BINS)), np.zeros((2, 2)), 0.0, (1.0, 0.0), rate_of_good)
     bins = model.bins(features)
@@ -224,7 +242,7 @@ def train(texts: list[bytes], labels: list[int], prior: float | None = None, epo
             else:
                 model.bias += float(move)
     held = held if len(held) else fit
-    features, chars, per_text = line_features([texts[i] for i in held])
+    features, chars, per_text = chunked_features([texts[i] for i in held])
     mean = np.clip(_weighted(model.marginals(model.unary(model.bins(features), per_text), per_text)[0], chars, per_text), 1e-6, 1 - 1e-6)
     slope, offset = _logistic(np.log(mean / (1 - mean)), y[held])
     odds = lambda p: np.log(p / (1 - p))
@@ -275,14 +293,7 @@ def score_quality(df: DataFrame, model: QualityModel, text: str = "text", keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or b"" for t in b.column(b.num_columns - 1).to_pylist()]
-            scores, lo = [], 0
-            while lo < len(texts):
-                hi, held = lo, 0
-                while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= CHUNK):
-                    held += len(texts[hi]) + 1
-                    hi += 1
-                scores.append(model.score(texts[lo:hi]))
-                lo = hi
+            scores = [model.score(texts[lo:hi]) for lo, hi in _chunks(texts)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate([*scores, np.empty(0)]), pa.float64())], names=schema.names)
 
-    return df.select(*keep, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).cast("binary").alias("__text")).mapInArrow(lean(run), schema)

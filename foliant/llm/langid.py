@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, lean
 
 BUCKETS, WIDTH, LONGEST = 1 << 16, 16, 4
 UNKNOWN = "und"
@@ -190,4 +190,4 @@ def detect_language(df: DataFrame, model: LanguageModel, text: str = "text", kee
             got = [model.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())], names=schema.names)
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(lean(run), schema)

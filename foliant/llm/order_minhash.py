@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise
+from .common import bound_batches, lean, materialise
 from .graph import components
 
 K, SKETCHES, SAMPLE, SIMILARITY = 5, 24, 3, 0.8
@@ -185,7 +185,7 @@ def near_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int32()), lists], names=["doc_id", "digest", "words", "keys"])
 
-    rows = materialise(docs.select("doc_id", "digest", "text").mapInArrow(sketch, "doc_id bigint, digest binary, words int, keys array<bigint>"), "sketches")
+    rows = materialise(docs.select("doc_id", "digest", "text").mapInArrow(lean(sketch), "doc_id bigint, digest binary, words int, keys array<bigint>"), "sketches")
     # exact copies are one class: (node, digest, first doc_id, words, keys)
     classes = rows.where("words > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("words").alias("words"), F.any_value("keys").alias("keys"))
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
@@ -238,7 +238,7 @@ def _rare_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, k: int, le
             seqs = [kmer_hashes(word_hashes(t or ""), k).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seqs, pa.binary())], names=["node", "kmers"])
 
-    kmers = _texts(rest.select("node"), classes, docs).mapInArrow(hashes, "node bigint, kmers binary")
+    kmers = _texts(rest.select("node"), classes, docs).mapInArrow(lean(hashes), "node bigint, kmers binary")
     kmers = materialise(kmers.join(rest, "node").select("node", "words", "component", "kmers"), "kmers")
     share = int((1 << 32) * min(1.0, SAMPLED / max(1, kmers.count())))
     sample = kmers.where(F.pmod(F.xxhash64("node"), F.lit(1 << 32)) < share).select("component", "kmers").limit(2 * SAMPLED).collect()
@@ -259,7 +259,7 @@ def _rare_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, k: int, le
                 keys.append(order_sketch(rare if len(rare) * 20 > len(h) else h, sketches, 1).view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(keys, pa.list_(pa.int64()))], names=["node", "words", "component", "keys"])
 
-    keyed = kmers.mapInArrow(minima, "node bigint, words int, component bigint, keys array<bigint>").select("node", "words", "component", F.explode("keys").alias("key"))
+    keyed = kmers.mapInArrow(lean(minima), "node bigint, words int, component bigint, keys array<bigint>").select("node", "words", "component", F.explode("keys").alias("key"))
     keyed = materialise(keyed, "rare")
     p, q = keyed.alias("p"), keyed.alias("q")
     sizes = F.least("p.words", "q.words") >= F.greatest("p.words", "q.words") * (least - 1e-9)
@@ -276,7 +276,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float)
             seqs = [word_hashes(t or "").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seqs, pa.binary())], names=["node", "seq"])
 
-    seqs = materialise(_texts(nodes, classes, docs).mapInArrow(hashes, "node bigint, seq binary"), "words")
+    seqs = materialise(_texts(nodes, classes, docs).mapInArrow(lean(hashes), "node bigint, seq binary"), "words")
     joined = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("sa")), "a").join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("sb")), "b")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,4 +284,4 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float)
             ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return materialise(joined.select("a", "b", "sa", "sb").mapInArrow(keep, "a bigint, b bigint"), "similar")
+    return materialise(joined.select("a", "b", "sa", "sb").mapInArrow(lean(keep), "a bigint, b bigint"), "similar")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise
+from .common import bound_batches, lean, materialise
 from .graph import LocalUnion, components
 
 BLOCK = 2048
@@ -78,7 +78,7 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
                     raw = [x.tobytes() for x in u]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lo, np.int32)), g.take(take), pa.array(np.full(len(at), dim, np.int32)), pa.array(key[:, lo]), row.take(take), pa.array(raw, pa.binary())], names=["pass", "grp", "dim", "key", "row", "u"])
 
-    keyed = good.select("row", "grp", "v").mapInArrow(keys, f"pass int, grp {grp}, dim int, key bigint, row bigint, u binary")
+    keyed = good.select("row", "grp", "v").mapInArrow(lean(keys), f"pass int, grp {grp}, dim int, key bigint, row bigint, u binary")
     order = ["pass", "grp", "dim", "key", "row"]
     names = ["part", "head", "a", "b", "u"]
     edge_schema = "part int, head boolean, a bigint, b bigint, u binary"
@@ -110,7 +110,7 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
             cols = list(zip(*out[lo : lo + 10_000], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
 
-    scanned = materialise(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan, edge_schema), "window")
+    scanned = materialise(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(scan), edge_schema), "window")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         """The last vectors of one task against the first of the next."""
@@ -156,7 +156,7 @@ def _count_links(members: DataFrame, threshold: float) -> DataFrame:
         return pd.DataFrame({"component": [pdf["component"].iloc[0]], "mean": [s.tolist()]})
 
     # sums of each batch first, so that one row for each batch of a component at most is shuffled
-    sums = members.select("component", "v").mapInArrow(partial, "component bigint, s binary")
+    sums = members.select("component", "v").mapInArrow(lean(partial), "component bigint, s binary")
     mean = sums.groupBy("component").applyInPandas(total, "component bigint, mean array<double>")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +172,7 @@ def _count_links(members: DataFrame, threshold: float) -> DataFrame:
                 inner.append(bool(n > 0 and m @ v / n >= half))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(inner)], names=["row", "component", "v", "inner"])
 
-    marked = members.select("row", "component", "v").join(mean, "component").select("row", "component", "v", "mean").mapInArrow(mark, "row bigint, component bigint, v array<double>, inner boolean")
+    marked = members.select("row", "component", "v").join(mean, "component").select("row", "component", "v", "mean").mapInArrow(lean(mark), "row bigint, component bigint, v array<double>, inner boolean")
     marked = materialise(marked, "marked")
     sizes = marked.groupBy("component").agg(F.count_if("inner").alias("n_inner"), F.count_if(~F.col("inner")).alias("n_outer"))
     sizes = sizes.withColumn("rows_of", F.ceil((F.col("n_inner") + F.col("n_outer")) / BLOCK)).withColumn("outs_of", F.ceil(F.col("n_outer") / BLOCK))

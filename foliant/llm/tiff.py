@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, lean
 
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 
@@ -384,7 +384,7 @@ def store_tiff(df: DataFrame, payload: str, out: str = "media", width: int = 64,
             cols = [c for i, c in enumerate(batch.columns) if i != k] + [pa.array(files, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(encode, schema)
+    return df.mapInArrow(lean(encode), schema)
 
 
 def tiff_read(df: DataFrame, media: str = "media", pages: str = "pages", error: str = "tiff_error") -> DataFrame:
@@ -404,7 +404,7 @@ def tiff_read(df: DataFrame, media: str = "media", pages: str = "pages", error:
                 cols = [*part.columns, pa.array([g[0] for g in got], kind), pa.array([g[1] for g in got], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(decode, schema)
+    return df.mapInArrow(lean(decode), schema)
 
 
 def tiff_pages(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import SUFFIX, Encoder, Recent, Words, slices
-from .common import bound_batches, fresh_path, materialise
+from .common import bound_batches, fresh_path, lean, materialise
 from .simple8b import TokenFile, TokenFileWriter
 
 MANIFEST = "part int, piece int, path string, n_docs bigint, n_tokens bigint"
@@ -91,7 +91,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None,
     """Write the files and return their manifest (part, piece, path, n_docs, n_tokens), in
     ascending document order by (part, piece). The job runs at once."""
     spark = df.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, 8 << 20)
     folder = folder or fresh_path(spark, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +122,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None,
 
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
     ranged = rows.repartitionByRange(F.col("doc").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc").asc_nulls_first(), "tie")
-    manifest = materialise(ranged.mapInArrow(write, MANIFEST), "manifest")
+    manifest = materialise(ranged.mapInArrow(lean(write), MANIFEST), "manifest")
     return manifest.withColumn("uri", F.concat(F.lit(folder + "/"), F.element_at(F.split("path", "/"), -1))).drop("path").withColumnRenamed("uri", "path")
 
 
@@ -152,4 +152,4 @@ def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return files.select("path", "before", "part").repartition(F.col("part")).select("path", "before").mapInArrow(read, schema)
+    return files.select("path", "before", "part").repartition(F.col("part")).select("path", "before").mapInArrow(lean(read), schema)
