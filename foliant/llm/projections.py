@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,12 +145,15 @@ def _count_links(members: DataFrame, threshold: float) -> DataFrame:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            comp = b.column(0).to_numpy()
-            order = np.argsort(comp, kind="stable")
-            u = _unit(_scaled(b.column(1).take(pa.array(order))))
-            ids, start = np.unique(comp[order], return_index=True)
-            sums = np.add.reduceat(u, start, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s.tobytes() for s in sums], pa.binary())], names=["component", "s"])
+            size = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(size):
+                at = np.flatnonzero(size == dim)
+                comp = b.column(0).to_numpy()[at]
+                order = np.argsort(comp, kind="stable")
+                u = _unit(_scaled(b.column(1).take(pa.array(at[order]))))
+                ids, start = np.unique(comp[order], return_index=True)
+                sums = np.add.reduceat(u, start, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s.tobytes() for s in sums], pa.binary())], names=["component", "s"])
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         s = np.sum([np.frombuffer(x) for x in pdf["s"]], axis=0)
