@@ -126,13 +126,22 @@ def _card(m: Column, key: str, reverse: bool) -> Column:
 
 
 def _phone(m: Column, key: str, reverse: bool) -> Column:
+    """Numbers whose area and exchange start with 2 to 9 are permuted among themselves, and
+    the 3.6 * 10**9 others, which count with a country code or parentheses only, too."""
     d = digits_of(m)
     own = F.right(d, F.lit(10))
+    million = 1_000_000
     n = lambda at, size: F.substr(own, F.lit(at), F.lit(size)).cast("bigint")
-    x = permute(((n(1, 3) - 200) * 8 + n(4, 1) - 2) * 1_000_000 + n(5, 6), 6400, 1_000_000, key, "phone", reverse)
-    top = F.floor(x / 1_000_000).cast("bigint")
-    new = F.concat((F.floor(top / 8) + 200).cast("string"), (top % 8 + 2).cast("string"), padded(x % 1_000_000, 6))
-    return lay(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), new))
+    usual = own.rlike("^[2-9][0-9]{2}[2-9]")
+    x = permute(((n(1, 3) - 200) * 8 + n(4, 1) - 2) * million + n(5, 6), 6400, million, key, "phone", reverse)
+    top = F.floor(x / million).cast("bigint")
+    one = F.concat((F.floor(top / 8) + 200).cast("string"), (top % 8 + 2).cast("string"), padded(x % million, 6))
+    low = 2000 * million  # areas under 200; then exchanges under 200 of the others
+    start = F.when(n(1, 3) < 200, own.cast("bigint")).otherwise(low + ((n(1, 3) - 200) * 2 + n(4, 1)) * million + n(5, 6))
+    y = permute(start, 60_000, 60_000, key, "phone2", reverse)
+    rest = F.call_function("div", y - low, F.lit(million).cast("bigint"))
+    other = F.when(y < low, padded(y, 10)).otherwise(F.concat((F.floor(rest / 2) + 200).cast("string"), (rest % 2).cast("string"), padded((y - low) % million, 6)))
+    return lay(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), F.when(usual, one).otherwise(other)))
 
 
 def _ssn(m: Column, key: str, reverse: bool) -> Column:
@@ -182,7 +191,7 @@ def kind_of(m: Column, kinds: tuple[str, ...] = KINDS) -> Column:
         "email": F.lit(True),
         "ip": F.forall(F.split(m, r"\."), lambda c: c.cast("int") < 256) & ~m.rlike(r"(^|\.)0\d"),
         "date": _formats(m).isNotNull(),
-        "phone": ten.rlike("^[2-9][0-9]{2}[2-9]"),
+        "phone": ten.rlike("^[2-9][0-9]{2}[2-9]") | (F.length(d) == 11) | m.contains("("),
         "ssn": ~m.rlike("^(000|666|9)|-00-|-0000$"),
         "card": luhn_sum(d, 1) % 10 == 0,
     }

@@ -1,0 +1,154 @@
+"""The registered queries and the pipeline on the smallest tables, against the library,
+SQL or brute force."""
+
+import glob
+import hashlib
+import os
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import __spark_entry__ as e
+import corpus_pipeline
+from foliant.llm import op9, order_minhash
+from foliant.llm.queries import ORACLE_SQL, QUERIES
+
+DIR = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for p in glob.glob(f"{DIR}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    return con
+
+
+@pytest.fixture(scope="module")
+def docs(duck):
+    return {r[0]: r[1] for r in duck.sql("SELECT doc_id, text FROM documents").fetchall()}
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_names():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert set(QUERIES) | {"pipeline"} <= set(e.queries()) and set(ORACLE_SQL) <= set(e.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, duck, name):
+    got, want = QUERIES[name](spark, DIR), duck.sql(ORACLE_SQL[name])
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    assert sorted(map(repr, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(repr, want.select(*cols).fetchall()))
+
+
+def test_op1(spark, docs):
+    rows = QUERIES["op1_tiff"](spark, DIR).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        raw = (docs[r.doc_id] or "").encode()
+        payload = raw + b" " * (192 - len(raw) if len(raw) < 192 else -len(raw) % 192)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])) and r.tiff_error is None
+
+
+def test_op4(spark, docs, library):
+    got, at = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op4_simple8b"](spark, DIR).collect()}, 0
+    assert len(got) == len(docs)
+    for k in sorted(docs):
+        ids = np.array([*library.encode(docs[k] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert got[k] == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_op5(spark, docs):
+    got = {r.doc_id: r.class_id for r in QUERIES["op5_order_minhash"](spark, DIR).collect()}
+    words = {k: order_minhash.word_hashes(t or "") for k, t in docs.items()}
+    kmers = {k: set(order_minhash.kmer_hashes(w).tolist()) for k, w in words.items()}
+    for a in docs:
+        for b in docs:
+            if a < b and (n := len(kmers[a] & kmers[b])) and n / len(kmers[a] | kmers[b]) >= 0.8 and order_minhash.similar(words[a], words[b]):
+                assert got[a] == got[b]
+    groups = defaultdict(list)
+    for k, c in got.items():
+        groups[c].append(k)
+    assert all(len(g) == 1 or all(any(o != k and order_minhash.similar(words[o], words[k]) for o in g) for k in g) for g in groups.values())
+
+
+def test_op6(spark, docs):
+    for r in QUERIES["op6_pseudonyms"](spark, DIR).collect():
+        for m in re.findall(r"\+1 \(\d{3}\) 555-\d{4}|(?<!\d)4\d{15}(?!\d)|[\w.]+@mail\d\.example\.com", docs[r.doc_id] or ""):
+            assert m not in r.text
+        if not any(c in (docs[r.doc_id] or "") for c in "0123456789@"):
+            assert r.text == docs[r.doc_id]
+
+
+def test_op7(spark, docs, library):
+    for r in QUERIES["op7_bpe"](spark, DIR).collect():
+        ids = library.encode(docs[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_op8(spark, docs):
+    rows = QUERIES["op8_mix"](spark, DIR).collect()
+    assert all(r.size == len(re.findall(r"[^\x20\x09-\x0D]+", docs[r.doc_id] or "")) and r.taken <= 3 * r.size for r in rows)
+    assert sum({(r.source_size, r.target): r.target for r in rows}.values()) == pytest.approx(sum(r.size for r in rows))
+    assert sorted(map(tuple, QUERIES["op8_mix"](spark, DIR).collect())) == sorted(map(tuple, rows))
+
+
+def test_op9_and_op10(spark, duck):
+    lang = dict(duck.sql("SELECT doc_id, lang FROM documents").fetchall())
+    rows = [r for r in QUERIES["op9_langid"](spark, DIR).collect() if r.held_out]
+    assert rows and np.mean([r.lang_pred == lang[r.doc_id] for r in rows]) >= 0.9
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    quality = dict(duck.sql("SELECT doc_id, quality FROM labels").fetchall())
+    scored = QUERIES["op10_crf"](spark, DIR).collect()
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in scored)
+    known = [r for r in scored if r.held_out and r.doc_id in quality]
+    assert np.mean([r.predicted == quality[r.doc_id] for r in known]) >= 0.85
+
+
+def test_pipeline_stages(spark, library):
+    stages, rows = dict(corpus_pipeline.STAGES), {}
+    assert list(stages) == ["quality classifier", "near-dedup", "pseudonyms", "mix", "bpe"]
+    df = spark.read.parquet(f"{DIR}/documents.parquet")
+    before = {r.doc_id: r for r in df.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        df = stage(spark, df, DIR).cache()
+        rows[name] = df.collect()
+        assert name == "bpe" or df.columns == corpus_pipeline.COLUMNS
+    predicted = {r.doc_id for r in QUERIES["op10_crf"](spark, DIR).collect() if r.predicted}
+    assert {r.doc_id for r in rows["quality classifier"]} == predicted
+    words = {r.doc_id: order_minhash.word_hashes(r.text or "") for r in rows["quality classifier"]}
+    kept = {r.doc_id for r in rows["near-dedup"]}
+    assert all(any(order_minhash.similar(words[k], words[o]) for o in words if o != k) for k in words if k not in kept)
+    assert {r.doc_id for r in rows["pseudonyms"]} == kept and all(r.text == before[r.doc_id].text or any(c in before[r.doc_id].text for c in "0123456789@") for r in rows["pseudonyms"])
+    clear = {r.doc_id: r for r in rows["pseudonyms"]}
+    assert all(r == clear[r.doc_id] for r in rows["mix"]) and max(Counter(r.doc_id for r in rows["mix"]).values()) <= 3
+    assert Counter(r.doc_id for r in rows["bpe"]) == Counter(r.doc_id for r in rows["mix"])
+    for r in rows["bpe"]:
+        ids = library.encode(clear[r.doc_id].text or "", add_special_tokens=False).ids
+        assert bytes(r.ids) == np.array(ids, "<u4").tobytes() and r.n_tokens == len(ids)
+    spark.catalog.clearCache()
+
+
+def test_pipeline_run(spark):
+    assert corpus_pipeline.run(spark, DIR).count() > 0
+
+
+def test_held_out(spark):
+    got = spark.range(50).select(F.col("id").alias("doc_id")).withColumn("h", op9.held_out()).collect()
+    assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
