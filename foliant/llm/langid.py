@@ -109,8 +109,9 @@ class LanguageModel:
         return self.languages[k], float(p[k]), bool(p[k] >= self.level)
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 8, rate: float = 0.2, apart: float = 0.2, right: float = 0.99, seed: int = 11) -> LanguageModel:
-    """Fit a model; the last ``apart`` of the rows, shuffled, set temperature and level."""
+def train(texts: list[str], labels: list[str], steps: int = 16_000, rate: float = 0.5, apart: float = 0.2, right: float = 0.99, seed: int = 11) -> LanguageModel:
+    """Fit a model with about ``steps`` steps of a text each, all texts equally often; the last
+    ``apart`` of the rows, shuffled, set temperature and level."""
     rows = [(s, y) for t, y in zip(texts, labels, strict=True) if len(s := subwords(t or ""))]
     languages = sorted({y for _, y in rows})
     if not rows:
@@ -122,7 +123,8 @@ def train(texts: list[str], labels: list[str], epochs: int = 8, rate: float = 0.
     embed = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
     weight, bias = np.zeros((WIDTH, len(languages))), np.zeros(len(languages))
     code = {y: k for k, y in enumerate(languages)}
-    steps, done = epochs * len(fit), 0
+    epochs, done = -(-steps // len(fit)), 0
+    steps = epochs * len(fit)
     for _ in range(epochs):
         for i in rng.permutation(len(fit)):
             at, y = fit[i]
