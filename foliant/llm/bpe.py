@@ -86,14 +86,14 @@ class Recent(dict):
             self.clear()
 
 
-#: Texts of ASCII and composed Latin letters only: there NFC changes nothing, and lower case and letter classes are the same everywhere.
+#: Pieces of ASCII and composed Latin letters only: there NFC changes nothing, and lower case and letter classes are the same everywhere.
 LATIN = "^[\\x00-\\x7f\u00a1-\u012f\u0131-\u017f]*$"
 
 
 class Encoder:
-    """Encodes arrays of texts. No token spans white space, so each distinct piece of a
-    batch is encoded once: words of Latin texts, which Arrow cuts, lowers and counts,
-    and pieces between ASCII white space of all others."""
+    """Encodes arrays of texts. No token spans white space, so each distinct piece between
+    ASCII white space is encoded once in a batch: Latin ones word by word, cut and lowered by
+    Arrow, all others whole."""
 
     text: Words
 
@@ -107,14 +107,17 @@ class Encoder:
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts (null: empty), and where each text's ids start and end."""
-        texts = pc.fill_null(texts, "")
-        plain = pc.match_substring_regex(texts, LATIN)
+        return _assemble(pc.ascii_split_whitespace(pc.fill_null(texts, "")), self._learn)
+
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces and their bounds: Latin ones by their words, others whole."""
+        plain = pc.match_substring_regex(pieces, LATIN)
         for special in self.text.special:
-            plain = pc.and_(plain, pc.invert(pc.match_substring(texts, special)))
-        ids, ends = _assemble(pc.ascii_split_whitespace(texts.filter(plain)), self._latin)
-        if pc.all(plain).as_py() in (True, None):
+            plain = pc.and_(plain, pc.invert(pc.match_substring(pieces, special)))
+        ids, ends = self._latin(pieces.filter(plain))
+        if len(ends) == len(pieces) + 1:
             return ids, ends
-        more, more_ends = _assemble(pc.ascii_split_whitespace(texts.filter(pc.invert(plain))), lambda d: _joined(self.learn_pieces(d.to_pylist())))
+        more, more_ends = _joined(self.learn_pieces(pieces.filter(pc.invert(plain)).to_pylist()))
         plain = plain.to_numpy(zero_copy_only=False)
         start, many = np.empty(len(plain), np.int64), np.empty(len(plain), np.int64)
         start[plain], many[plain] = ends[:-1], np.diff(ends)
@@ -122,7 +125,7 @@ class Encoder:
         return _gather(np.concatenate((ids, more)), start, many)
 
     def _latin(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct pieces of Latin texts and their bounds: pieces of letters are words, others are cut by the pattern."""
+        """Ids of distinct Latin pieces and their bounds: pieces of letters are words, others are cut by the pattern."""
         low = pc.utf8_lower(pieces)
         mixed = pc.invert(pc.utf8_is_alpha(low))
         words = "(" + self.text.source.replace("\\s", "\\t-\\r ") + ")"

@@ -41,8 +41,8 @@ def pack_block(values: np.ndarray) -> np.ndarray:
     for s in range(min(widest, 15) - 1, 0, -1):
         bits, many = SELECTORS[s]
         wide = width >= bits
-        half = max(1, many // 2)  # any full window holds an aligned stretch of half its length
-        if n > many and wide[: n // half * half].reshape(-1, half).any(axis=1).all():
+        gaps = np.flatnonzero(wide)  # no full window lies between two of them: this size is never used
+        if len(gaps) and max(gaps[0], n - 1 - gaps[-1], int(np.diff(gaps).max(initial=1)) - 1) < many:
             continue
         fits = np.concatenate(([0], np.cumsum(wide, dtype=np.int32)))
         end = np.minimum(np.arange(n) + many, n)
