@@ -16,7 +16,8 @@ k-mers; texts that only have a passage in common do not.
 
 Candidates are complete for k-mer similarity 0.8 but for the chance of sharing fewer
 than four keys of 24, 9e-5. Pairs that edits leave with fewer common k-mers, down
-to edit similarity 0.8, are mostly found too, by the keys of their smallest member.
+to edit similarity 0.8, are mostly found too, by the keys of their smallest member or
+their rare parts.
 
 Defined cases: null texts and texts without words link with nothing and are classes
 of their own; rows with equal ids are one document if their texts are equal, else
@@ -26,6 +27,7 @@ taken whole. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +41,8 @@ from .graph import components
 K, SKETCHES, SAMPLE, SIMILARITY = 5, 24, 3, 0.8
 #: Keys that a text must share with texts of other components to be compared once more.
 SHARED = 4
-#: Texts sampled to tell common k-mers, and components that hold a common one there.
-SAMPLED, FEW = 1000, 3
+#: Texts that hold a k-mer by which less similar texts are paired too, at most.
+OFTEN = 64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -197,13 +199,13 @@ def near_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     first = _verify(materialise(stars, "stars"), classes, docs, least)
     found = components(first)
 
-    # members of a key in different components yet: compared where they share one of their rarest k-mers
+    # members of a key in different components yet: compared where they can be similar
     labels = found.select("node", "component")
     left = shared.select("key", "node", "words").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     several = left.join(mixed, "key").groupBy("node", "words", "component").agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") >= min(SHARED, sketches))
     rest = materialise(several.drop("keys"), "mixed")
-    second = _verify(materialise(_rare_pairs(rest, classes, docs, k, least, sketches), "rest"), classes, docs, least)
+    second = _verify(materialise(_close_pairs(rest, classes, docs, k, least, sketches), "rest"), classes, docs, least)
     links = first.unionByName(second)
     final = components(links)
     named = classes.join(final, "node", "left").select("digest", "copies", "first", F.coalesce("component", "node").alias("component"))
@@ -221,49 +223,67 @@ def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(wanted, (docs["digest"] == wanted["digest"]) & docs["doc_id"].eqNullSafe(wanted["first"])).select("node", "text").dropDuplicates(["node"])
 
 
-def _rare_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float, sketches: int) -> DataFrame:
-    """Pairs (a, b) of nodes (node, words, component) of different components that agree in
-    one of ``sketches`` smallest k-mers of their rare part.
+def prefix_size(n: int, alone: int, least: float) -> int:
+    """How many of the k-mers that other texts hold too, rarest first, a text of ``n`` k-mers,
+    ``alone`` of them its own, must give as keys: two texts of similarity ``least`` have
+    ``least * n`` in common, so they meet in one of these."""
+    return max(0, n - alone - math.ceil(least * n - 1e-9) + 1)
 
-    Common k-mers are those that FEW components hold in a sample of SAMPLED texts. Two texts
-    of k-mer similarity 0.8 whose common part is 80 % of them have a rare part of similarity
-    0.29, and miss each other with a chance of 3e-4 at 24 sketches; with less in common it
-    falls fast. Texts that share a common passage only, however long, do not agree, so
-    pairs follow similarity and not the size of such a group. Where nearly all of a text is
-    common its whole counts."""
-    spark = rest.sparkSession
+
+def _close_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float, sketches: int) -> DataFrame:
+    """Pairs (a, b) of nodes (node, words, component) of different components that may be similar.
+
+    All pairs of k-mer similarity ``least`` are there: k-mers are ordered by the number of
+    texts here that hold them, counted in full, and a pair meets in a prefix of that order
+    (prefix filter, with filters by size and position). Texts that only have a common
+    passage meet where it fills ``least`` of them.
+
+    Less similar pairs, that edits leave with fewer common k-mers, meet where they agree in
+    one of ``sketches`` smallest k-mers of those that at most OFTEN texts hold; where nearly
+    nothing else is left of a text, of all its k-mers too."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seqs = [kmer_hashes(word_hashes(t or ""), k).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seqs, pa.binary())], names=["node", "kmers"])
+            seqs = [kmer_hashes(word_hashes(t or ""), k).view(np.int64) for t in b.column(1).to_pylist()]
+            bounds = np.concatenate(([0], np.cumsum([len(x) for x in seqs]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*seqs, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["node", "kmers"])
 
-    kmers = _texts(rest.select("node"), classes, docs).mapInArrow(lean(hashes), "node bigint, kmers binary")
+    kmers = _texts(rest.select("node"), classes, docs).mapInArrow(lean(hashes), "node bigint, kmers array<bigint>")
     kmers = materialise(kmers.join(rest, "node").select("node", "words", "component", "kmers"), "kmers")
-    share = int((1 << 32) * min(1.0, SAMPLED / max(1, kmers.count())))
-    sample = kmers.where(F.pmod(F.xxhash64("node"), F.lit(1 << 32)) < share).select("component", "kmers").limit(2 * SAMPLED).collect()
-    held: dict[int, list[np.ndarray]] = {}
-    for component, raw in sample:
-        held.setdefault(component, []).append(np.frombuffer(raw, np.uint64))
-    value, count = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.unique(np.concatenate(h)) for h in held.values())]), return_counts=True)
-    common = spark.sparkContext.broadcast(value[count >= FEW])  # of SAMPLED texts: bounded
-
-    def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = common.value
+    each = kmers.select("node", F.explode("kmers").alias("kmer"))
+    held = each.groupBy("kmer").agg(F.count(F.lit(1)).cast("int").alias("held")).where("held > 1")
+    known = each.join(held, "kmer").groupBy("node").agg(F.collect_list(F.struct("kmer", "held")).alias("known"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = []
-            for raw in b.column(3).to_pylist():
-                h = np.frombuffer(raw, np.uint64)
-                at = np.minimum(np.searchsorted(often, h), max(0, len(often) - 1))
-                rare = h[often[at] != h] if len(often) else h
-                keys.append(order_sketch(rare if len(rare) * 20 > len(h) else h, sketches, 1).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(keys, pa.list_(pa.int64()))], names=["node", "words", "component", "keys"])
-
-    keyed = kmers.mapInArrow(lean(minima), "node bigint, words int, component bigint, keys array<bigint>").select("node", "words", "component", F.explode("keys").alias("key"))
-    keyed = materialise(keyed, "rare")
+            size, known = b.column(3), b.column(4)
+            flat, at = known.flatten(), known.offsets.to_numpy() - known.offsets[0].as_py()
+            value, count = flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy()
+            row, key, place = [], [], []
+            for i, whole in enumerate(size.to_pylist()):
+                h, d, all_of = value[at[i] : at[i + 1]], count[at[i] : at[i + 1]], np.array(whole, np.int64).view(np.uint64)
+                order = np.lexsort((h, d))
+                h, d, n = h[order], d[order], len(all_of)
+                head = h[: prefix_size(n, n - len(h), least)]
+                rare = all_of[~np.isin(all_of, h[d > OFTEN])]
+                keys = [head] + [order_sketch(x, sketches, 1) for x in ((rare,) if len(rare) * 20 > n else (rare, all_of)) if len(x)]
+                key += keys
+                place += [n - len(h) + np.arange(len(head)), np.full(sum(map(len, keys[1:])), -1)]
+                row.append(np.full(sum(map(len, keys)), i))
+            take = pa.array(np.concatenate([*row, np.empty(0, np.int64)]).astype(np.int64))
+            n = pa.array(np.diff(size.offsets.to_numpy()).astype(np.int32)).take(take)
+            cols = [*(b.column(c).take(take) for c in range(3)), n, pa.array(np.concatenate([*place, np.empty(0, np.int64)]).astype(np.int32)), pa.array(np.concatenate([*key, np.empty(0, np.uint64)]).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "words", "component", "n", "place", "key"])
+
+    chosen = kmers.join(known, "node").select("node", "words", "component", "kmers", "known")
+    keyed = materialise(chosen.mapInArrow(lean(choose), "node bigint, words int, component bigint, n int, place int, key bigint").distinct(), "close")
     p, q = keyed.alias("p"), keyed.alias("q")
     sizes = F.least("p.words", "q.words") >= F.greatest("p.words", "q.words") * (least - 1e-9)
-    joined = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.component") != F.col("q.component")) & sizes)
+    # k-mers that two texts can have in common at most, by the places where they meet
+    common = F.least("p.place", "q.place") + F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
+    by_place = (F.col("p.place") < 0) | (common >= (F.col("p.n") + F.col("q.n")) * (least / (1 + least)) - 1e-6)
+    joined = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.component") != F.col("q.component")) & sizes & by_place)
     return joined.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
 
 

@@ -311,6 +311,32 @@ def test_large_group_of_texts_with_a_common_passage_stays_apart(spark):
     assert order_minhash.near_texts(df).where("kept").count() == 150
 
 
+def quoted_texts():
+    """Pairs that are 85 to 95 % a quoted passage, among texts that quote three quarters of it."""
+    rng = random.Random(5)
+    texts, pairs = [], []
+    for own in (16, 24, 30, 40):
+        passage = text_of(rng, 270).split()
+        for _ in range(100):
+            quote = list(passage)
+            for at in rng.sample(range(0, 270, 30), 2):
+                quote[at : at + 30] = text_of(rng, 30).split()
+            texts.append(" ".join(quote + text_of(rng, 30).split()))
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join([*passage, text_of(rng, own)]) for _ in range(2)]
+    return texts, pairs
+
+
+def test_pairs_that_are_mostly_a_quoted_passage_are_found(spark):
+    texts, pairs = quoted_texts()
+    words = [order_minhash.word_hashes(t) for t in texts]
+    kmers = [set(order_minhash.kmer_hashes(w).tolist()) for w in words]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_texts(documents(spark, texts)).collect()}
+    alike = [(a, b) for a, b in pairs if len(kmers[a] & kmers[b]) >= 0.8 * len(kmers[a] | kmers[b]) and order_minhash.similar(words[a], words[b])]
+    assert len(alike) >= 2 and [(a, b) for a, b in alike if got[a] != got[b]] == []
+    assert all(got[i] == i for i in range(len(texts)) if not any(i in p for p in pairs))
+
+
 # --------------------------------------------------------------- pseudonyms
 
 def test_pseudonyms_restore_and_link(spark):
