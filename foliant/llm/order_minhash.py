@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ K, SKETCHES, SAMPLE, SIMILARITY = 5, 24, 3, 0.8
 SHARED = 4
 #: Texts that hold a k-mer by which less similar texts are paired too, at most.
 OFTEN = 64
+#: Texts whose k-mers are counted together before they are added up.
+BLOCK = 500
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -249,34 +252,55 @@ def _close_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, k: int, l
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*seqs, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["node", "kmers"])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 33
+        for b in batches:
+            for lo in range(0, b.num_rows, BLOCK):
+                s = b.slice(lo, BLOCK)
+                one = [pa.ListArray.from_arrays(pa.array([0, s.num_rows], pa.int32()), c) for c in s.columns]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *one], names=["block", "node", "words", "component", "kmers"])
+                block += 1
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, whole in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                value, count = np.unique(whole.values.flatten().to_numpy(), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), block)), pa.array(value), pa.array(count)], names=["block", "kmer", "n"])
+
     kmers = _texts(rest.select("node"), classes, docs).mapInArrow(lean(hashes), "node bigint, kmers array<bigint>")
-    kmers = materialise(kmers.join(rest, "node").select("node", "words", "component", "kmers"), "kmers")
-    each = kmers.select("node", F.explode("kmers").alias("kmer"))
-    held = each.groupBy("kmer").agg(F.count(F.lit(1)).cast("int").alias("held")).where("held > 1")
-    known = each.join(held, "kmer").groupBy("node").agg(F.collect_list(F.struct("kmer", "held")).alias("known"))
+    kmers = kmers.join(rest, "node").select("node", "words", "component", "kmers")
+    blocks = materialise(kmers.mapInArrow(lean(pack), "block bigint, node array<bigint>, words array<int>, component array<bigint>, kmers array<array<bigint>>"), "kmers")
+    # texts that hold a k-mer, counted within blocks of texts first: a row for each block, not for each text
+    each = blocks.select("block", "kmers").mapInArrow(lean(tally), "block bigint, kmer bigint, n bigint")
+    held = each.groupBy("kmer").agg(F.sum("n").alias("held")).where("held > 1")
+    known = each.join(held, "kmer").groupBy("block").agg(F.collect_list("kmer").alias("kmer"), F.collect_list("held").alias("held"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, known = b.column(3), b.column(4)
-            flat, at = known.flatten(), known.offsets.to_numpy() - known.offsets[0].as_py()
-            value, count = flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy()
-            row, key, place = [], [], []
-            for i, whole in enumerate(size.to_pylist()):
-                h, d, all_of = value[at[i] : at[i + 1]], count[at[i] : at[i + 1]], np.array(whole, np.int64).view(np.uint64)
-                order = np.lexsort((h, d))
-                h, d, n = h[order], d[order], len(all_of)
-                head = h[: prefix_size(n, n - len(h), least)]
-                rare = all_of[~np.isin(all_of, h[d > OFTEN])]
-                keys = [head] + [order_sketch(x, sketches, 1) for x in ((rare,) if len(rare) * 20 > n else (rare, all_of)) if len(x)]
-                key += keys
-                place += [n - len(h) + np.arange(len(head)), np.full(sum(map(len, keys[1:])), -1)]
-                row.append(np.full(sum(map(len, keys)), i))
-            take = pa.array(np.concatenate([*row, np.empty(0, np.int64)]).astype(np.int64))
-            n = pa.array(np.diff(size.offsets.to_numpy()).astype(np.int32)).take(take)
-            cols = [*(b.column(c).take(take) for c in range(3)), n, pa.array(np.concatenate([*place, np.empty(0, np.int64)]).astype(np.int32)), pa.array(np.concatenate([*key, np.empty(0, np.uint64)]).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "words", "component", "n", "place", "key"])
-
-    chosen = kmers.join(known, "node").select("node", "words", "component", "kmers", "known")
+            for i in range(b.num_rows):
+                node, words, component, whole, kmer, held = (c[i].values for c in b.columns[1:])
+                value, count = kmer.to_numpy().view(np.uint64), held.to_numpy()
+                order = np.argsort(value)
+                value, count = value[order], count[order]
+                row, key, place, size = [], [], [], []
+                for j, text in enumerate(whole):
+                    all_of = text.values.to_numpy().view(np.uint64)
+                    at = np.minimum(np.searchsorted(value, all_of), max(0, len(value) - 1))
+                    d = np.where(value[at] == all_of, count[at], 1) if len(value) else np.ones(len(all_of), np.int64)
+                    order = np.lexsort((all_of, d))
+                    n, alone = len(all_of), int((d == 1).sum())
+                    rare = all_of[d <= OFTEN]
+                    keys = [all_of[order[alone:]][: prefix_size(n, alone, least)]]
+                    keys += [order_sketch(x, sketches, 1) for x in ((rare,) if len(rare) * 20 > n else (rare, all_of)) if len(x)]
+                    key += keys
+                    place += [alone + np.arange(len(keys[0])), np.full(sum(map(len, keys[1:])), -1)]
+                    row.append(np.full(sum(map(len, keys)), j))
+                    size.append(n)
+                take = np.concatenate(row)
+                cols = [*(c.take(pa.array(take)) for c in (node, words, component)), pa.array(np.array(size, np.int32)[take]), pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(key).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "words", "component", "n", "place", "key"])
+
+    chosen = blocks.join(known, "block").select("block", "node", "words", "component", "kmers", "kmer", "held")
     keyed = materialise(chosen.mapInArrow(lean(choose), "node bigint, words int, component bigint, n int, place int, key bigint").distinct(), "close")
     p, q = keyed.alias("p"), keyed.alias("q")
     sizes = F.least("p.words", "q.words") >= F.greatest("p.words", "q.words") * (least - 1e-9)

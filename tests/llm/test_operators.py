@@ -337,6 +337,21 @@ def test_pairs_that_are_mostly_a_quoted_passage_are_found(spark):
     assert all(got[i] == i for i in range(len(texts)) if not any(i in p for p in pairs))
 
 
+def test_pairs_are_found_alike_among_few_and_many_texts(spark):
+    texts, pairs = quoted_texts()
+    rng = random.Random(9)
+    for n in (0, 1500):
+        got = order_minhash.near_texts(documents(spark, texts + [text_of(rng, 20) for _ in range(n)])).where("not kept").collect()
+        assert {(r.class_id, r.doc_id) for r in got} == set(pairs)
+
+
+def test_counts_of_kmers_are_of_all_texts(spark, monkeypatch):
+    texts, pairs = quoted_texts()
+    monkeypatch.setattr(order_minhash, "BLOCK", 7)  # counts of many blocks are added up
+    got = order_minhash.near_texts(documents(spark, texts)).where("not kept").collect()
+    assert {(r.class_id, r.doc_id) for r in got} == set(pairs)
+
+
 # --------------------------------------------------------------- pseudonyms
 
 def test_pseudonyms_restore_and_link(spark):
