@@ -3,8 +3,11 @@
 Each pass orders the vectors of a group lexicographically by concatenated random
 hashes (the signs of projections on random directions), compares every vector with
 the bounded window of those before it, and keeps pairs whose cosine, in double
-precision, reaches the threshold. Pairs are united within a task; what tasks found
-in all passes is united by contraction (graph.components).
+precision, reaches the threshold. The larger a group, the more signs two vectors must
+agree in to be within a window, so the number of passes follows from the group's size
+(passes_for): of pairs at the threshold at most ``missed`` are never compared. Pairs are
+united within a task; what tasks found in all passes is united by contraction
+(graph.components).
 
 Direct links are then counted in full within each component: vectors within half
 the threshold's angle of the component's mean direction are all linked to each
@@ -42,6 +45,14 @@ def directions(dim: int, passes: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((passes * bits, dim))
 
 
+def passes_for(n: int, threshold: float, least: int, window: int, missed: float) -> int:
+    """Passes over a group of n vectors, ``least`` at least: a window holds the vectors that agree
+    in the first log2(n / window) signs, which two at the threshold do with a chance of ``agree``."""
+    signs = math.log2(max(n / window, 1))
+    agree = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** signs
+    return max(least, 1 if agree >= 1 else math.ceil(math.log(missed) / math.log1p(-agree)))
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
@@ -51,9 +62,9 @@ def _stack(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float64).reshape(len(col), -1)
 
 
-def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", group: str = "label", threshold: float = 0.93, passes: int = 8, bits: int = 32, window: int = 32, seed: int = 7) -> DataFrame:
+def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", group: str = "label", threshold: float = 0.93, passes: int = 8, bits: int = 32, window: int = 32, seed: int = 7, missed: float = 0.01) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest vec_id of its
-    component), kept (whether it is that one)."""
+    component), kept (whether it is that one). ``passes`` are the fewest of a group."""
     spark = df.sparkSession
     bound_batches(spark)
     base = df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(group).alias("grp"), F.col(vector).cast("array<double>").alias("v"))
@@ -65,21 +76,28 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = (1 << np.arange(bits - 1, -1, -1, dtype=np.int64)).astype(np.float64)
         for b in batches:
-            row, g, v = b.columns
+            row, g, v, number = b.columns
+            number = number.to_numpy()
             flat, lengths = v.flatten().to_numpy(zero_copy_only=False), np.diff(v.offsets.to_numpy())
             scale = np.maximum.reduceat(np.abs(flat), v.offsets.to_numpy()[:-1] - v.offsets[0].as_py()) if len(flat) else flat
             for dim in np.unique(lengths):
                 at = np.flatnonzero(lengths == dim)
                 start = (np.cumsum(lengths) - lengths)[at]
                 u = _unit(flat[start[:, None] + np.arange(dim)] / scale[at, None])
-                sign = (u @ directions(int(dim), passes, bits, seed).T > 0).reshape(len(at), passes, bits)
-                key = (sign @ weights).astype(np.int64)
-                take = pa.array(at)
-                for lo in range(passes):
-                    raw = [x.tobytes() for x in u]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lo, np.int32)), g.take(take), pa.array(np.full(len(at), dim, np.int32)), pa.array(key[:, lo]), row.take(take), pa.array(raw, pa.binary())], names=["pass", "grp", "dim", "key", "row", "u"])
-
-    keyed = good.select("row", "grp", "v").mapInArrow(lean(keys), f"pass int, grp {grp}, dim int, key bigint, row bigint, u binary")
+                most = number[at]
+                towards = directions(int(dim), int(most.max()), bits, seed).reshape(-1, bits, dim)
+                for lo in range(len(towards)):
+                    on = np.flatnonzero(most > lo)
+                    key = ((u[on] @ towards[lo].T > 0) @ weights).astype(np.int64)
+                    take = pa.array(at[on])
+                    raw = [x.tobytes() for x in u[on]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), lo, np.int32)), g.take(take), pa.array(np.full(len(on), dim, np.int32)), pa.array(key), row.take(take), pa.array(raw, pa.binary())], names=["pass", "grp", "dim", "key", "row", "u"])
+
+    number = F.udf(lambda n: passes_for(n, threshold, passes, window, missed), "int")
+    groups = good.select("row", "grp", "v", F.size("v").alias("dim"))
+    numbers = groups.groupBy("grp", "dim").agg(F.count(F.lit(1)).alias("n")).select("grp", "dim", number("n").alias("number"))
+    sized = groups.join(numbers, ["grp", "dim"]).select("row", "grp", "v", "number")
+    keyed = sized.mapInArrow(lean(keys), f"pass int, grp {grp}, dim int, key bigint, row bigint, u binary")
     order = ["pass", "grp", "dim", "key", "row"]
     names = ["part", "head", "a", "b", "u"]
     edge_schema = "part int, head boolean, a bigint, b bigint, u binary"

@@ -161,6 +161,20 @@ def test_equal_vectors_beyond_the_window(spark):
     assert {(r.n_links, r.component_id) for r in got} == {(299, 0)}
 
 
+def test_passes_follow_the_size_of_a_group(spark):
+    assert [projections.passes_for(n, 0.93, 8, 32, 0.01) for n in (10, 10**5, 10**6)] == [8, 18, 29]
+    rng, n, pairs = np.random.default_rng(4), 4000, 300
+    u = rng.standard_normal((n, 32))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    side = rng.standard_normal((pairs, 32))
+    side -= (side * u[:pairs]).sum(1, keepdims=True) * u[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    u[pairs : 2 * pairs] = 0.935 * u[:pairs] + (1 - 0.935**2) ** 0.5 * side
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(u)], "vec_id long, embedding array<double>, label int")
+    got = projections.near_vectors(df, window=1).where("not kept").collect()
+    assert all(r.vec_id - r.component_id == pairs and r.n_links == 1 for r in got) and len(got) >= 0.98 * pairs
+
+
 # ---------------------------------------------------------- tokens and files
 
 ODD = ["", "   ", "Hello <|endoftext|> wOrld it's 123", "ΑΣ ΣΑ İstanbul", "é é ẛ̣", "a\x1cb\x85c\xa0d\ve", "***it's'd!!! <|startoftext|>x<|endoftext", "中文字 한국어 😀👍🏽", "x" * 5000, "don't we'll they'Ve", "½ ² ٣ Ⅸ"]
