@@ -174,23 +174,10 @@ class Pdfs:
         """path, obj_num, ref_num: which object refers to which."""
         return self.nodes().where("ref_num is not null").select("path", "obj_num", "ref_num").distinct()
 
-    def reachable(self, most: int = 60) -> DataFrame:
-        """path, obj_num of all objects that can be reached from the trailers, by joins over the
-        edges until nothing new is found."""
-        start = self.trailers().where("tag = 'ref'").select("path", F.variant_get("value", "$.n", "int").alias("obj_num")).distinct()
-        edges = self.edges().checkpoint() if _has_checkpoints(self.spark) else self.edges().persist()
-        seen = new = start.checkpoint() if _has_checkpoints(self.spark) else start.persist()
-        for _ in range(most):
-            nxt = new.join(edges, ["path", "obj_num"]).select("path", F.col("ref_num").alias("obj_num")).distinct().join(seen, ["path", "obj_num"], "left_anti")
-            new = nxt.checkpoint() if _has_checkpoints(self.spark) else nxt.persist()
-            if new.isEmpty():
-                break
-            seen = seen.unionByName(new)
-        return seen
-
-
-def _has_checkpoints(spark: SparkSession) -> bool:
-    return bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext.getCheckpointDir() is not None
+    def reachable(self) -> DataFrame:
+        """path, obj_num of all objects that can be reached from the trailers; each file is walked
+        where its row is, until nothing new is found."""
+        return self._scan(_reachable_rows, "path string, obj_num int").distinct()
 
 
 def latest(xref: DataFrame) -> DataFrame:
@@ -287,6 +274,25 @@ def _node_rows(path: str, data: bytes, password, wanted: frozenset[int] | None)
                 yield {"path": path, "obj_num": e.num, "gen_num": e.gen} | dict(zip(columns.NODE_FIELDS, n, strict=True))
 
 
+def _reachable_rows(path: str, data: bytes, password) -> Iterator[dict]:
+    todo: list[int] = []
+    for section in _section_rows(path, data, password):
+        todo += [json.loads(t["json"])["n"] for t in section.get("trailer") or () if t["tag"] == "ref"]
+    edges: dict[int, set[int]] = {}
+    at = columns.NODE_FIELDS.index("ref_num")
+    file, _ = _open(path, data, password)
+    for e, value, error in file.objects() if file is not None else ():
+        if error is None:
+            edges.setdefault(e.num, set()).update(n[at] for n in nodes_of(value) if n[at] is not None)
+    seen: set[int] = set()
+    while todo:
+        num = todo.pop()
+        if num not in seen:
+            seen.add(num)
+            todo += edges.get(num, ())
+            yield {"path": path, "obj_num": num}
+
+
 def _page_rows(path: str, data: bytes, password) -> Iterator[dict]:
     file, error = _open(path, data, password)
     if file is None:

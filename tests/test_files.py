@@ -59,6 +59,13 @@ def test_tables_of_a_collection(spark):
     assert {r.obj_num for r in c.reachable().collect()} == {1, 2, 3, 4, 5, 6}
 
 
+def test_reachable_follows_long_chains_and_loops(spark):
+    chain = {n: f"<< /Next {n + 1} 0 R >>".encode() for n in range(1, 300)}
+    c = collection(spark, g.Pdf().revision(chain | {300: b"<< /Next 1 0 R >>", 301: b"<< /Next 1 0 R >>"}, ROOT).bytes())
+    got = [r.obj_num for r in c.reachable().collect()]
+    assert sorted(got) == list(range(1, 301))
+
+
 def test_page_tree_loop_is_an_error_row(spark):
     c = collection(spark, g.Pdf().revision({1: b"<< /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [2 0 R] >>"}, ROOT).bytes())
     (row,) = c.pages().collect()
