@@ -11,8 +11,8 @@ training rows kept apart: the lowest probability with which predictions there ar
 right at the wished rate. A rejected prediction has ``accepted`` false.
 
 Training takes a bounded sample of labelled rows: about ``per_language`` rows of each
-language by a hash of the text, never more than ``languages`` languages. Prediction
-takes every row and whole texts.
+language by a hash of the text, of all languages. Prediction takes every row and whole
+texts.
 
 Defined cases: null texts and texts without a letter give ``und`` with score 0, not
 accepted; equal texts give equal results; with no labelled row everything is
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,17 +164,16 @@ def train(texts: list[str], labels: list[str], steps: int = 16_000, rate: float
     return model
 
 
-def training_sample(df: DataFrame, text: str, label: str, per_label: int, most_labels: int) -> list[tuple[str, str]]:
-    """About per_label rows of each label, by a hash of the text. Counts first, over narrow
-    columns; then only rows under their label's share of the hash range come to the driver."""
-    labelled = df.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(label).cast("string")).count().orderBy(F.desc("count"), label).limit(most_labels).collect()}
+def training_sample(df: DataFrame, text: str, label: str, per_label: int) -> list[tuple[str, str]]:
+    """About per_label rows of each label, of all labels, by a hash of the text. Counts first, over
+    narrow columns; then only rows under their label's share of the hash range come to the driver."""
     span = 1 << 32
     spot = F.pmod(F.xxhash64(text), F.lit(span))
-    share: Column = F.lit(0).cast("bigint")
-    for name, n in counts.items():
-        share = F.when(F.col(label).cast("string") == name, F.lit(min(span, int(span * per_label / n)))).otherwise(share)
-    rows = labelled.where(spot < share).select(F.col(text), F.col(label).cast("string"), spot.alias("spot")).limit(2 * per_label * max(1, len(counts))).collect()
+    labelled = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), spot.alias("spot"))
+    share = labelled.groupBy("label").agg(F.least(F.lit(span), F.floor(F.lit(float(span * per_label)) / F.count(F.lit(1)))).alias("share"))
+    share = share.cache()
+    rows = labelled.join(F.broadcast(share), "label").where("spot < share").select("text", "label", "spot").limit(2 * per_label * max(1, share.count())).collect()
+    share.unpersist()
     return sorted({(r[2], r[0], r[1]) for r in rows})
 
 
@@ -184,7 +183,7 @@ def detect_language(df: DataFrame, model: LanguageModel, text: str = "text", kee
     bound_batches(df.sparkSession)
     keep = [c for c in df.columns if c != text] if keep is None else keep
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
-    shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS * languages floats: bounded
+    shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS * languages floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -9,7 +9,7 @@ from .common import table
 from .langid import detect_language, train, training_sample
 
 #: Labelled rows taken for training, for each language.
-PER_LANGUAGE, LANGUAGES = 500, 200
+PER_LANGUAGE = 500
 
 
 def held_out() -> Column:
@@ -19,6 +19,6 @@ def held_out() -> Column:
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sample = training_sample(docs.where(~held_out()), "text", "lang", PER_LANGUAGE, LANGUAGES)
+    sample = training_sample(docs.where(~held_out()), "text", "lang", PER_LANGUAGE)
     model = train([t for _, t, _ in sample], [y for _, _, y in sample])
     return detect_language(docs.select("doc_id", held_out().alias("held_out"), "text"), model)

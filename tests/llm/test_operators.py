@@ -448,6 +448,13 @@ def test_language_model(spark):
     assert langid.detect_language(df.limit(0), m).count() == 0
 
 
+def test_training_sample_has_every_language(spark):
+    rows = [(f"text {k} {n}", f"lang{k}") for k in range(230) for n in range(3 if k < 229 else 1)]
+    df = spark.createDataFrame(rows + [(None, "lang0"), ("text", None)], "text string, lang string")
+    got = langid.training_sample(df, "text", "lang", 5)
+    assert sorted((t, y) for _, t, y in got) == sorted(rows)
+
+
 def test_subwords_ignore_case_and_signs():
     assert sorted(langid.subwords("Ab c")) == sorted(langid.subwords("  aB,, C ")) and len(langid.subwords("12 !")) == 0
     assert len(langid.subwords("a")) == 4  # a, _a, a_, _a_
