@@ -11,6 +11,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..arrow import lower_batches
 
 #: Input of one Arrow batch handed to Python: rows and bytes, whichever comes first.
 BATCH_ROWS = 2000
@@ -19,8 +22,7 @@ BATCH_BYTES = 4 << 20
 
 def bound_batches(spark: SparkSession, most_bytes: int = BATCH_BYTES) -> None:
     """Bound the Arrow batches that Python workers get, since a row may hold a long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+    lower_batches(spark, BATCH_ROWS, most_bytes)
 
 
 def _give_back() -> None:
@@ -43,9 +45,12 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Where none is set, a temporary
+    one for a session on this machine alone, as in tests; an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "foliant-shared")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -64,5 +69,41 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """Tables written on the way to a result; ``clear`` deletes those that nothing reads any more."""
+
+    def __init__(self):
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(df.sparkSession, name)
+        df.write.parquet(path)
+        self.paths.append((df.sparkSession, path))
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for spark, path in self.paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        self.paths = []
+
+
+#: Keys whose facts are broadcast, at most.
+HOT_KEYS = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """rows with the facts (a written table, a row for each key) of their key; ``count`` names the
+    number of rows of a key, or a bound in proportion to it, and is dropped. Keys that hold more
+    than one in HOT_KEYS of all rows, fewer than HOT_KEYS therefore, are joined by broadcast, all
+    others by a shuffle, in which no key is large."""
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    hot = (F.col(count) * HOT_KEYS > total) & F.col(key).isNotNull()
+    large = F.broadcast(facts.where(hot).drop(count))
+    known = rows.join(large, key)
+    others = rows.join(F.broadcast(facts.where(hot).select(key)), key, "left_anti").join(facts.where(~hot).drop(count), key, how)
+    return known.unionByName(others)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,25 +11,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Shelf
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component) for every node that a link touches; component is the smallest
     node reachable. Nulls and loops are left out."""
     links = links.select(F.greatest(a, b).cast("bigint").alias("a"), F.least(a, b).cast("bigint").alias("b")).where("a <> b").distinct()
-    links = materialise(links, "links")
-    label = None
+    label, last, labels = None, Shelf(), Shelf()
+    links = last.put(links, "links")
     for _ in range(rounds):
+        now, named = Shelf(), Shelf()
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
-        to = materialise(to, "up")
+        to = now.put(to, "up")
         if label is None:
             label = to.select("node", F.col("up").alias("component"))
         else:
             nxt = to.select(F.col("node").alias("component"), "up")
             label = label.join(nxt, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-        label = materialise(label, "label")
+        label = named.put(label, "label")
+        labels.clear()
+        labels = named
         links = (
             links.join(to.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a")
             .join(to.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
@@ -37,8 +40,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             .select(F.greatest("ua", "ub").alias("a"), F.least("ua", "ub").alias("b"))
             .distinct()
         )
-        links = materialise(links, "links")
+        links = now.put(links, "links")
+        last.clear()
+        last = now
         if links.isEmpty():
+            last.clear()
             return label
     raise RuntimeError(f"components did not end within {rounds} rounds")
 

@@ -10,14 +10,15 @@ more, by an alignment inside the band of the edits allowed.
 Work follows links, not pairs: exact copies are one class; each key first pairs its
 members with its smallest one, and links are united, so that a key whose members are
 copies of one text costs one comparison for each. Members of a key that are then
-still in different components are compared if both have four such keys at least and
-their rare parts, without k-mers that many components hold, agree in one of 24 smallest
-k-mers; texts that only have a passage in common do not.
+still in different components meet by a prefix filter over all their k-mers, ordered by
+full counts; texts that only have a passage in common do not.
 
-Candidates are complete for k-mer similarity 0.8 but for the chance of sharing fewer
-than four keys of 24, 9e-5. Pairs that edits leave with fewer common k-mers, down
-to edit similarity 0.8, are mostly found too, by the keys of their smallest member or
-their rare parts.
+Candidates are complete for k-mer similarity 0.8 but for the chance of sharing none of
+24 keys, under 1e-7. Pairs that edits leave with fewer common k-mers, down to edit
+similarity 0.8, are mostly found too, by the keys of their smallest member or their
+rare parts.
+
+Nodes are numbered in the order of their texts' digests, so reruns agree.
 
 Defined cases: null texts and texts without words link with nothing and are classes
 of their own; rows with equal ids are one document if their texts are equal, else
@@ -36,12 +37,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, lean, materialise
+from .common import Shelf, bound_batches, join_facts, lean
 from .graph import components
 
 K, SKETCHES, SAMPLE, SIMILARITY = 5, 24, 3, 0.8
-#: Keys that a text must share with texts of other components to be compared once more.
-SHARED = 4
 #: Texts that hold a k-mer by which less similar texts are paired too, at most.
 OFTEN = 64
 #: Texts whose k-mers are counted together before they are added up.
@@ -190,39 +189,55 @@ def near_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int32()), lists], names=["doc_id", "digest", "words", "keys"])
 
-    rows = materialise(docs.select("doc_id", "digest", "text").mapInArrow(lean(sketch), "doc_id bigint, digest binary, words int, keys array<bigint>"), "sketches")
-    # exact copies are one class: (node, digest, first doc_id, words, keys)
+    shelf, kept = Shelf(), Shelf()
+    rows = kept.put(docs.select("doc_id", "digest", "text").mapInArrow(lean(sketch), "doc_id bigint, digest binary, words int, keys array<bigint>"), "sketches")
+    # exact copies are one class: (node, digest, first doc_id, copies, words, keys)
     classes = rows.where("words > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("words").alias("words"), F.any_value("keys").alias("keys"))
-    classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
-    keyed = classes.select("node", "words", F.posexplode("keys").alias("place", "key")).select("key", "node", "words")
+    classes = numbered(classes, "digest", "node", shelf)
+    keyed = classes.select("node", "words", F.explode("keys").alias("key"))
     lead = keyed.groupBy("key").agg(F.min(F.struct("node", "words")).alias("lead"), F.max("node").alias("last")).where("lead.node <> last").select("key", "lead")
-    shared = materialise(keyed.join(lead, "key").select("key", "node", "words", "lead"), "shared")
+    shared = shelf.put(keyed.join(lead, "key").select("key", "node", "words", "lead"), "shared")
     near_size = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (least - 1e-9)
     stars = shared.where((F.col("node") != F.col("lead.node")) & near_size(F.col("words"), F.col("lead.words"))).select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()
-    first = _verify(materialise(stars, "stars"), classes, docs, least)
+    first = _verify(shelf.put(stars, "stars"), classes, docs, least, shelf)
     found = components(first)
 
     # members of a key in different components yet: compared where they can be similar
     labels = found.select("node", "component")
     left = shared.select("key", "node", "words").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    several = left.join(mixed, "key").groupBy("node", "words", "component").agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") >= min(SHARED, sketches))
-    rest = materialise(several.drop("keys"), "mixed")
-    second = _verify(materialise(_close_pairs(rest, classes, docs, k, least, sketches), "rest"), classes, docs, least)
-    links = first.unionByName(second)
-    final = components(links)
-    named = classes.join(final, "node", "left").select("digest", "copies", "first", F.coalesce("component", "node").alias("component"))
-    named = materialise(named, "named")
-    sizes = named.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_text = named.select("digest", "component").join(sizes, "component").select("digest", "class_id", "class_size")
-    known = rows.select("doc_id", F.when(F.col("words") > 0, F.col("digest")).alias("digest")).join(by_text, "digest", "left")
+    rest = shelf.put(left.join(mixed, "key").select("node", "words", "component").distinct(), "mixed")
+    second = _verify(shelf.put(_close_pairs(rest, classes, docs, k, least, sketches, shelf), "rest"), classes, docs, least, shelf)
+    final = components(first.unionByName(second))
+    named = shelf.put(classes.join(final, "node", "left").select("digest", "copies", "first", F.coalesce("component", "node").alias("component")), "named")
+    sizes = named.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("members"))
+    sizes = shelf.put(sizes, "sizes")
+    by_text = join_facts(named.select("digest", "component", "copies"), sizes, "component", "members").select("digest", "class_id", "class_size", "copies")
+    by_text = kept.put(by_text, "by-text")
+    known = join_facts(rows.select("doc_id", F.when(F.col("words") > 0, F.col("digest")).alias("digest")), by_text, "digest", "copies", "left")
+    shelf.clear()
     class_id = F.coalesce("class_id", "doc_id")
     return known.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
 
 
-def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text), from the document that gave the class its first id."""
-    wanted = nodes.join(classes.select("node", "digest", "first"), "node")
+def numbered(df: DataFrame, by: str, out: str, shelf: Shelf) -> DataFrame:
+    """df with the place of each row in the order of ``by``, whose values differ, from 0: the same
+    whatever the partitions. A row for each partition comes to the driver."""
+    placed = df.repartitionByRange(by).sortWithinPartitions(by).select(F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__at"), "*")
+    placed = shelf.put(placed, "numbered")
+    many = sorted((r[0], r[1] + 1) for r in placed.groupBy("__part").agg(F.max("__at")).collect())
+    before, total = [], 0
+    for part, n in many:
+        before.append((part, total))
+        total += n
+    start = df.sparkSession.createDataFrame(before, "__part int, __before bigint")
+    return placed.join(F.broadcast(start), "__part").select((F.col("__before") + F.col("__at")).alias(out), *df.columns)
+
+
+def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shelf: Shelf) -> DataFrame:
+    """(node, text), from the document that gave the class its first id. The nodes are a written
+    table of known size: texts are only shuffled where it is too large for a broadcast."""
+    wanted = shelf.put(nodes.join(classes.select("node", "digest", "first"), "node"), "wanted")
     return docs.join(wanted, (docs["digest"] == wanted["digest"]) & docs["doc_id"].eqNullSafe(wanted["first"])).select("node", "text").dropDuplicates(["node"])
 
 
@@ -233,7 +248,7 @@ def prefix_size(n: int, alone: int, least: float) -> int:
     return max(0, n - alone - math.ceil(least * n - 1e-9) + 1)
 
 
-def _close_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float, sketches: int) -> DataFrame:
+def _close_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float, sketches: int, shelf: Shelf) -> DataFrame:
     """Pairs (a, b) of nodes (node, words, component) of different components that may be similar.
 
     All pairs of k-mer similarity ``least`` are there: k-mers are ordered by the number of
@@ -267,9 +282,9 @@ def _close_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, k: int, l
                 value, count = np.unique(whole.values.flatten().to_numpy(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), block)), pa.array(value), pa.array(count)], names=["block", "kmer", "n"])
 
-    kmers = _texts(rest.select("node"), classes, docs).mapInArrow(lean(hashes), "node bigint, kmers array<bigint>")
+    kmers = _texts(rest.select("node"), classes, docs, shelf).mapInArrow(lean(hashes), "node bigint, kmers array<bigint>")
     kmers = kmers.join(rest, "node").select("node", "words", "component", "kmers")
-    blocks = materialise(kmers.mapInArrow(lean(pack), "block bigint, node array<bigint>, words array<int>, component array<bigint>, kmers array<array<bigint>>"), "kmers")
+    blocks = shelf.put(kmers.mapInArrow(lean(pack), "block bigint, node array<bigint>, words array<int>, component array<bigint>, kmers array<array<bigint>>"), "kmers")
     # texts that hold a k-mer, counted within blocks of texts first: a row for each block, not for each text
     each = blocks.select("block", "kmers").mapInArrow(lean(tally), "block bigint, kmer bigint, n bigint")
     held = each.groupBy("kmer").agg(F.sum("n").alias("held")).where("held > 1")
@@ -301,7 +316,7 @@ def _close_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, k: int, l
                 yield pa.RecordBatch.from_arrays(cols, names=["node", "words", "component", "n", "place", "key"])
 
     chosen = blocks.join(known, "block").select("block", "node", "words", "component", "kmers", "kmer", "held")
-    keyed = materialise(chosen.mapInArrow(lean(choose), "node bigint, words int, component bigint, n int, place int, key bigint").distinct(), "close")
+    keyed = shelf.put(chosen.mapInArrow(lean(choose), "node bigint, words int, component bigint, n int, place int, key bigint").distinct(), "close")
     p, q = keyed.alias("p"), keyed.alias("q")
     sizes = F.least("p.words", "q.words") >= F.greatest("p.words", "q.words") * (least - 1e-9)
     # k-mers that two texts can have in common at most, by the places where they meet
@@ -311,7 +326,7 @@ def _close_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, k: int, l
     return joined.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float, shelf: Shelf) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar; a written table."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
@@ -320,7 +335,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float)
             seqs = [word_hashes(t or "").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seqs, pa.binary())], names=["node", "seq"])
 
-    seqs = materialise(_texts(nodes, classes, docs).mapInArrow(lean(hashes), "node bigint, seq binary"), "words")
+    seqs = shelf.put(_texts(nodes, classes, docs, shelf).mapInArrow(lean(hashes), "node bigint, seq binary"), "words")
     joined = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("sa")), "a").join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("sb")), "b")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,4 +343,4 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float)
             ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return materialise(joined.select("a", "b", "sa", "sb").mapInArrow(lean(keep), "a bigint, b bigint"), "similar")
+    return shelf.put(joined.select("a", "b", "sa", "sb").mapInArrow(lean(keep), "a bigint, b bigint"), "similar")
