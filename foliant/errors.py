@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
+_context_size: ContextVar[int] = ContextVar("context_size", default=200)
+
 
 class PDFError(Exception):
     """An error at a byte position, with the bytes around it."""
@@ -31,6 +35,12 @@ class PDFWrongPasswordError(PDFError):
     """Neither the user's nor the owner's password."""
 
 
-def around(data: bytes, pos: int, size: int = 200) -> bytes:
+def set_context_size(size: int) -> None:
+    """How many bytes of context errors carry from now on; 200 at first."""
+    _context_size.set(size)
+
+
+def around(data: bytes, pos: int) -> bytes:
     """Bytes about a position, for error columns."""
-    return bytes(data[max(0, pos - size // 2) : pos + size // 2])
+    half = _context_size.get() // 2
+    return bytes(data[max(0, pos - half) : pos + half])

@@ -10,9 +10,12 @@ import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 
+from ..arrow import lower_batches
+
 SPECIAL = b"()<>[]{}/%#"
 
 
@@ -110,10 +113,12 @@ class Pdf:
         self.size = max(self.size, num + 1)
         return at
 
-    def revision(self, objects: dict[int, bytes], trailer: bytes = b"", free: tuple[int, ...] = (), xref: str = "table", packed: dict[int, bytes] | None = None, bad_start: int | None = None) -> Pdf:
+    def revision(self, objects: dict[int, bytes], trailer: bytes = b"", free: tuple[int, ...] = (), xref: str = "table", packed: dict[int, bytes] | None = None, bad_start: int | None = None, gens: dict[int, int] | None = None, seal: Callable[[int, bytes], bytes] | None = None) -> Pdf:
         """Append objects and their cross-reference section: table, stream or hybrid. ``packed``
-        objects go into an object stream."""
-        where: dict[int, tuple[int, int, int]] = {n: (1, self._put(n, b), 0) for n, b in objects.items()}
+        objects go into an object stream, whose data ``seal`` encrypts by its number. ``gens``:
+        generations of objects that are not of the first."""
+        gens = gens or {}
+        where: dict[int, tuple[int, int, int]] = {n: (1, self._put(n, b, gens.get(n, 0)), gens.get(n, 0)) for n, b in objects.items()}
         for n in free:
             where[n] = (0, 0, 1)
             self.size = max(self.size, n + 1)
@@ -124,7 +129,9 @@ class Pdf:
                 pairs.append(b"%d %d" % (n, len(body)))
                 body += b + b" "
             head = b" ".join(pairs) + b" "
-            where[container] = (1, self._put(container, filtered(head + bytes(body), "FlateDecode", extra=b"/Type /ObjStm /N %d /First %d" % (len(packed), len(head)))), 0)
+            data = zlib.compress(head + bytes(body))
+            data = seal(container, data) if seal else data
+            where[container] = (1, self._put(container, stream(data, b"/Filter /FlateDecode /Type /ObjStm /N %d /First %d" % (len(packed), len(head)))), 0)
             for k, n in enumerate(packed):
                 where[n] = (2, container, k)
         prev = b" /Prev %d" % self.prev if self.prev is not None else b""
@@ -229,8 +236,26 @@ def object_key(key: bytes, num: int, aes: bool) -> bytes:
 def generate(df: DataFrame, make: Callable[[dict], tuple[str, bytes]]) -> DataFrame:
     """(path, content) of one file for each row, by a function of the row as a dict."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([make(r) for r in pdf.to_dict("records")], columns=["path", "content"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [make(r) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.binary())], names=["path", "content"])
+
+    lower_batches(df.sparkSession, 2000, 4 << 20)
+    return df.mapInArrow(run, "path string, content binary")
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write the contents under a folder that all executors share, named by their paths; a task
+    that is run again writes the same files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{root}/{path}.pdf") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
 
-    return df.mapInPandas(run, "path string, content binary")
+    files.mapInArrow(run, "n bigint").agg({"n": "sum"}).collect()

@@ -39,9 +39,11 @@ def arrow_type(ddl: str) -> pa.DataType:
 # ------------------------------------------------------------- JVM expressions
 
 def pdf_version(content: Column) -> Column:
-    """The first line without its first character; only the head of the file is looked at."""
+    """The first line without its first character; more than the head of the file is only
+    looked at where the line goes on beyond it."""
     head = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
-    return F.substr(F.regexp_extract(head, r"^[^\r\n]*", 0), F.lit(2))
+    line = F.when(head.rlike(r"[\r\n]"), head).otherwise(F.decode(content, "ISO-8859-1"))
+    return F.substr(F.regexp_extract(line, r"^[^\r\n]*", 0), F.lit(2))
 
 
 def pdf_unhex(digits: Column) -> Column:
@@ -156,6 +158,41 @@ def pdf_token_array(data: Column) -> Column:
     return F.arrow_udf(_tokens, f"array<{TOKEN}>")(data)
 
 
+GROUP = "struct<group_no:int,operator:string,operands:array<string>>"
+GROUP_LIST = pa.list_(pa.struct([("group_no", pa.int32()), ("operator", pa.string()), ("operands", pa.list_(pa.string()))]))
+
+
+def _text(tag: str, value: object) -> str | None:
+    if isinstance(value, bool):
+        return str(value).lower()
+    return value.decode("latin-1") if isinstance(value, bytes) else None if value is None else str(value)
+
+
+def _operators(data: pa.Array) -> pa.Array:
+    out = []
+    for d in data.to_pylist():
+        groups, held = (None, []) if d is None else ([], [])
+        try:
+            for t in tokens(d) if d else ():
+                if t.tag == "operator":
+                    groups.append({"group_no": len(groups), "operator": str(t.value), "operands": held})
+                    held = []
+                else:
+                    held.append(_text(t.tag, t.value))
+        except PDFError as e:
+            held.append(type(e).__name__)
+        if held:
+            groups.append({"group_no": len(groups), "operator": None, "operands": held})
+        out.append(groups)
+    return pa.array(out, GROUP_LIST)
+
+
+def pdf_operator_array(data: Column) -> Column:
+    """Operators of a content stream with their operands as text; what no operator follows is
+    a last group without one, ended by the class of the error where bytes are no token."""
+    return F.arrow_udf(_operators, f"array<{GROUP}>")(data)
+
+
 def _nodes(data: pa.Array) -> pa.Array:
     out = []
     for d in data.to_pylist():

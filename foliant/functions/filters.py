@@ -103,6 +103,8 @@ def flate(data: bytes, parms: dict) -> bytes:
         out += d.flush()
     except zlib.error as e:
         raise PDFGenericError(f"deflate: {e}") from e
+    if not d.eof:
+        raise PDFGenericError("deflate: the data ends early")
     return undo_predictor(out, parms)
 
 

@@ -30,6 +30,7 @@ class Entry:
     offset: int | None = None
     objstm: int | None = None
     idx: int | None = None
+    ended: int = 0  # of a free entry: the generation that was freed
 
 
 @dataclass
@@ -49,7 +50,9 @@ def version_of(data: bytes) -> str:
 
 class PdfFile:
     """Index of a file; objects are parsed when asked for. The index of the file is read on
-    creation; of two entries for a number the newer revision's counts."""
+    creation; of two entries for a number the newer revision's counts. References name a
+    number and a generation: of two entries for both the newer one counts, and a free one
+    stands for the generation that it ended."""
 
     def __init__(self, data: bytes, password: str | bytes | None = None):
         self.data = data
@@ -60,20 +63,22 @@ class PdfFile:
             for k, v in s.trailer.items():
                 self.trailer.setdefault(k, v)
         self.latest: dict[int, Entry] = {}
+        self.by_generation: dict[tuple[int, int], Entry] = {}
         for s in self.sections:
             for e in s.entries:
                 self.latest.setdefault(e.num, e)
+                self.by_generation.setdefault((e.num, e.ended if e.kind == "f" else e.gen), e)
         self._members: dict[int, dict[int, object]] = {}
         self.security = None
         encrypt = self.trailer.get("Encrypt")
         if encrypt is not None:
             if isinstance(encrypt, Ref):
                 self.encrypt_num = encrypt.num
-                encrypt = self.get(encrypt.num)
+                encrypt = self.get(encrypt)
             if not isinstance(encrypt, dict):
                 raise PDFSyntaxError("Encrypt is no dictionary")
             ids = self.trailer.get("ID")
-            ids = self.get(ids.num) if isinstance(ids, Ref) else ids
+            ids = self.get(ids)
             first = ids[0] if isinstance(ids, list) and ids else b""
             first = first.decoded if isinstance(first, Hex) else bytes(first)
             self.security = ciphers.open_security(encrypt, first, password)
@@ -125,7 +130,7 @@ class PdfFile:
                 if e[3] == b"n":
                     entries.append(Entry("n", first + k, int(e[2]), offset=int(e[1])))
                 else:
-                    entries.append(Entry("f", first + k, int(e[2])))
+                    entries.append(Entry("f", first + k, int(e[2]), ended=int(e[2]) - 1))
         t = token_at(self.data, at)
         if t is None or (t.tag, t.value) != ("keyword", "trailer"):
             raise PDFSyntaxError("no trailer after a cross-reference table", at, around(self.data, at))
@@ -163,7 +168,7 @@ class PdfFile:
                 if num == 0 and a == 0:
                     continue
                 if a == 0:
-                    entries.append(Entry("f", num, c))
+                    entries.append(Entry("f", num, c, ended=c - 1))
                 elif a == 1:
                     entries.append(Entry("n", num, c, offset=b))
                 elif a == 2:
@@ -174,7 +179,7 @@ class PdfFile:
 
     def filters_of(self, d: dict, direct: bool = False) -> tuple[list[str], list[dict | None]]:
         """Names and parameters of the filters of a stream's dictionary."""
-        look = (lambda v: v) if direct else (lambda v: self.get(v.num) if isinstance(v, Ref) else v)
+        look = (lambda v: v) if direct else self.get
         names, parms = look(d.get("Filter")), look(d.get("DecodeParms"))
         if look(d.get("F")) is not None:
             raise PDFUnsupportedError("streams in external files")
@@ -185,21 +190,36 @@ class PdfFile:
 
     def _length(self, d: dict) -> int:
         length = d.get("Length")
-        if isinstance(length, Ref):
-            try:
-                length = self.get(length.num)
-            except RecursionError:
-                length = None
+        try:
+            length = self.get(length)
+        except RecursionError:
+            length = None
         if not isinstance(length, int) or isinstance(length, bool):
             raise PDFSyntaxError("the length of a stream is missing or no integer")
         return length
 
-    def get(self, num: int) -> object:
-        """The current value of an object; None if there is none or it is free."""
+    def find(self, ref: Ref) -> tuple[str, Entry | None]:
+        """What a reference finds: ``found``, ``free``, ``generation`` (the number is in use, but
+        not under that generation) or ``missing``; and the entry."""
+        newest = self.latest.get(ref.num)
+        if newest is None or newest.kind == "f":
+            return ("missing" if newest is None else "free"), newest
+        e = self.by_generation.get((ref.num, ref.gen))
+        if e is None:
+            return "generation", None
+        return ("free" if e.kind == "f" else "found"), e
+
+    def get(self, value: object) -> object:
+        """The value itself, or what it refers to: None if there is nothing or it is free."""
+        if not isinstance(value, Ref):
+            return value
+        e = self.find(value)[1]
+        return None if e is None or e.kind == "f" else self.read(e)
+
+    def object(self, num: int) -> object:
+        """The current value of an object, whatever its generation; None if there is none or it is free."""
         e = self.latest.get(num)
-        if e is None or e.kind == "f":
-            return None
-        return self.read(e)
+        return None if e is None else self.read(e)
 
     def read(self, e: Entry) -> object:
         if e.kind == "f":
@@ -239,8 +259,8 @@ class PdfFile:
         method = self.security.method_of(stream)
         return method, b"" if method == "Identity" else self.security.object_key(num, gen, method)
 
-    def stream_bytes(self, stream: Stream, num: int, gen: int) -> bytes:
-        return filters.decode(ciphers.decrypt(*self.cipher_of(stream, num, gen), stream.raw), *self.filters_of(stream.entries))
+    def stream_bytes(self, stream: Stream, num: int, gen: int, known: dict | None = None) -> bytes:
+        return filters.decode(ciphers.decrypt(*self.cipher_of(stream, num, gen), stream.raw), *self.filters_of(stream.entries), known)
 
     def _object_stream(self, num: int) -> dict[int, object]:
         """All members of an object stream, decoded once."""
@@ -251,7 +271,7 @@ class PdfFile:
             if not isinstance(stream, Stream):
                 raise PDFSyntaxError(f"object stream {num} is missing")
             body = self.stream_bytes(stream, num, e.gen)
-            many, first = (self.get(v.num) if isinstance(v := stream.entries.get(k), Ref) else v for k in ("N", "First"))
+            many, first = (self.get(stream.entries.get(k)) for k in ("N", "First"))
             head = Reader(body)
             try:
                 pairs = [head.read() for _ in range(2 * many)]

@@ -19,13 +19,16 @@ WHITE = rb"\x00\t\n\x0c\r "
 DELIMITERS = rb"()<>\[\]{}/%"
 REGULAR = rb"!-$&'*-.0-;=?-Z\\^-z|~"  # printable, and no delimiter
 KEYWORDS = (b"endobj", b"obj", b"trailer", b"xref", b"startxref", b"endstream", b"stream")
+#: Words that are no operators: (tag, value).
+WORDS = {b"true": ("bool", True), b"false": ("bool", False), b"null": ("null", None)} | {w: ("keyword", w.decode()) for w in KEYWORDS}
 ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
-SKIP = re.compile(rb"(?:[" + WHITE + rb"]+|%[^\r\n]*)*")
+#: Blanks and comments, then one token or the end; nothing in it is ever matched twice.
 TOKEN = re.compile(
-    rb"(?P<dict_delim><<|>>)|(?P<hex><[0-9A-Fa-f" + WHITE + rb"]*>)|(?P<open>\()|(?P<name>/[" + REGULAR + rb"]*)"
-    rb"|(?P<number>[+-]?(?:\d+(?P<point>\.\d*)?|(?P<fraction>\.\d+)))|(?P<singleton>[\[\]{}])|(?P<word>[" + REGULAR + rb"]+)"
+    rb"(?>(?:[" + WHITE + rb"]++|%[^\r\n]*+)*+)(?:(?P<name>/[" + REGULAR + rb"]*+)|(?P<integer>[+-]?+\d++(?!\.))|(?P<dict_delim><<|>>)|(?P<singleton>[\[\]{}])"
+    rb"|(?P<real>[+-]?+(?:\d++\.\d*+|\.\d++))|(?P<word>[" + REGULAR + rb"]++)|(?P<open>\()|(?P<hex><[0-9A-Fa-f" + WHITE + rb"]*+>)|(?P<end>\Z))"
 )
+SKIP = re.compile(rb"(?:[" + WHITE + rb"]++|%[^\r\n]*+)*+")
 IN_STRING = re.compile(rb"[()\\\r]")
 ESCAPED = re.compile(rb"\\(?:([0-7]{1,3})|(\r\n|\r|\n)|(.))|\r\n?", re.S)
 NAME_CODE = re.compile(rb"#(.{0,2})", re.S)
@@ -86,37 +89,37 @@ def string_end(data: bytes, pos: int) -> int:
     raise PDFLexicalError("a literal string has no end", pos, around(data, pos))
 
 
-def token_at(data: bytes, pos: int) -> Token | None:
+def token_at(data: bytes, pos: int, match=TOKEN.match, new=tuple.__new__) -> Token | None:
     """The token at or after pos; None at the end."""
-    pos = SKIP.match(data, pos).end()
-    if pos >= len(data):
-        return None
-    m = TOKEN.match(data, pos)
+    m = match(data, pos)
     if m is None:
+        pos = SKIP.match(data, pos).end()
         raise PDFLexicalError("bytes that start no token", pos, around(data, pos))
-    kind, end, raw = m.lastgroup, m.end(), m[0]
-    if m["number"] is not None:
-        if m["point"] is None and m["fraction"] is None:
-            return Token("integer", int(raw), pos, end)
-        return Token("real", float(raw), pos, end)
+    kind = m.lastgroup
+    pos, end = m.span(kind)
     if kind == "name":
-        return Token("name", unescape_name(raw[1:], pos, data), pos, end)
+        raw = data[pos + 1 : end]
+        return new(Token, ("name", unescape_name(raw, pos, data) if b"#" in raw else raw.decode(), pos, end))
+    if kind == "integer":
+        return new(Token, ("integer", int(m[kind]), pos, end))
+    if kind == "dict_delim" or kind == "singleton":
+        return new(Token, (kind, m[kind].decode(), pos, end))
+    if kind == "end":
+        return None
     if kind == "open":
         end = string_end(data, pos)
-        return Token("string", unescape(data[pos + 1 : end - 1]), pos, end)
+        return new(Token, ("string", unescape(data[pos + 1 : end - 1]), pos, end))
+    raw = m[kind]
+    if kind == "real":
+        return new(Token, ("real", float(raw), pos, end))
     if kind == "hex":
-        return Token("hex", BLANKS.sub(b"", raw[1:-1]), pos, end)
-    if kind in ("dict_delim", "singleton"):
-        return Token(kind, raw.decode(), pos, end)
-    if raw in (b"true", b"false"):
-        return Token("bool", raw == b"true", pos, end)
-    if raw == b"null":
-        return Token("null", None, pos, end)
-    if raw in KEYWORDS:
-        return Token("keyword", raw.decode(), pos, end)
-    if raw[:1] in b"+-." or raw[:1].isdigit():
+        return new(Token, ("hex", BLANKS.sub(b"", raw[1:-1]), pos, end))
+    word = WORDS.get(raw)
+    if word is not None:
+        return new(Token, (*word, pos, end))
+    if raw[:1] in b"+-.":
         raise PDFLexicalError("a sign or point without digits", pos, around(data, pos))
-    return Token("operator", unescape_name(raw, pos, data), pos, end)
+    return new(Token, ("operator", unescape_name(raw, pos, data), pos, end))
 
 
 def tokens(data: bytes, pos: int = 0) -> Iterator[Token]:

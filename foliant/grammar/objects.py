@@ -13,11 +13,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from ..errors import PDFLexicalError, PDFSyntaxError, around
-from .lexer import Token, token_at, tokens
+from .lexer import REGULAR, WHITE, Token, token_at, tokens
 
 DEEPEST = 400
 END_STREAM = re.compile(rb"[\x00\t\n\x0c\r ]*endstream")
 STREAM_START = re.compile(rb"\r?\n")
+GAP = rb"(?:[" + WHITE + rb"]++|%[^\r\n]*+)"
+#: What makes an integer the start of a reference or an indirect object.
+AFTER_NUMBER = re.compile(GAP + rb"++\+?+(\d++)" + GAP + rb"++(R|obj)(?![" + REGULAR + rb"])")
+STREAM_WORD = re.compile(GAP + rb"*+stream(?![" + REGULAR + rb"])")
 
 
 class Name(str):
@@ -82,7 +86,7 @@ class Reader:
     def _next(self) -> Token | None:
         t = token_at(self.data, self.pos)
         if t is not None:
-            self.pos = t.end
+            self.pos = t[3]
         return t
 
     def _need(self, what: str) -> Token:
@@ -110,78 +114,69 @@ class Reader:
             yield value
 
     def _object(self, t: Token, depth: int) -> object:
-        if depth > DEEPEST:
-            self._fail("objects are nested too deeply", t)
-        tag, value = t.tag, t.value
-        if tag == "integer":
-            return self._after_integer(t, depth)
-        if tag in ("real", "bool", "null"):
-            return value
+        tag, value = t[0], t[1]
         if tag == "name":
             return Name(value)
+        if tag == "integer":
+            return self._after_integer(t, depth)
         if tag == "string":
             return Str(value)
         if tag == "hex":
             return Hex(value)
+        if tag in ("real", "bool", "null"):
+            return value
+        if depth > DEEPEST:
+            self._fail("objects are nested too deeply", t)
+        if tag == "dict_delim" and value == "<<":
+            return self._after_dict(self._dict(depth))
         if tag == "singleton" and value == "[":
             out = []
             while not ((t := self._need("an array")).tag == "singleton" and t.value == "]"):
                 out.append(self._object(t, depth + 1))
             return out
-        if tag == "dict_delim" and value == "<<":
-            return self._after_dict(self._dict(depth))
         if tag in ("operator", "singleton") and self.content_mode and value not in ("[", "]"):
             return Operator(value)
         self._fail(f"{tag} {value!r} starts no object", t)
 
     def _dict(self, depth: int) -> dict:
         out = {}
-        while not ((t := self._need("a dictionary")).tag == "dict_delim" and t.value == ">>"):
-            if t.tag != "name":
+        while not ((t := self._need("a dictionary"))[0] == "dict_delim" and t[1] == ">>"):
+            if t[0] != "name":
                 self._fail("a dictionary key is no name", t)
-            out[str(t.value)] = self._object(self._need("a dictionary"), depth + 1)
+            out[t[1]] = self._object(self._need("a dictionary"), depth + 1)
         return out
 
     def _after_integer(self, t: Token, depth: int) -> object:
         """Three tokens may make a reference or start an indirect object."""
-        back = self.pos
-        try:
-            second = token_at(self.data, back)
-            third = token_at(self.data, second.end) if second is not None and second.tag == "integer" else None
-        except PDFLexicalError:
+        m = AFTER_NUMBER.match(self.data, t.end)
+        if m is None or t.value < 0:
             return t.value
-        if third is not None and t.value >= 0 and second.value >= 0:
-            if third.tag == "operator" and third.value == "R":
-                self.pos = third.end
-                return Ref(t.value, second.value)
-            if third.tag == "keyword" and third.value == "obj":
-                self.pos = third.end
-                value = self._object(self._need("an indirect object"), depth + 1)
-                end = self._need("an indirect object")
-                if (end.tag, end.value) != ("keyword", "endobj"):
-                    self._fail("an indirect object does not end with endobj", end)
-                return Indirect(t.value, second.value, value)
-        return t.value
+        if m[2] == b"R":
+            self.pos = m.end()
+            return Ref(t.value, int(m[1]))
+        self.pos = m.end()
+        value = self._object(self._need("an indirect object"), depth + 1)
+        end = self._need("an indirect object")
+        if (end.tag, end.value) != ("keyword", "endobj"):
+            self._fail("an indirect object does not end with endobj", end)
+        return Indirect(t.value, int(m[1]), value)
 
     def _after_dict(self, entries: dict) -> object:
-        back = self.pos
-        try:
-            t = token_at(self.data, back)
-        except PDFLexicalError:
-            return entries
-        if t is None or (t.tag, t.value) != ("keyword", "stream"):
+        t = STREAM_WORD.match(self.data, self.pos)
+        if t is None:
             return entries
-        m = STREAM_START.match(self.data, t.end)
+        start = t.end()
+        m = STREAM_START.match(self.data, start)
         if m is None:
-            raise PDFLexicalError("stream is not followed by a line feed", t.end, around(self.data, t.end))
+            raise PDFLexicalError("stream is not followed by a line feed", start, around(self.data, start))
         length = entries.get("Length")
         if not isinstance(length, int) or isinstance(length, bool):
             if self.length_of is None:
-                raise PDFSyntaxError("a stream has no direct integer length", t.pos, around(self.data, t.pos))
+                raise PDFSyntaxError("a stream has no direct integer length", start, around(self.data, start))
             length = self.length_of(entries)
         end = END_STREAM.match(self.data, m.end() + length) if 0 <= length <= len(self.data) else None
         if end is None:
-            raise PDFSyntaxError("no endstream where the length of a stream says", t.pos, around(self.data, t.pos))
+            raise PDFSyntaxError("no endstream where the length of a stream says", start, around(self.data, start))
         self.pos = end.end()
         return Stream(entries, m.end(), length, bytes(self.data[m.end() : m.end() + length]))
 
@@ -237,9 +232,11 @@ def nodes_of(value: object) -> Iterator[tuple]:
             stack.extend((x, node, k, None) for k, x in reversed((v if tag == "dict" else v.entries).items()))
 
 
-def parse_sequence(data: bytes, content_mode: bool = True) -> Iterator[object]:
-    """Top-level objects of a byte sequence, one after the other."""
-    return iter(Reader(data, 0, content_mode))
+def parse_sequence(data: bytes, content_mode: bool = True, stream_reader: Callable[[dict], int] | None = None) -> Iterator[object]:
+    """Top-level objects of a byte sequence, one after the other. ``stream_reader`` gives the
+    length of a stream from its dictionary where that is no direct integer, as for lengths that
+    are references; without it such a stream is an error."""
+    return iter(Reader(data, 0, content_mode, stream_reader))
 
 
 __all__ = ["Hex", "Indirect", "Name", "Operator", "Reader", "Ref", "Str", "Stream", "nodes_of", "parse_sequence", "tag_of", "to_plain", "tokens"]

@@ -3,12 +3,13 @@
 A file is one row (path, content); everything inside a file (its chain of
 cross-reference sections, object streams, page tree) is read where the row is, in
 batches of bounded size, so that indexing and parsing need no shuffle at all. What
-comes out is relational: references are resolved by equi-joins, revisions compared
-by windows, decoded streams are column expressions that Catalyst drops when nobody
-selects them.
+comes out is relational: stored references are resolved by equi-joins, stored revisions
+compared by aggregates, decoded streams are column expressions that Catalyst drops when
+nobody selects them.
 
 mode: PERMISSIVE gives errors as a struct (class, msg, pos, context), FAILFAST
-raises, DROPMALFORMED leaves broken rows out. A null content gives no rows.
+raises where a broken file or object is read, whatever columns are selected,
+DROPMALFORMED leaves broken rows out. A null content gives no rows.
 """
 
 from __future__ import annotations
@@ -20,21 +21,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import PDFError, PDFSyntaxError
-from ..functions import columns
-from ..grammar.file import PdfFile
+from ..arrow import lower_batches
+from ..errors import PDFError, PDFSyntaxError, set_context_size
+from ..functions import columns, filters
+from ..grammar.file import PdfFile, Section
 from ..grammar.objects import Name, Ref, Stream, nodes_of, tag_of, to_plain
 
 #: Whole files in one Arrow batch: rows and bytes, whichever comes first.
-BATCH_FILES, BATCH_BYTES = 256, 64 << 20
+BATCH_FILES, BATCH_BYTES = 2000, 16 << 20
 #: Output rows of one batch, and the bytes after which one is closed.
 OUT_ROWS, OUT_BYTES = 4096, 32 << 20
 
 ENTRY = "struct<obj_num:int,gen_num:int,kind:string,offset:bigint,objstm_num:int,idx:int,live:boolean>"
 TRAILER = "struct<key:string,tag:string,json:string>"
 SECTIONS = f"path string, rev int, pos bigint, kind string, prev bigint, trailer array<{TRAILER}>, entries array<{ENTRY}>, error {columns.ERROR}"
-OBJECTS = f"path string, obj_num int, gen_num int, kind string, tag string, json string, stream_raw binary, filters array<string>, parms array<string>, cipher string, cipher_key binary, error {columns.ERROR}"
-NODES = "path string, obj_num int, gen_num int, " + columns.NODE.removeprefix("struct<").removesuffix(">").replace(":", " ")
+HEAD = "path string, obj_num int, gen_num int, kind string, tag string, json string"
+STREAM = ", stream_raw binary, filters array<string>, parms array<string>, cipher string, cipher_key binary"
+TARGET = "struct<status:string,obj_num:int,gen_num:int,tag:string,json:string>"
+NODES = "path string, obj_num int, gen_num int, " + columns.NODE.removeprefix("struct<").removesuffix(">").replace(":", " ") + f", error {columns.ERROR}"
 PAGES = f"path string, page_no int, obj_num int, gen_num int, json string, contents array<struct<obj_num:int,gen_num:int>>, error {columns.ERROR}"
 MODES = ("PERMISSIVE", "FAILFAST", "DROPMALFORMED")
 DEEPEST_TREE = 10_000
@@ -45,48 +49,46 @@ def _whole(e: Exception) -> dict:
 
 
 class Pdfs:
-    """Files as (path, content), opened with one password; see the module for modes."""
+    """Files as (path, content), opened with one password; see the module for modes.
+    ``context_size``: bytes about an error's place that its struct holds."""
 
-    def __init__(self, files: DataFrame, password: str | bytes | None = None, mode: str = "PERMISSIVE"):
+    def __init__(self, files: DataFrame, password: str | bytes | None = None, mode: str = "PERMISSIVE", context_size: int = 200):
         if mode not in MODES:
             raise ValueError(f"mode is one of {MODES}")
-        self.files, self.password, self.mode = files.select("path", "content"), password, mode
+        self.files, self.password, self.mode, self.context_size = files.select("path", "content"), password, mode, context_size
         self.spark: SparkSession = files.sparkSession
 
     # ------------------------------------------------------------ machinery
 
     def _scan(self, rows_of: Callable[[str, bytes, str | bytes | None], Iterator[dict]], schema: str) -> DataFrame:
-        """Rows of every file by a function of its path, bytes and password."""
-        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_FILES))
-        self.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-        password = self.password
+        """Rows of every file by a function of its path, bytes and password. Errors are raised
+        or left out here, so that it does not matter who selects the column."""
+        lower_batches(self.spark, BATCH_FILES, BATCH_BYTES)
+        password, mode, context_size = self.password, self.mode, self.context_size
         kind = columns.arrow_type(f"struct<{_colons(schema)}>")
         arrow = pa.schema(list(kind))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            set_context_size(context_size)
             out, held = [], 0
             for batch in batches:
                 for path, content in zip(batch.column(0), batch.column(1), strict=True):
                     if not content.is_valid:
                         continue
                     for row in rows_of(path.as_py(), content.as_py(), password):
+                        if row.get("error") is not None and mode != "PERMISSIVE":
+                            if mode == "FAILFAST":
+                                raise PDFError(f"{row['path']}: {row['error']['class']}: {row['error']['msg']}")
+                            continue
                         out.append(row)
-                        held += 64 + len(row.get("stream_raw") or b"") + len(row.get("json") or "")
+                        held += 64 + len(row.get("stream_raw") or b"") + len(row.get("json") or "") + len(row.get("content") or b"")
                         if len(out) >= OUT_ROWS or held >= OUT_BYTES:
                             yield pa.RecordBatch.from_pylist(out, schema=arrow)
                             out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-        return self._checked(self.files.mapInArrow(run, schema))
-
-    def _checked(self, df: DataFrame) -> DataFrame:
-        if "error" not in df.columns or self.mode == "PERMISSIVE":
-            return df
-        if self.mode == "DROPMALFORMED":
-            return df.where(F.col("error").isNull())
-        message = F.concat_ws(": ", F.col("path"), F.col("error.class"), F.col("error.msg"))
-        return df.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(message).cast(columns.ERROR)))
+        return self.files.mapInArrow(run, schema)
 
     # --------------------------------------------------------------- tables
 
@@ -115,20 +117,44 @@ class Pdfs:
         best = self.trailers().groupBy("path", "key").agg(F.min_by(newest, "rev").alias("v"))
         return best.select("path", "key", "v.tag", F.parse_json("v.json").alias("value"))
 
-    def objects(self, numbers: list[int] | None = None, live: bool = True) -> DataFrame:
+    def freed(self) -> DataFrame:
+        """path, obj_num that were in use in some revision and are free now; read with the chain of a file."""
+        return self._scan(_freed_rows, f"path string, obj_num int, error {columns.ERROR}").where("obj_num is not null").drop("error")
+
+    def objects(self, numbers: list[int] | None = None, live: bool = True, raw: bool = True, follow: dict[str, str] | None = None) -> DataFrame:
         """One row per current object (of ``numbers`` only, if given: others are not parsed):
         path, obj_num, gen_num, kind, tag, value, stream_raw, filters, parms, cipher,
-        cipher_key, error. Freed objects too (kind f) unless ``live``."""
+        cipher_key, error. Freed objects too (kind f) unless ``live``; without the five columns
+        of streams unless ``raw``.
+
+        ``follow``: column name -> path of keys in the object, as ``Info`` or ``Resources.Font``.
+        Such a column is a struct of what is at the end of the path, references on it and at its
+        end resolved in the file, without a join: status (found; or free, generation, missing:
+        what the last reference leads to; or absent), obj_num, gen_num, tag, value."""
         wanted = None if numbers is None else frozenset(numbers)
-        df = self._scan(lambda path, data, password: _object_rows(path, data, password, wanted, live), OBJECTS)
+        paths = {name: tuple(path.split(".")) for name, path in (follow or {}).items()}
+        schema = HEAD + (STREAM if raw else "") + "".join(f", `{name}` {TARGET}" for name in paths) + f", error {columns.ERROR}"
+        mode = self.mode
+        df = self._scan(lambda path, data, password: _object_rows(path, data, password, wanted, live, raw, paths, mode == "FAILFAST"), schema)
+        for name in paths:
+            df = df.withColumn(name, F.when(F.col(name).isNotNull(), F.struct(*(F.col(name)[c].alias(c) for c in ("status", "obj_num", "gen_num", "tag")), F.parse_json(F.col(name)["json"]).alias("value"))))
         return df.withColumn("value", F.parse_json("json")).drop("json")
 
     def streams(self, numbers: list[int] | None = None) -> DataFrame:
         """Streams with ``decoded`` and ``decode_error``; the decoding is a column
         expression and is not run unless one of them is selected."""
-        s = self.objects(numbers).where("tag = 'stream'")
-        s = s.withColumn("__d", columns.pdf_decode(*(F.col(c) for c in ("stream_raw", "filters", "parms", "cipher", "cipher_key"))))
-        s = s.withColumns({"decoded": F.col("__d.data"), "decode_error": F.col("__d.error")}).drop("__d")
+        return self.with_decoded(self.objects(numbers).where("tag = 'stream'"))
+
+    def with_decoded(self, objects: DataFrame) -> DataFrame:
+        """Rows of ``objects`` with ``decoded`` and ``decode_error``, null where they are no streams."""
+        # AES is undone by the JVM; only what has filters or another cipher goes to Python
+        aes = F.col("cipher").isin("AESV2", "AESV3") & (F.octet_length("stream_raw") >= 32)
+        s = objects.withColumn("__aes", F.when(aes, columns.aes_cbc_decrypt(F.col("stream_raw"), F.col("cipher_key"))))
+        cipher = F.when(F.col("__aes").isNotNull(), "Identity").otherwise(F.col("cipher"))
+        s = s.withColumns({"__clear": F.coalesce("__aes", "stream_raw"), "__cipher": cipher})
+        plain = (F.col("__cipher") == "Identity") & (F.size("filters") == 0)
+        s = s.withColumn("__d", columns.pdf_decode(F.when(~plain, F.col("__clear")), *(F.col(c) for c in ("filters", "parms", "__cipher", "cipher_key"))))
+        s = s.withColumns({"decoded": F.when(plain, F.col("__clear")).otherwise(F.col("__d.data")), "decode_error": F.col("__d.error")}).drop("__d", "__aes", "__clear", "__cipher")
         if self.mode == "DROPMALFORMED":
             return s.where("decode_error is null")
         if self.mode == "FAILFAST":
@@ -137,59 +163,85 @@ class Pdfs:
         return s
 
     def nodes(self, numbers: list[int] | None = None) -> DataFrame:
-        """Every value inside every current object, in pre-order."""
+        """Every value inside every current object, in pre-order; a row with ``error`` for each
+        file or object that cannot be read."""
         wanted = None if numbers is None else frozenset(numbers)
         return self._scan(lambda path, data, password: _node_rows(path, data, password, wanted), NODES)
 
+    def token_arrays(self, numbers: list[int] | None = None) -> DataFrame:
+        """path, source_obj, tokens: those of a decoded stream as one array."""
+        return self.streams(numbers).select("path", F.col("obj_num").alias("source_obj"), columns.pdf_token_array(F.col("decoded")).alias("tokens"))
+
+    def operators(self, numbers: list[int] | None = None) -> DataFrame:
+        """Operands gathered with the operator that follows them, stream by stream where it is:
+        path, source_obj, group_no, operator, operands (array of text)."""
+        s = self.streams(numbers).select("path", F.col("obj_num").alias("source_obj"), F.explode(columns.pdf_operator_array(F.col("decoded"))).alias("g"))
+        return s.select("path", "source_obj", "g.*")
+
     def tokens(self, numbers: list[int] | None = None) -> DataFrame:
         """Tokens of decoded streams: path, source_obj, seq, pos, tag, values."""
-        s = self.streams(numbers).select("path", F.col("obj_num").alias("source_obj"), "decoded")
-        return s.select("path", "source_obj", F.explode(columns.pdf_token_array(F.col("decoded"))).alias("t")).select("path", "source_obj", "t.*")
+        return self.token_arrays(numbers).select("path", "source_obj", F.explode("tokens").alias("t")).select("path", "source_obj", "t.*")
 
     def pages(self) -> DataFrame:
         """path, page_no (from 0, in the order of the tree), obj_num, gen_num, value, contents, error."""
         return self._scan(_page_rows, PAGES).withColumn("value", F.parse_json("json")).drop("json")
 
     def page_contents(self) -> DataFrame:
-        """path, page_no, content: decoded content streams of each page, parts joined by a line feed.
-        Pages and streams of a file meet in an equi-join on (path, obj_num)."""
-        parts = self.pages().where("error is null").select("path", "page_no", F.posexplode_outer("contents").alias("part", "ref"))
-        parts = parts.select("path", "page_no", "part", F.col("ref.obj_num").alias("obj_num"))
-        found = parts.join(self.streams().select("path", "obj_num", "decoded"), ["path", "obj_num"], "left")
-        joined = F.sort_array(F.collect_list(F.struct("part", "decoded")))
-        text = F.array_join(F.transform(joined, lambda s: F.hex(F.coalesce(s["decoded"], F.lit(b"")))), "0A")
-        return found.groupBy("path", "page_no").agg(F.unhex(text).alias("content"))
+        """path, page_no, content, error: decoded content streams of each page, parts joined by a
+        line feed, read where the file is. A part that is missing or cannot be decoded is empty,
+        with the first such error."""
+        known = dict(filters.FILTERS)
+        return self._scan(lambda path, data, password: _content_rows(path, data, password, known), f"path string, page_no int, content binary, error {columns.ERROR}")
 
     # ----------------------------------------------------------- resolution
 
-    def resolve(self, df: DataFrame, ref: Column | str, path: str = "path", into: str = "target") -> DataFrame:
-        """df with the object that ``ref`` (a struct ref_num, ref_gen) names as struct ``into``
-        (tag, value, kind); null where there is none or it is free."""
+    def resolve(self, df: DataFrame, ref: Column | str, path: str = "path", into: str = "target", numbers: list[int] | None = None) -> DataFrame:
+        """df with the object that ``ref`` (a struct ref_num, ref_gen) names as struct ``into``:
+        status (found, free, generation, missing), tag, value, kind; null where ref is null. A join
+        for references that are stored apart from their files; ``objects(follow=...)`` resolves
+        those of an object without one. ``numbers`` bounds the objects that are parsed. In mode
+        FAILFAST a reference that finds nothing is an error."""
         column = F.col(ref) if isinstance(ref, str) else ref
-        target = self.objects().select(F.col("path").alias("__path"), F.col("obj_num").alias("__num"), F.struct("tag", "value", "kind").alias(into))
-        keyed = df.withColumn("__ref", column["ref_num"])
-        return keyed.join(target, (F.col(path) == F.col("__path")) & (F.col("__ref") == F.col("__num")), "left").drop("__path", "__num", "__ref")
+        target = self.objects(numbers, live=False, raw=False).where("obj_num is not null")
+        target = target.select(F.col("path").alias("__path"), F.col("obj_num").alias("__num"), F.col("gen_num").alias("__gen"), "tag", "value", "kind")
+        keyed = df.withColumns({"__ref": column["ref_num"], "__ref_gen": column["ref_gen"]})
+        joined = keyed.join(target, (F.col(path) == F.col("__path")) & (F.col("__ref") == F.col("__num")), "left")
+        status = F.when(F.col("__num").isNull(), "missing").when(joined["kind"] == "f", "free").when(F.col("__gen") != F.coalesce("__ref_gen", F.lit(0)), "generation").otherwise("found")
+        status = F.when(F.col("__ref").isNotNull(), status)
+        if self.mode == "FAILFAST":
+            failed = F.raise_error(F.concat_ws(" ", F.col(path), F.lit("reference"), F.col("__ref"), F.lit("finds nothing:"), status)).cast("string")
+            status = F.when(status.isNull() | (status == "found"), status).otherwise(failed)
+        have = lambda c: F.when(status == "found", target[c]).alias(c)
+        found = F.when(F.col("__ref").isNotNull(), F.struct(status.alias("status"), have("tag"), have("value"), have("kind"))).alias(into)
+        return joined.select(*(df[c] for c in df.columns if c != into), found)
 
     def edges(self) -> DataFrame:
         """path, obj_num, ref_num: which object refers to which."""
         return self.nodes().where("ref_num is not null").select("path", "obj_num", "ref_num").distinct()
 
     def reachable(self) -> DataFrame:
-        """path, obj_num of all objects that can be reached from the trailers; each file is walked
-        where its row is, until nothing new is found."""
-        return self._scan(_reachable_rows, "path string, obj_num int").distinct()
+        """path, obj_num, error of all objects that can be reached from the trailers; each file is
+        walked where its row is, until nothing new is found, and only what the walk meets is
+        parsed. An object that cannot be read has an error, and a file that cannot be opened
+        one row without obj_num."""
+        return self._scan(_reachable_rows, f"path string, obj_num int, error {columns.ERROR}")
+
+
+def _newest(row: list[str]) -> Column:
+    return F.min_by(F.struct(*row), F.struct("rev", F.col("kind") == "c"))
 
 
 def latest(xref: DataFrame) -> DataFrame:
     """The newest entry of every (path, obj_num) of a stored xref table, freed ones left out."""
-    w = Window.partitionBy("path", "obj_num").orderBy("rev", F.col("kind") == "c")
-    return xref.withColumn("__n", F.row_number().over(w)).where("__n = 1 and kind <> 'f'").drop("__n")
+    rest = [c for c in xref.columns if c not in ("path", "obj_num")]
+    best = xref.groupBy("path", "obj_num").agg(_newest(rest).alias("__e")).where("__e.kind <> 'f'")
+    return best.select(*(F.col(c) if c in ("path", "obj_num") else F.col(f"__e.{c}").alias(c) for c in xref.columns))
 
 
 def freed(xref: DataFrame) -> DataFrame:
-    """(path, obj_num) that were in use once and are free now."""
-    used = xref.where("kind <> 'f'").select("path", "obj_num").distinct()
-    return used.join(latest(xref).select("path", "obj_num"), ["path", "obj_num"], "left_anti")
+    """(path, obj_num) of a stored xref table that were in use once and are free now."""
+    state = xref.groupBy("path", "obj_num").agg(F.bool_or(F.col("kind") != "f").alias("__used"), _newest(["kind"]).alias("__e"))
+    return state.where("__used and __e.kind = 'f'").select("path", "obj_num")
 
 
 def listing(xref: DataFrame) -> DataFrame:
@@ -226,11 +278,15 @@ def _open(path: str, data: bytes, password) -> tuple[PdfFile | None, dict | None
         return None, _whole(e)
 
 
+def _sections(data: bytes) -> list[Section]:
+    file = PdfFile.__new__(PdfFile)
+    file.data = data
+    return file._read_sections()
+
+
 def _section_rows(path: str, data: bytes, password) -> Iterator[dict]:
     try:
-        file = PdfFile.__new__(PdfFile)
-        file.data = data
-        found = file._read_sections()
+        found = _sections(data)
     except Exception as e:  # noqa: BLE001
         yield {"path": path, "error": _whole(e)}
         return
@@ -242,88 +298,178 @@ def _section_rows(path: str, data: bytes, password) -> Iterator[dict]:
         yield {"path": path, "rev": s.rev, "pos": s.pos, "kind": s.kind, "prev": s.prev, "trailer": trailer, "entries": entries}
 
 
-def _object_rows(path: str, data: bytes, password, wanted: frozenset[int] | None, live: bool) -> Iterator[dict]:
+def _freed_rows(path: str, data: bytes, password) -> Iterator[dict]:
+    try:
+        found = _sections(data)
+    except Exception as e:  # noqa: BLE001
+        yield {"path": path, "error": _whole(e)}
+        return
+    free: dict[int, bool] = {}
+    used: set[int] = set()
+    for s in found:
+        for e in s.entries:
+            free.setdefault(e.num, e.kind == "f")
+            if e.kind != "f":
+                used.add(e.num)
+    yield from ({"path": path, "obj_num": n} for n in sorted(used) if free[n])
+
+
+def _target(file: PdfFile, value: object, path: tuple[str, ...]) -> dict:
+    """What is at the end of a path of keys, all references resolved."""
+    status, at = "found", None
+    for key in (*path, None):
+        while isinstance(value, Ref):
+            at = value
+            status, entry = file.find(value)
+            if status != "found":
+                return {"status": status, "obj_num": at.num, "gen_num": at.gen}
+            value = file.read(entry)
+        if key is None:
+            break
+        inside = value.entries if isinstance(value, Stream) else value
+        if not isinstance(inside, dict) or key not in inside:
+            return {"status": "absent"}
+        value, at = inside[key], None
+    return {"status": status, "tag": tag_of(value), "json": json.dumps(to_plain(value))} | ({} if at is None else {"obj_num": at.num, "gen_num": at.gen})
+
+
+def _object_rows(path: str, data: bytes, password, wanted: frozenset[int] | None, live: bool, raw: bool = True, follow: dict[str, tuple[str, ...]] | None = None, strict: bool = False) -> Iterator[dict]:
     file, error = _open(path, data, password)
     if file is None:
         yield {"path": path, "error": error}
         return
-    for e in sorted(file.latest.values(), key=lambda e: e.num):
-        if (wanted is not None and e.num not in wanted) or (live and e.kind == "f"):
+    numbers = file.latest.keys() if wanted is None else wanted & file.latest.keys()
+    for e in (file.latest[n] for n in sorted(numbers)):
+        if live and e.kind == "f":
             continue
         row = {"path": path, "obj_num": e.num, "gen_num": e.gen, "kind": e.kind}
         try:
             value = file.read(e)
             row |= {"tag": tag_of(value), "json": json.dumps(to_plain(value))}
-            if isinstance(value, Stream):
+            if raw and isinstance(value, Stream):
                 row["stream_raw"] = value.raw
                 names, parms = file.filters_of(value.entries)
                 method, key = file.cipher_of(value, e.num, e.gen)
                 row |= {"filters": names, "parms": [None if p is None else json.dumps(to_plain(p)) for p in parms], "cipher": method, "cipher_key": key}
+            for name, keys in (follow or {}).items():
+                row[name] = _target(file, value, keys)
+                if strict and row[name]["status"] not in ("found", "absent"):
+                    raise PDFSyntaxError(f"reference {row[name]['obj_num']} {row[name]['gen_num']} finds nothing: {row[name]['status']}")
         except Exception as x:  # noqa: BLE001
             row["error"] = _whole(x)
         yield row
 
 
 def _node_rows(path: str, data: bytes, password, wanted: frozenset[int] | None) -> Iterator[dict]:
-    file, _ = _open(path, data, password)
+    file, error = _open(path, data, password)
     if file is None:
+        yield {"path": path, "error": error}
         return
-    for e, value, error in file.objects():
-        if error is None and (wanted is None or e.num in wanted):
-            for n in nodes_of(value):
-                yield {"path": path, "obj_num": e.num, "gen_num": e.gen} | dict(zip(columns.NODE_FIELDS, n, strict=True))
+    numbers = file.latest.keys() if wanted is None else wanted & file.latest.keys()
+    for e in (file.latest[n] for n in sorted(numbers)):
+        if e.kind == "f":
+            continue
+        head = {"path": path, "obj_num": e.num, "gen_num": e.gen}
+        try:
+            value = file.read(e)
+        except Exception as x:  # noqa: BLE001
+            yield head | {"error": _whole(x)}
+            continue
+        for n in nodes_of(value):
+            yield head | dict(zip(columns.NODE_FIELDS, n, strict=True))
+
+
+def _refs(value: object) -> Iterator[Ref]:
+    """All references inside a value."""
+    todo = [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, Ref):
+            yield v
+        elif isinstance(v, Stream):
+            todo += v.entries.values()
+        elif isinstance(v, dict):
+            todo += v.values()
+        elif isinstance(v, list):
+            todo += v
 
 
 def _reachable_rows(path: str, data: bytes, password) -> Iterator[dict]:
-    todo: list[int] = []
-    for section in _section_rows(path, data, password):
-        todo += [json.loads(t["json"])["n"] for t in section.get("trailer") or () if t["tag"] == "ref"]
-    edges: dict[int, set[int]] = {}
-    at = columns.NODE_FIELDS.index("ref_num")
-    file, _ = _open(path, data, password)
-    for e, value, error in file.objects() if file is not None else ():
-        if error is None:
-            edges.setdefault(e.num, set()).update(n[at] for n in nodes_of(value) if n[at] is not None)
+    file, error = _open(path, data, password)
+    if file is None:
+        yield {"path": path, "error": error}
+        return
+    todo = [r for s in file.sections for v in s.trailer.values() for r in _refs(v)]
     seen: set[int] = set()
     while todo:
-        num = todo.pop()
-        if num not in seen:
-            seen.add(num)
-            todo += edges.get(num, ())
-            yield {"path": path, "obj_num": num}
+        ref = todo.pop()
+        status, e = file.find(ref)
+        if ref.num in seen or status != "found":
+            continue
+        seen.add(ref.num)
+        row = {"path": path, "obj_num": ref.num}
+        try:
+            todo += _refs(file.read(e))
+        except Exception as x:  # noqa: BLE001
+            row["error"] = _whole(x)
+        yield row
 
 
-def _page_rows(path: str, data: bytes, password) -> Iterator[dict]:
-    file, error = _open(path, data, password)
+def _content_rows(path: str, data: bytes, password, known: dict) -> Iterator[dict]:
+    file, _ = _open(path, data, password)
+    for page in _page_rows(path, data, password, file):
+        if page.get("error") is not None:
+            yield {"path": path, "page_no": page.get("page_no"), "error": page["error"]}
+            continue
+        parts, error = [], None
+        for p in page["contents"]:
+            try:
+                status, e = file.find(Ref(p["obj_num"], p["gen_num"]))
+                stream = file.read(e) if status == "found" else None
+                if not isinstance(stream, Stream):
+                    raise PDFSyntaxError(f"content stream {p['obj_num']} is missing")
+                parts.append(file.stream_bytes(stream, e.num, e.gen, known))
+            except Exception as x:  # noqa: BLE001
+                parts.append(b"")
+                error = error or _whole(x)
+        yield {"path": path, "page_no": page["page_no"], "content": b"\n".join(parts), "error": error}
+
+
+def _page_rows(path: str, data: bytes, password, file: PdfFile | None = None) -> Iterator[dict]:
+    error = None
+    if file is None:
+        file, error = _open(path, data, password)
     if file is None:
         yield {"path": path, "error": error}
         return
     count = 0
     try:
-        root = file.trailer.get("Root")
-        catalog = file.get(root.num) if isinstance(root, Ref) else root
+        catalog = file.get(file.trailer.get("Root"))
         if not isinstance(catalog, dict) or not isinstance(catalog.get("Pages"), Ref):
             raise PDFSyntaxError("no page tree")
-        stack, above = [(catalog["Pages"], 0)], {}
+        stack, above = [(catalog["Pages"], False)], set()
         while stack:
-            ref, depth = stack.pop()
+            ref, done = stack.pop()
+            if done:  # all below that node is read: it may occur again elsewhere, but not below itself
+                above.remove(ref.num)
+                continue
             if not isinstance(ref, Ref):
                 raise PDFSyntaxError("a kid of the page tree is no reference")
-            if depth > DEEPEST_TREE or above.get(ref.num):
+            if ref.num in above or len(above) > DEEPEST_TREE:
                 raise PDFSyntaxError("the page tree has a loop")
-            node = file.get(ref.num)
+            node = file.get(ref)
             if not isinstance(node, dict):
                 raise PDFSyntaxError(f"page object {ref.num} is missing")
             if node.get("Type") == Name("Pages"):
-                above[ref.num] = True
-                kids = node.get("Kids", [])
-                kids = file.get(kids.num) if isinstance(kids, Ref) else kids
+                above.add(ref.num)
+                kids = file.get(node.get("Kids", []))
                 if not isinstance(kids, list):
                     raise PDFSyntaxError("kids of the page tree are no array")
-                stack.extend((k, depth + 1) for k in reversed(kids))
+                stack.append((ref, True))
+                stack.extend((k, False) for k in reversed(kids))
                 continue
             contents = node.get("Contents")
-            if isinstance(contents, Ref) and isinstance(inner := file.get(contents.num), list):
+            if isinstance(contents, Ref) and isinstance(inner := file.get(contents), list):
                 contents = inner
             parts = contents if isinstance(contents, list) else [] if contents is None else [contents]
             if not all(isinstance(p, Ref) for p in parts):

@@ -5,6 +5,7 @@ group of a whole table, and reads them with the engine."""
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from ..fixtures import pdfgen as g
 from ..functions import columns
 from ..operators.collection import Pdfs, freed, listing, operator_groups
 from ..operators.collection import latest as latest_entries
+from ..shared import shared_dir
+from ..sources.files import read_pdfs, register_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,8 +36,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _key(path: str = "path") -> Column:
-    return F.substring_index(F.col(path), "-", -1).cast("bigint")
+def _key(path: str | Column = "path") -> Column:
+    return F.substring_index(F.col(path) if isinstance(path, str) else path, "-", -1).cast("bigint")
 
 
 def _utf8(c: str | Column) -> Column:
@@ -192,9 +195,9 @@ def _order_files(spark: SparkSession, sf_dir: str) -> Pdfs:
 
 
 def _resolved_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pdfs = _order_files(spark, sf_dir)
-    orders = pdfs.objects([5]).select("path", F.variant_get("value", "$.Price", "double").alias("price"), F.struct(F.variant_get("value", "$.Customer.n", "int").alias("ref_num")).alias("ref"))
-    return pdfs.resolve(orders, "ref", into="customer")
+    """Orders with the customers that they refer to, resolved where the file is."""
+    o = _order_files(spark, sf_dir).objects([5], raw=False, follow={"customer": "Customer"})
+    return o.select("path", F.variant_get("value", "$.Price", "double").alias("price"), "customer")
 
 
 @query("SELECT o_orderkey, c_name, c_mktsegment, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -209,20 +212,78 @@ def deref_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("price").cast("decimal(18,2)").alias("total"))
 
 
-@query("SELECT o_orderkey, CAST(6 AS BIGINT) AS objects FROM orders JOIN customer ON o_custkey = c_custkey")
+def _generation_file(r: dict) -> tuple[str, bytes]:
+    """Object 6 is of generation 1; 5 refers to its generation 0, 1 or 2, and to one that isn't there."""
+    k = r["c_custkey"]
+    objects = {1: b"<< /Type /Catalog >>", 5: b"<< /To 6 %d R /Gone 99 0 R /In << /To 6 %d R >> >>" % (k % 3, k % 2), 6: b"<< /Name " + g.literal(_raw(r["c_name"])) + b" >>"}
+    return f"customer-{k}", g.Pdf().revision(objects, b"/Root 1 0 R", gens={6: 1}).bytes()
+
+
+GENERATION_SQL = "SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN 'found' ELSE 'generation' END AS status, CASE WHEN c_custkey % 3 = 1 THEN c_name END AS name"
+
+
+@query(GENERATION_SQL + ", 'missing' AS gone, CASE WHEN c_custkey % 2 = 1 THEN c_name END AS inner_name FROM customer")
+def resolve_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References name a generation too; followed in the file, along paths of keys."""
+    pdfs = Pdfs(g.generate(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), _generation_file))
+    o = pdfs.objects([5], raw=False, follow={"to": "To", "gone": "Gone", "inside": "In.To.Name"})
+    name = lambda c, p: F.decode(F.unbase64(F.variant_get(F.col(f"{c}.value"), p, "string")), "UTF-8")
+    return o.select(_key().alias("c_custkey"), F.col("to.status").alias("status"), name("to", "$.Name.b64").alias("name"), F.col("gone.status").alias("gone"), name("inside", "$.b64").alias("inner_name"))
+
+
+@query(GENERATION_SQL + " FROM customer")
+def resolve_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from stored references, by a join."""
+    pdfs = Pdfs(g.generate(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), _generation_file))
+    refs = pdfs.nodes([5]).where("key = 'To' and parent_id = 0").select("path", F.struct("ref_num", "ref_gen").alias("ref"))
+    r = pdfs.resolve(refs, "ref", numbers=[6])
+    name = F.decode(F.unbase64(F.variant_get("target.value", "$.Name.b64", "string")), "UTF-8")
+    return r.select(_key().alias("c_custkey"), F.col("target.status").alias("status"), name.alias("name"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'free' ELSE 'found' END AS status, CASE WHEN o_orderkey % 3 <> 0 THEN 'kept' END AS text FROM orders")
+def freed_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to an object that a later revision frees."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey")
+
+    def make(r: dict) -> tuple[str, bytes]:
+        p = g.Pdf().revision({1: b"<< /Type /Catalog >>", 5: b"[6 0 R]", 6: b"(kept)", 7: b"<< /To 6 0 R >>"}, b"/Root 1 0 R")
+        if r["o_orderkey"] % 3 == 0:
+            p.revision({}, b"/Root 1 0 R", free=(6,))
+        return f"order-{r['o_orderkey']}", p.bytes()
+
+    o = Pdfs(g.generate(rows, make)).objects([7], raw=False, follow={"to": "To"})
+    return o.select(_key().alias("o_orderkey"), F.col("to.status").alias("status"), F.decode(F.unbase64(F.variant_get("to.value", "$.b64", "string")), "UTF-8").alias("text"))
+
+
+@query("SELECT o_orderkey, CAST(6 + o_orderkey % 4 AS BIGINT) AS objects FROM orders JOIN customer ON o_custkey = c_custkey")
 def reachable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects that the trailer leads to, over all references."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
 
     def make(r: dict) -> tuple[str, bytes]:
-        objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", 3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Order 5 0 R >>", 4: g.stream(b""), 5: b"[6 0 R]", 6: b"%d" % r["o_orderkey"], 7: b"(alone)"}
+        more = {10 + k: b"[%d 0 R 2 0 R]" % (11 + k) for k in range(r["o_orderkey"] % 4)}
+        objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", 3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Order 5 0 R >>", 4: g.stream(b""), 5: b"[6 0 R 10 0 R]", 6: b"%d" % r["o_orderkey"], 7: b"(alone)"} | more
         return f"order-{r['o_orderkey']}", g.Pdf().revision(objects, b"/Root 1 0 R").bytes()
 
     found = Pdfs(g.generate(orders.join(customers, "o_custkey"), make)).reachable()
     return found.groupBy("path").count().select(_key().alias("o_orderkey"), F.col("count").alias("objects"))
 
 
+@query("SELECT s_suppkey, CAST(250 + s_suppkey % 100 AS BIGINT) AS objects, CAST(0 AS BIGINT) AS errors FROM supplier")
+def reach_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks of some hundred references, one after the other, that end in a loop."""
+
+    def make(r: dict) -> tuple[str, bytes]:
+        n = 250 + r["s_suppkey"] % 100
+        chain = {k: b"<< /Next %d 0 R >>" % (k % n + 1) for k in range(1, n + 1)}
+        return f"supplier-{r['s_suppkey']}", g.Pdf().revision(chain | {n + 1: b"(alone)"}, b"/Root 1 0 R").bytes()
+
+    found = Pdfs(g.generate(_table(spark, sf_dir, "supplier").select("s_suppkey"), make)).reachable()
+    return found.groupBy("path").agg(F.count("obj_num").alias("objects"), F.count("error").alias("errors")).select(_key().alias("s_suppkey"), "objects", "errors")
+
+
 # ------------------------------------------------------------ cross references
 
 def _order_revisions(spark: SparkSession, sf_dir: str) -> Pdfs:
@@ -248,7 +309,13 @@ def xref_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, 6 AS obj_num FROM orders WHERE o_orderkey % 3 = 0")
 def xref_freed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects in use in some revision and free in the newest that has them: an anti join."""
+    """Objects in use in some revision and free in the newest that has them."""
+    return _order_revisions(spark, sf_dir).freed().select(_key().alias("o_orderkey"), "obj_num")
+
+
+@query("SELECT o_orderkey, 6 AS obj_num FROM orders WHERE o_orderkey % 3 = 0")
+def xref_freed_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table of entries, by one aggregate."""
     return freed(_order_revisions(spark, sf_dir).xref()).select(_key().alias("o_orderkey"), "obj_num")
 
 
@@ -261,7 +328,7 @@ def xref_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, 1 AS obj_num FROM orders UNION ALL SELECT o_orderkey, 5 FROM orders UNION ALL SELECT o_orderkey, 6 FROM orders WHERE o_orderkey % 3 <> 0")
 def xref_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest entries by a window over all revisions, as for a stored table."""
+    """Newest entries over all revisions of a stored table."""
     return latest_entries(_order_revisions(spark, sf_dir).xref()).select(_key().alias("o_orderkey"), "obj_num")
 
 
@@ -307,11 +374,12 @@ def type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy(F.col("name_val").alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_orderkey, rev, CASE part WHEN 0 THEN '1 0 at 15' ELSE '6 1 free' END AS line FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS rev, 0 AS part FROM orders UNION ALL SELECT o_orderkey, 0, 1 FROM orders WHERE o_orderkey % 3 = 0)")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN rev ELSE rev - 1 END AS rev, line
+FROM orders, (VALUES (2, '1 0 at 15'), (2, '5 0 at 51'), (2, '6 0 at 84'), (1, '5 0 at 265'), (0, '6 1 free')) l(rev, line)
+WHERE rev > 0 OR o_orderkey % 3 = 0""")
 def xref_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries as text; of those in use the first object's only, whose place is the same in all files."""
-    lines = listing(_order_revisions(spark, sf_dir).xref()).where("obj_num = 1 or line like '%free'")
-    return lines.select(_key().alias("o_orderkey"), "rev", "line")
+    """All entries of all sections as text; files of this kind have their objects at the same places."""
+    return listing(_order_revisions(spark, sf_dir).xref()).select(_key().alias("o_orderkey"), "rev", "line")
 
 
 # ----------------------------------------------------------------------- pages
@@ -350,27 +418,40 @@ def _event_content(spark: SparkSession, sf_dir: str) -> Pdfs:
     rows = _table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
 
     def make(r: dict) -> tuple[str, bytes]:
-        body = b"q %% comment ( ]\nBT /F1 12 Tf %d 712.5 Td " % r["user_id"] + g.literal(_raw(r["event_type"])) + b" Tj [(a) -20 (b)] TJ ET Q"
+        body = b"q %% comment ( ]\nBT /F1 12 Tf %d 712.5 Td " % r["user_id"] + g.literal(_raw(r["event_type"])) + b" Tj [(a) -20 (b)] TJ ET Q" + b" q Q" * (r["user_id"] % 4)
         return f"event-{r['event_id']}", g.page_file(g.filtered(body, "FlateDecode"))
 
     return Pdfs(g.generate(rows, make))
 
 
-@query("SELECT event_id, CAST(18 AS BIGINT) AS n_tokens, CAST(8 AS BIGINT) AS n_operators, event_type AS shown, user_id AS x FROM events")
+@query("SELECT event_id, CAST(18 + 2 * (user_id % 4) AS BIGINT) AS n_tokens, CAST(8 + 2 * (user_id % 4) AS BIGINT) AS n_operators, event_type AS shown, user_id AS x FROM events")
 def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _event_content(spark, sf_dir).tokens([4])
-    shown = F.decode(F.min_by(F.when(F.col("tag") == "string", F.col("bytes_val")), F.when(F.col("tag") == "string", F.col("seq"))), "UTF-8")
-    x = F.max(F.when((F.col("tag") == "integer") & (F.col("seq") == 5), F.col("long_val")))
-    return t.groupBy("path").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("tag") == "operator").alias("n_operators"), shown.alias("shown"), x.alias("x")).select(_key().alias("event_id"), "n_tokens", "n_operators", "shown", "x")
+    """Figures of each stream's tokens, taken from their array in place."""
+    t = _event_content(spark, sf_dir).token_arrays([4])
+    of = lambda f: F.filter("tokens", f)
+    shown = F.decode(of(lambda t: t["tag"] == "string")[0]["bytes_val"], "UTF-8")
+    return t.select(_key().alias("event_id"), F.size("tokens").cast("bigint").alias("n_tokens"), F.size(of(lambda t: t["tag"] == "operator")).cast("bigint").alias("n_operators"), shown.alias("shown"), F.col("tokens")[5]["long_val"].alias("x"))
+
 
+OPERATORS_SQL = """SELECT event_id, g.group_no, g.operator, replace(replace(g.operands, '@T', event_type), '@U', CAST(user_id AS VARCHAR)) AS operands
+FROM events, (VALUES (0, 'q', ''), (1, 'BT', ''), (2, 'Tf', 'F1 12'), (3, 'Td', '@U 712.5'), (4, 'Tj', '@T'), (5, 'TJ', '[ a -20 b ]'), (6, 'ET', ''), (7, 'Q', ''),
+  (8, 'q', ''), (9, 'Q', ''), (10, 'q', ''), (11, 'Q', ''), (12, 'q', ''), (13, 'Q', '')) g(group_no, operator, operands) WHERE g.group_no < 8 + 2 * (user_id % 4)"""
 
-@query("SELECT event_id, g.group_no, g.operator, replace(replace(g.operands, '@T', event_type), '@U', CAST(user_id AS VARCHAR)) AS operands FROM events, (VALUES (0, 'q', ''), (1, 'BT', ''), (2, 'Tf', 'F1 12'), (3, 'Td', '@U 712.5'), (4, 'Tj', '@T'), (5, 'TJ', '[ a -20 b ]'), (6, 'ET', ''), (7, 'Q', '')) g(group_no, operator, operands)")
+
+@query(OPERATORS_SQL)
 def operators_with_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _event_content(spark, sf_dir).operators([4])
+    return o.select(_key().alias("event_id"), "group_no", "operator", F.array_join("operands", " ").alias("operands"))
+
+
+@query(OPERATORS_SQL)
+def operators_of_stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table with a row for each token, by a window and an aggregate."""
     o = operator_groups(_event_content(spark, sf_dir).tokens([4]))
     return o.select(_key().alias("event_id"), F.col("group_no").cast("int").alias("group_no"), "operator", F.array_join("operands", " ").alias("operands"))
 
 
-@query("SELECT event_id, CAST(14 AS BIGINT) AS objects, CAST(8 AS BIGINT) AS operators FROM events")
+@query("SELECT event_id, CAST(14 + 2 * (user_id % 4) AS BIGINT) AS objects, CAST(8 + 2 * (user_id % 4) AS BIGINT) AS operators FROM events")
 def content_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-level objects of content streams through the SQL table function."""
     columns.register(spark)
@@ -379,6 +460,44 @@ def content_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("path").agg(F.count(F.lit(1)).alias("objects"), F.count_if(F.col("tag") == "operator").alias("operators")).select(_key().alias("event_id"), "objects", "operators")
 
 
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'DCTDecode' WHEN 1 THEN 'JPXDecode' WHEN 2 THEN 'CCITTFaxDecode' WHEN 3 THEN 'JBIG2Decode' ELSE 'Crypt' END AS filter, coalesce(text, '') AS text FROM documents")
+def passed_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codecs of images, whose data stays, after one that is undone; and Crypt in an open file."""
+    known = ("DCTDecode", "JPXDecode", "CCITTFaxDecode", "JBIG2Decode", "Crypt")
+    make = lambda r: g.page_file(g.stream(g.ENCODE["ASCIIHexDecode"](_raw(r["text"])), b"/Filter [/ASCIIHexDecode /" + known[r["doc_id"] % 5].encode() + b"]"))
+    s = _documents(spark, sf_dir, make).streams([4])
+    return s.select(_key().alias("doc_id"), F.col("filters")[1].alias("filter"), _utf8("decoded").alias("text"))
+
+
+# --------------------------------------------------------------------- sources
+
+def _supplier_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A file for each supplier in a folder that the cluster shares."""
+    folder = f"{shared_dir(spark)}/suppliers-{uuid.uuid4().hex}"
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    g.write_files(g.generate(rows, lambda r: (f"supplier-{r['s_suppkey']}", g.page_file(g.filtered(_raw(r["s_name"]), "FlateDecode"), extra={5: g.literal(_raw(r["s_name"]))}))), folder)
+    return folder
+
+
+SUPPLIERS_SQL = "SELECT s_suppkey, s_name FROM supplier"
+
+
+@query(SUPPLIERS_SQL)
+def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a folder, by Spark's own source."""
+    s = read_pdfs(spark, _supplier_folder(spark, sf_dir)).streams([4])
+    return s.select(_key(F.regexp_replace("path", r"\.pdf$", "")).alias("s_suppkey"), _utf8("decoded").alias("s_name"))
+
+
+@query(SUPPLIERS_SQL)
+def pdfobjects_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of a folder's files, by the data source; their streams decoded afterwards."""
+    register_source(spark)
+    o = spark.read.format("pdfobjects").option("mode", "FAILFAST").load(_supplier_folder(spark, sf_dir)).where("obj_num = 4")
+    decoded = columns.pdf_decode(*(F.col(c) for c in ("stream_raw", "filters", "parms", "cipher", "cipher_key")))
+    return o.select(_key(F.regexp_replace("path", r"\.pdf$", "")).alias("s_suppkey"), _utf8(decoded["data"]).alias("s_name"))
+
+
 # ------------------------------------------------------------------ encryption
 
 FILE_ID, USER, OWNER = b"0123456789abcdef", b"reader", b"writer"
@@ -394,19 +513,22 @@ def _locked_file(stream_data: bytes, string_data: bytes, trailer: bytes, extra:
 
 
 def _opened(pdfs: Pdfs) -> DataFrame:
-    """doc_id, text of the stream and head of the string, decrypted."""
-    texts = _page_text(pdfs)
-    heads = pdfs.nodes([5]).select(_key().alias("doc_id"), _utf8("bytes_val").alias("head"))
-    return texts.join(heads, "doc_id")
+    """doc_id, text of the stream and the string, decrypted: one scan, one row for each object, and
+    those of a file put together."""
+    o = pdfs.with_decoded(pdfs.objects([4, 5]))
+    part = F.coalesce("decoded", F.unbase64(F.variant_get("value", "$.b64", "string")))
+    pick = lambda n: _utf8(F.max(F.when(F.col("obj_num") == n, F.col("part"))))
+    o = o.select(_key().alias("doc_id"), "obj_num", part.alias("part"))
+    return o.groupBy("doc_id").agg(pick(4).alias("text"), pick(5).alias("string"))
 
 
-LOCKED_SQL = "SELECT doc_id, coalesce(text, '') AS text, left(coalesce(text, ''), 20) AS head FROM documents"
+LOCKED_SQL = "SELECT doc_id, coalesce(text, '') AS text, coalesce(text, '') AS string FROM documents"
 
 
 def _rc4_query(name: str, v: int, r: int, size: int, password: bytes) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         o, u, key = g.legacy_keys(USER, OWNER, FILE_ID, r, size)
-        make = lambda x: _locked_file(g.arcfour(g.object_key(key, 4, False), _raw(x["text"])), g.arcfour(g.object_key(key, 5, False), _raw((x["text"] or "")[:20])), _locked(v, r, size, o, u))
+        make = lambda x: _locked_file(g.arcfour(g.object_key(key, 4, False), _raw(x["text"])), g.arcfour(g.object_key(key, 5, False), _raw(x["text"])), _locked(v, r, size, o, u))
         return _opened(_documents(spark, sf_dir, make, password))
 
     run.__name__ = name
@@ -419,33 +541,74 @@ _rc4_query("owner_password", 2, 3, 16, OWNER)
 
 
 def _sealed(key_4: bytes, key_5: bytes) -> list[Column]:
-    """Text and its head encrypted by the JVM, each led by a vector of its own."""
+    """Text encrypted twice by the JVM, each led by a vector of its own."""
     text = F.coalesce("text", F.lit(""))
     iv = lambda tag: F.unhex(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(tag))))
-    seal = lambda data, key, tag: F.aes_encrypt(F.encode(data, "UTF-8"), F.lit(key), F.lit("CBC"), F.lit("PKCS"), iv(tag))
-    return [seal(text, key_4, "s").alias("sealed"), seal(F.left(text, F.lit(20)), key_5, "h").alias("head")]
+    seal = lambda key, tag: F.aes_encrypt(F.encode(text, "UTF-8"), F.lit(key), F.lit("CBC"), F.lit("PKCS"), iv(tag))
+    return [seal(key_4, "s").alias("sealed"), seal(key_5, "h").alias("string")]
+
+
+AES_128 = b"/CF << /StdCF << /CFM /AESV2 /Length 16 >> >> "
 
 
 @query(LOCKED_SQL)
 def aes128(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, u, key = g.legacy_keys(USER, OWNER, FILE_ID, 4, 16)
-    trailer = _locked(4, 4, 16, o, u, b"/CF << /StdCF << /CFM /AESV2 /Length 16 >> >> /StmF /StdCF /StrF /StdCF")
-    make = lambda x: _locked_file(bytes(x["sealed"]), bytes(x["head"]), trailer)
+    trailer = _locked(4, 4, 16, o, u, AES_128 + b"/StmF /StdCF /StrF /StdCF")
+    make = lambda x: _locked_file(bytes(x["sealed"]), bytes(x["string"]), trailer)
     return _opened(_documents(spark, sf_dir, make, USER, *_sealed(g.object_key(key, 4, True), g.object_key(key, 5, True))))
 
 
 @query(LOCKED_SQL)
-def aes256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, password = hashlib.sha256(b"file key").digest(), "reader"
-    raw = password.encode()
-    u = hashlib.sha256(raw + b"VALIDSLT").digest() + b"VALIDSLT" + b"KEY-SALT"
-    wrap = lambda k: bytes(spark.range(1).select(columns.aes_cbc_encrypt(F.lit(key), F.lit(k), F.lit(bytes(16)), padding=False)).first()[0])[16:]
-    ue = wrap(hashlib.sha256(raw + b"KEY-SALT").digest())
-    o = hashlib.sha256(b"writer" + b"VALIDSLT" + u).digest() + b"VALIDSLT" + b"KEY-SALT"
-    oe = wrap(hashlib.sha256(b"writer" + b"KEY-SALT" + u).digest())
-    trailer = _locked(5, 5, 32, o, u, b"/CF << /StdCF << /CFM /AESV3 /Length 32 >> >> /StmF /StdCF /StrF /StdCF /UE <" + ue.hex().encode() + b"> /OE <" + oe.hex().encode() + b">")
-    make = lambda x: _locked_file(bytes(x["sealed"]), bytes(x["head"]), trailer)
-    return _opened(_documents(spark, sf_dir, make, password, *_sealed(key, key)))
+def identity_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings are encrypted, streams are not: StmF is Identity."""
+    o, u, key = g.legacy_keys(USER, OWNER, FILE_ID, 4, 16)
+    trailer = _locked(4, 4, 16, o, u, AES_128 + b"/StmF /Identity /StrF /StdCF")
+    make = lambda x: _locked_file(_raw(x["text"]), bytes(x["string"]), trailer)
+    return _opened(_documents(spark, sf_dir, make, USER, *_sealed(g.object_key(key, 4, True), g.object_key(key, 5, True))))
+
+
+@query(LOCKED_SQL)
+def crypt_filter_rc4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version 4 with RC4 for strings; streams name Identity by a Crypt filter of their own."""
+    o, u, key = g.legacy_keys(USER, OWNER, FILE_ID, 4, 16)
+    trailer = _locked(4, 4, 16, o, u, b"/CF << /StdCF << /CFM /V2 /Length 16 >> >> /StmF /StdCF /StrF /StdCF")
+    make = lambda x: _locked_file(_raw(x["text"]), g.arcfour(g.object_key(key, 5, False), _raw(x["text"])), trailer, b"/Filter [/Crypt] /DecodeParms [<< /Name /Identity >>]")
+    return _opened(_documents(spark, sf_dir, make, USER))
+
+
+@query(TEXT_SQL)
+def locked_object_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of an encrypted object stream are not decrypted once more; its index never is."""
+    o, u, key = g.legacy_keys(USER, OWNER, FILE_ID, 3, 16)
+    trailer = _locked(2, 3, 16, o, u)
+    seal = lambda num, data: g.arcfour(g.object_key(key, num, False), data)
+    make = lambda r: g.Pdf("1.5").revision({1: b"<< /Type /Catalog >>"}, trailer, xref="stream", packed={5: g.literal(_raw(r["text"])), 6: b"%d" % r["doc_id"]}, seal=seal).bytes()
+    n = _documents(spark, sf_dir, make, USER).nodes([5])
+    return n.select(_key().alias("doc_id"), _utf8("bytes_val").alias("text"))
+
+
+def _aes256_query(name: str, given: str, user: str = "reader") -> None:
+    """Opened with ``given``; the user's password, prepared, is ``user``, the owner's ``writer``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key, raw = hashlib.sha256(b"file key").digest(), user.encode()
+        u = hashlib.sha256(raw + b"VALIDSLT").digest() + b"VALIDSLT" + b"KEY-SALT"
+        wrap = lambda k: bytes(spark.range(1).select(columns.aes_cbc_encrypt(F.lit(key), F.lit(k), F.lit(bytes(16)), padding=False)).first()[0])[16:]
+        ue = wrap(hashlib.sha256(raw + b"KEY-SALT").digest())
+        o = hashlib.sha256(b"writer" + b"VALIDSLT" + u).digest() + b"VALIDSLT" + b"KEY-SALT"
+        oe = wrap(hashlib.sha256(b"writer" + b"KEY-SALT" + u).digest())
+        trailer = _locked(5, 5, 32, o, u, b"/CF << /StdCF << /CFM /AESV3 /Length 32 >> >> /StmF /StdCF /StrF /StdCF /UE <" + ue.hex().encode() + b"> /OE <" + oe.hex().encode() + b">")
+        make = lambda x: _locked_file(bytes(x["sealed"]), bytes(x["string"]), trailer)
+        return _opened(_documents(spark, sf_dir, make, given, *_sealed(key, key)))
+
+    run.__name__ = name
+    query(LOCKED_SQL)(run)
+
+
+_aes256_query("aes256", "reader")
+_aes256_query("aes256_owner", "writer")
+_aes256_query("aes256_prepared", "\u2168 re\u00adader\u00aa", "IX readera")  # a numeral, a soft hyphen and an ordinal sign
 
 
 @query("""WITH RECURSIVE k AS (

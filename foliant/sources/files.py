@@ -8,19 +8,24 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from ..operators.collection import Pdfs, _object_rows
+from ..errors import PDFError, set_context_size
+from ..functions.columns import ERROR
+from ..operators.collection import HEAD, MODES, STREAM, Pdfs, _object_rows
 
+#: Columns of a row after its path.
+COLUMNS = ("obj_num", "gen_num", "kind", "tag", "json", "stream_raw", "filters", "parms", "cipher", "cipher_key")
 
-def read_pdfs(spark: SparkSession, path: str | list[str], password: str | bytes | None = None, mode: str = "PERMISSIVE", glob: str = "*.pdf", recursive: bool = True) -> Pdfs:
+
+def read_pdfs(spark: SparkSession, path: str | list[str], password: str | bytes | None = None, mode: str = "PERMISSIVE", glob: str = "*.pdf", recursive: bool = True, context_size: int = 200) -> Pdfs:
     """The files under a path that Spark can read. Spark's own binaryFile source lists and
     reads them; conditions on path, length and modification time reach its listing."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return Pdfs(files, password, mode)
+    return Pdfs(files, password, mode, context_size)
 
 
-def pdfs_of(df: DataFrame, path: str = "path", content: str = "content", password: str | bytes | None = None, mode: str = "PERMISSIVE") -> Pdfs:
+def pdfs_of(df: DataFrame, path: str = "path", content: str = "content", password: str | bytes | None = None, mode: str = "PERMISSIVE", context_size: int = 200) -> Pdfs:
     """Files held in a table."""
-    return Pdfs(df.selectExpr(f"CAST(`{path}` AS STRING) AS path", f"CAST(`{content}` AS BINARY) AS content"), password, mode)
+    return Pdfs(df.selectExpr(f"CAST(`{path}` AS STRING) AS path", f"CAST(`{content}` AS BINARY) AS content"), password, mode, context_size)
 
 
 class _Part(InputPartition):
@@ -63,23 +68,32 @@ class PdfObjectsReader(DataSourceReader):
 
         store, _ = fs.FileSystem.from_uri(self.options["path"])
         wanted = None if self.numbers is None else frozenset(self.numbers)
+        mode = self.options.get("mode", "PERMISSIVE").upper()
+        if mode not in MODES:
+            raise ValueError(f"mode is one of {MODES}")
+        set_context_size(int(self.options.get("contextsize", 200)))
         for path in part.paths:
             with store.open_input_file(path) as f:
                 data = f.read()
             for r in _object_rows(path, data, self.options.get("password"), wanted, True):
                 error = r.get("error")
-                yield path, r.get("obj_num"), r.get("gen_num"), r.get("kind"), r.get("tag"), r.get("json"), r.get("stream_raw"), error and json.dumps({"class": error["class"], "msg": error["msg"], "pos": error["pos"]})
+                if error is not None and mode == "FAILFAST":
+                    raise PDFError(f"{path}: {error['class']}: {error['msg']}")
+                if error is None or mode == "PERMISSIVE":
+                    yield path, *(r.get(c) for c in COLUMNS), error and (error["class"], error["msg"], error["pos"], error["context"])
 
 
 class PdfObjectsSource(DataSource):
-    """spark.read.format("pdfobjects").option("password", ...).load(path)"""
+    """spark.read.format("pdfobjects").option("password", ...).load(path); options mode,
+    contextSize and maxPartitionBytes too. With filters, parms, cipher and cipher_key,
+    streams are decoded by ``Pdfs.with_decoded`` or ``pdf_decode``; value is JSON."""
 
     @classmethod
     def name(cls) -> str:
         return "pdfobjects"
 
     def schema(self) -> str:
-        return "path string, obj_num int, gen_num int, kind string, tag string, value string, stream_raw binary, error string"
+        return HEAD.replace("json string", "value string") + STREAM + f", error {ERROR}"
 
     def reader(self, schema) -> DataSourceReader:
         return PdfObjectsReader(dict(self.options))
