@@ -7,7 +7,10 @@ reference, place and expanded token count. Everything is DataFrame functions.
 Template of a turn: ``<|im_start|>`` role newline content ``<|im_end|>`` newline.
 Inside a content every ``<``, any number of backslashes and ``|`` get one
 backslash more, so that no control string occurs in it and the escape can be
-taken back. Percent sign, newline and ``<`` in a role are percent-encoded.
+taken back. Text parts that follow each other are joined before they are escaped,
+so it does not matter where a text is cut into parts; placeholders and marks start
+with ``<|`` and end with ``>``, and can be no part of such a run. Percent sign, newline
+and ``<`` in a role are percent-encoded.
 
 Defined cases: null text or null parts count as empty, a null role as an empty
 role, an unknown part type as an empty text; turns order by (turn, role,
@@ -46,8 +49,17 @@ def unescape_role(c: Column) -> Column:
 
 def text_part(text: Column) -> Column:
     """A content of one text part."""
+    return F.array(_text(text))
+
+
+def text_parts(text: Column, cut: str) -> Column:
+    """A text as parts, cut where a pattern matches (which should match no characters)."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), cut), _text)
+
+
+def _text(text: Column) -> Column:
     none = lambda kind: F.lit(None).cast(kind)
-    return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), none("string").alias("ref"), none("int").alias("width"), none("int").alias("height"), none("bigint").alias("duration_ms"), none("int").alias("pages")))
+    return F.struct(F.lit("text").alias("type"), text.alias("text"), none("string").alias("ref"), none("int").alias("width"), none("int").alias("height"), none("bigint").alias("duration_ms"), none("int").alias("pages"))
 
 
 def expanded_tokens(part: Column) -> Column:
@@ -61,9 +73,21 @@ def expanded_tokens(part: Column) -> Column:
     return F.when(part["type"].isin("image", "audio", "document"), F.greatest(count.cast("bigint"), F.lit(1).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
 
 
-def visit(part: Column) -> Column:
-    """One part as escaped text or placeholder."""
-    return F.when(part["type"].isin("image", "audio", "document"), F.concat(F.lit("<|"), part["type"], F.lit("|>"))).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+def visit(parts: Column) -> Column:
+    """Parts in their order as one content: runs of text parts escaped, placeholders between them."""
+    media = lambda p: p["type"].isin("image", "audio", "document")
+
+    def step(state: Column, p: Column) -> Column:
+        shown = F.concat(state["done"], escape(state["text"]), F.lit("<|"), p["type"], F.lit("|>"))
+        return F.struct(
+            F.when(media(p), shown).otherwise(state["done"]).alias("done"),
+            F.when(media(p), F.lit("")).otherwise(F.concat(state["text"], F.coalesce(p["text"], F.lit("")))).alias("text"),
+        )
+
+    # null parts, and parts whose type is null, count as empty texts
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("text"))
+    whole = F.transform(parts, lambda p: F.struct(F.coalesce(p["type"], F.lit("text")).alias("type"), p["text"].alias("text")))
+    return F.aggregate(whole, start, step, lambda state: F.concat(state["done"], escape(state["text"])))
 
 
 def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", loss_role: str = "assistant") -> DataFrame:
@@ -76,7 +100,7 @@ def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         F.col(turn).alias("__turn"),
         F.coalesce(F.col(role), F.lit("")).alias("__role"),
         F.coalesce(F.col(parts), F.array().cast(PARTS)).alias("__parts"),
-    ).withColumn("__content", F.array_join(F.transform("__parts", visit), ""))
+    ).withColumn("__content", visit(F.col("__parts")))
     files = F.filter(
         F.transform("__parts", lambda p, i: F.struct(i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("n_tokens"))),
         lambda a: a["n_tokens"] > 0,
