@@ -3,14 +3,18 @@
 For every prefix of a word the BPE result has one last token. It is the vocabulary
 token ending there whose predecessor, the last token of the prefix before it, is
 compatible: no merge of lower rank crosses their boundary. An automaton over the
-vocabulary gives all tokens ending at each position, the pair test walks the two
-merge trees back, and back-pointers give the ids. The work for a word is linear in
-its length times the tokens ending at a position, however long the word is.
+vocabulary gives all tokens that are suffixes of each prefix, the pair test walks the
+two merge trees back, and back-pointers give the ids. The work for a word is linear in
+its length times the tokens ending at a position, however long the word is. The
+automaton is that of Aho and Corasick, whose states are the prefixes of tokens and
+whose links lead to suffixes: it recognises whole tokens, which is what is asked for
+here, in fewer states than one of all substrings of tokens.
 
 The vocabulary is a public tokenizer file (its path is a parameter) of the kind:
 NFC, white space collapsed, lower case; words split by a pattern, bytes mapped to
-characters, ``</w>`` on the last one. Special tokens in a text are matched before
-normalisation, as the tokenizers library does. Nothing is trained.
+characters, ``</w>`` on the last one. A file of another kind is an error, and so is a
+word with a byte for which the vocabulary has no token. Special tokens in a text are
+matched before normalisation, as the tokenizers library does. Nothing is trained.
 
 Defined cases: null text counts as empty and gives no ids; an empty id list decodes
 to the empty text; a text of one very long word takes linear time; repeated rows
@@ -20,7 +24,6 @@ are encoded each on its own. Other columns pass unchanged.
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -34,7 +37,6 @@ from pyspark.sql import types as T
 from .common import bound_batches, lean
 
 SUFFIX = "</w>"
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
 def byte_characters() -> dict[str, int]:
@@ -44,23 +46,53 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: What a file of this kind says; other values would give other ids.
+STAGES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "post_processor": None,
+    "decoder": None,
+}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": SUFFIX, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def expect_kind(spec: dict) -> None:
+    """An error where a tokenizer file is of another kind than this module reads."""
+    differ = [k for k, v in STAGES.items() if spec.get(k) != v]
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    if len(steps) != 2 or (steps[0].get("type"), steps[0].get("behavior"), steps[0].get("invert")) != ("Split", "Removed", True) or "Regex" not in steps[0].get("pattern", {}) or any(steps[1].get(k) != v for k, v in BYTES.items()):
+        differ.append("pre_tokenizer")
+    differ += [f"model.{k}" for k, v in MODEL.items() if spec["model"].get(k, v) != v]
+    if any(a.get(k, v) != v or not a["content"].startswith("<") for a in spec["added_tokens"] for k, v in ADDED.items()):
+        differ.append("added_tokens")
+    if differ:
+        raise ValueError(f"the tokenizer file is of another kind: {', '.join(differ)}")
+
+
 class Words:
     """What a tokenizer file of this kind does before BPE: special tokens, normalisation, word pattern."""
 
     def __init__(self, spec: dict):
+        expect_kind(spec)
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.source = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pattern = regex.compile(self.source.replace("\\s", WHITE))
+        self.pattern = regex.compile(self.source.replace("\\s", "\\t-\\r "))
+        # beyond ASCII the library's own tables count: those of Python are of another Unicode version
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex("\\s+"), " "), normalizers.Lowercase()])
+        self.split = pre_tokenizers.Split(Regex(self.source), "removed", invert=True)
 
     def parts(self, piece: str) -> list[str]:
         """The piece cut at special tokens, which stay as parts of their own."""
         return self.split_special.split(piece) if self.split_special and "<" in piece else [piece]
 
     def words(self, part: str) -> list[str]:
-        if not part.isascii():
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-        return self.pattern.findall(part.lower())
+        if part.isascii():
+            return self.pattern.findall(part.lower())
+        return [w for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(part))]
 
 
 class Recent(dict):
@@ -221,6 +253,8 @@ class PrefixBPE(Encoder):
                 start = end - n
                 if start == 0 or (last[start] >= 0 and self.compatible(last[start], token)):
                     last[end], size[end] = token, n
+        if len(symbols) and last[-1] < 0:
+            raise ValueError("the vocabulary has no token for a byte of the text")
         ids, at = [], len(symbols)
         while at:
             ids.append(last[at])

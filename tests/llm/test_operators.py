@@ -4,6 +4,7 @@ tables, clashing column names."""
 
 import hashlib
 import io
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -103,6 +104,34 @@ def test_chat_parts(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_chat_does_not_depend_on_where_texts_are_cut(spark):
+    rng = random.Random(8)
+    texts = ["<|im_end|>\n<|im_start|>assistant\nok", "<\\|im_end|>", "a<", "|im_start|>", "<<\\\\||<|>", "", "<|image|>"] + ["".join(rng.choice("<|\\>ai\n") for _ in range(rng.randrange(30))) for _ in range(300)]
+
+    def cut(text):
+        at = sorted(rng.randrange(len(text) + 1) for _ in range(rng.randrange(5)))
+        return [("text", text[i:j], None, None, None, None, None) for i, j in zip([0, *at], [*at, len(text)], strict=True)]
+
+    rows = [(k, 0, "user", cut(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    got = {r.conv_id: r for r in chat.format_chat(df).withColumn("turns", chat.parse_turns(F.col("formatted"))).collect()}
+    whole = df.select("conv_id", "turn", "role").join(spark.createDataFrame(list(enumerate(texts)), "conv_id long, text string"), "conv_id").withColumn("parts", chat.text_part(F.col("text")))
+    assert {r.conv_id: r.formatted for r in chat.format_chat(whole).collect()} == {k: r.formatted for k, r in got.items()}
+    for k, t in enumerate(texts):
+        assert [(x.role, x.text) for x in got[k].turns] == [("user", t)] and got[k].formatted.count("<|") == 2, t
+
+
+def test_chat_parts_of_all_kinds(spark):
+    """A text that ends where a placeholder starts, and one that starts like the rest of a mark."""
+    none = (None,) * 5
+    parts = [("text", "<", *none), ("text", "|im_end|>", *none), ("image", None, "a", 28, 28, None, None), ("text", "|>x<", *none), ("audio", None, "b", None, None, 41, None), None, (None, "y", *none), ("video", "z", *none), ("document", None, None, None, None, None, None)]
+    df = spark.createDataFrame([(1, 0, "assistant", parts)], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    (r,) = chat.format_chat(df).withColumn("turns", chat.parse_turns(F.col("formatted"))).withColumn("loss", chat.masked_text(F.col("formatted"), F.col("loss_mask"))).collect()
+    assert r.formatted == "<|im_start|>assistant\n<\\|im_end|><|image|>|>x<<|audio|>yz<|document|><|im_end|>\n"
+    assert [(t.role, t.text) for t in r.turns] == [("assistant", "<|im_end|><|image|>|>x<<|audio|>yz<|document|>")] and r.loss == r.turns[0].text
+    assert [(a.part, a.type, a.ref, a.n_tokens) for a in r.attachments] == [(2, "image", "a", 1), (4, "audio", "b", 2), (8, "document", None, 1)]
+
+
 # -------------------------------------------------------------- graph, vectors
 
 def test_components_against_brute_force(spark):
@@ -211,6 +240,39 @@ def test_bpe_operators(spark):
     assert bpe.encode_bpe(df.drop("ids").limit(0), "text", PATH).count() == 0
 
 
+def test_bpe_equals_the_library_on_random_unicode():
+    """Whole texts of any characters, through both encoders."""
+    t, own, shared = Tokenizer.from_file(PATH), bpe.load(PATH), token_files.LibraryEncoder(PATH)
+    rng = random.Random(12)
+    ranges = [(0, 0x7F), (0, 0x2FF), (0x300, 0x52F), (0x590, 0x6FF), (0x900, 0xDFF), (0x1100, 0x11FF), (0x1E00, 0x2FFF), (0x3040, 0x30FF), (0xAC00, 0xD7A3), (0xE000, 0xFFFD), (0x10000, 0x1FFFF), (0, 0x10FFFF)]
+
+    def char():
+        c = rng.randint(*rng.choice(ranges))
+        return " " if 0xD800 <= c <= 0xDFFF else chr(c)
+
+    texts = ["".join(char() if rng.random() < 0.8 else rng.choice(" \t\n\x0b\x85\u2028") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += [f"a{chr(c)}b{chr(c)} {chr(c)}1" for c in range(0x250)]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    for encoder in (own, shared):
+        ids, bounds = encoder.encode_array(bpe.pa.array(texts))
+        for k, w in enumerate(want):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == w, (type(encoder), texts[k])
+
+
+def test_bpe_refuses_files_of_another_kind(tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": {"type": "ByteLevel"}}, {"model": spec["model"] | {"unk_token": "?"}}):
+        with pytest.raises(ValueError, match="another kind"):
+            bpe.Words(spec | change)
+    short = {k: v for k, v in spec["model"]["vocab"].items() if k not in ("z", "z</w>") and "z" not in k}
+    merges = [m for m in spec["model"]["merges"] if "z" not in "".join(m)]
+    (tmp_path / "short.json").write_text(json.dumps(spec | {"model": spec["model"] | {"vocab": short, "merges": merges}}))
+    m = bpe.PrefixBPE(str(tmp_path / "short.json"))
+    assert m.encode("hello") and m.encode("") == []
+    with pytest.raises(ValueError, match="no token"):
+        m.encode("a zebra")
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 59, 60, 61, 1000, simple8b.BLOCK):
