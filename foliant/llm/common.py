@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..arrow import lower_batches
+from ..shared import shared_dir
 
 #: Input of one Arrow batch handed to Python: rows and bytes, whichever comes first.
 BATCH_ROWS = 2000
@@ -44,18 +43,6 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return inner
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir). Where none is set, a temporary
-    one for a session on this machine alone, as in tests; an error on a cluster."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + os.path.join(tempfile.gettempdir(), "foliant-shared")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -74,6 +61,7 @@ class Shelf:
 
     def __init__(self):
         self.paths: list[tuple[SparkSession, str]] = []
+        self.tables: list[tuple[SparkSession, str]] = []
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(df.sparkSession, name)
@@ -81,7 +69,20 @@ class Shelf:
         self.paths.append((df.sparkSession, path))
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, by: str, name: str) -> DataFrame:
+        """df as a table in buckets of ``by``, one for each shuffle partition: moved once, and not
+        again for joins on that column."""
+        spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+        many, table_name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"foliant_{uuid.uuid4().hex}"
+        df.repartition(many, by).write.format("parquet").bucketBy(many, by).sortBy(by).option("path", path).saveAsTable(table_name)
+        self.paths.append((spark, path))
+        self.tables.append((spark, table_name))
+        return spark.table(table_name)
+
     def clear(self) -> None:
+        for spark, name in self.tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = []
         for spark, path in self.paths:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -43,6 +43,8 @@ from .graph import components
 K, SKETCHES, SAMPLE, SIMILARITY = 5, 24, 3, 0.8
 #: Texts that hold a k-mer by which less similar texts are paired too, at most.
 OFTEN = 64
+#: Texts that a task remembers to have passed on, about.
+SEEN = 100_000
 #: Texts whose k-mers are counted together before they are added up.
 BLOCK = 500
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -178,28 +180,45 @@ def near_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     bound_batches(spark)
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("digest", F.unhex(F.md5("text")))
 
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Drops copies that the task has seen lately, before texts are moved."""
+        seen, old = set(), set()
+        for b in batches:
+            new = []
+            for d in b.column(0).to_pylist():
+                new.append(d not in seen and d not in old)
+                seen.add(d)
+            yield b.filter(pa.array(new, pa.bool_()))
+            if len(seen) > SEEN:
+                seen, old = set(), seen
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, keys = [], []
-            for value in b.column(2).to_pylist():
-                words = word_hashes(value or "")
+            for value in b.column(1).to_pylist():
+                words = word_hashes(value)
                 size.append(len(words))
                 keys.append(order_sketch(kmer_hashes(words, k), sketches, sample).view(np.int64) if len(words) else np.empty(0, np.int64))
             bounds = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int32()), lists], names=["doc_id", "digest", "words", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), lists], names=["digest", "words", "keys"])
 
     shelf, kept = Shelf(), Shelf()
-    rows = kept.put(docs.select("doc_id", "digest", "text").mapInArrow(lean(sketch), "doc_id bigint, digest binary, words int, keys array<bigint>"), "sketches")
+    # texts are moved once, and read where they are from then on
+    texts = docs.where("digest is not null").select("digest", "text").mapInArrow(lean(once), "digest binary, text string")
+    texts = shelf.bucketed(texts, "digest", "texts")
+    rows = kept.put(docs.select("doc_id", "digest"), "digests")
     # exact copies are one class: (node, digest, first doc_id, copies, words, keys)
-    classes = rows.where("words > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("words").alias("words"), F.any_value("keys").alias("keys"))
-    classes = numbered(classes, "digest", "node", shelf)
+    copies = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    sketched = texts.mapInArrow(lean(sketch), "digest binary, words int, keys array<bigint>").where("words > 0")
+    sketched = shelf.put(sketched, "sketches").groupBy("digest").agg(F.any_value("words").alias("words"), F.any_value("keys").alias("keys"))
+    classes = numbered(copies.join(sketched, "digest"), "digest", "node", shelf)
     keyed = classes.select("node", "words", F.explode("keys").alias("key"))
     lead = keyed.groupBy("key").agg(F.min(F.struct("node", "words")).alias("lead"), F.max("node").alias("last")).where("lead.node <> last").select("key", "lead")
     shared = shelf.put(keyed.join(lead, "key").select("key", "node", "words", "lead"), "shared")
     near_size = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (least - 1e-9)
     stars = shared.where((F.col("node") != F.col("lead.node")) & near_size(F.col("words"), F.col("lead.words"))).select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()
-    first = _verify(shelf.put(stars, "stars"), classes, docs, least, shelf)
+    first = _verify(shelf.put(stars, "stars"), classes, texts, least, shelf)
     found = components(first)
 
     # members of a key in different components yet: compared where they can be similar
@@ -207,14 +226,14 @@ def near_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     left = shared.select("key", "node", "words").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     rest = shelf.put(left.join(mixed, "key").select("node", "words", "component").distinct(), "mixed")
-    second = _verify(shelf.put(_close_pairs(rest, classes, docs, k, least, sketches, shelf), "rest"), classes, docs, least, shelf)
+    second = _verify(shelf.put(_close_pairs(rest, classes, texts, k, least, sketches, shelf), "rest"), classes, texts, least, shelf)
     final = components(first.unionByName(second))
     named = shelf.put(classes.join(final, "node", "left").select("digest", "copies", "first", F.coalesce("component", "node").alias("component")), "named")
     sizes = named.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("members"))
     sizes = shelf.put(sizes, "sizes")
     by_text = join_facts(named.select("digest", "component", "copies"), sizes, "component", "members").select("digest", "class_id", "class_size", "copies")
     by_text = kept.put(by_text, "by-text")
-    known = join_facts(rows.select("doc_id", F.when(F.col("words") > 0, F.col("digest")).alias("digest")), by_text, "digest", "copies", "left")
+    known = join_facts(rows, by_text, "digest", "copies", "left")
     shelf.clear()
     class_id = F.coalesce("class_id", "doc_id")
     return known.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
@@ -234,11 +253,9 @@ def numbered(df: DataFrame, by: str, out: str, shelf: Shelf) -> DataFrame:
     return placed.join(F.broadcast(start), "__part").select((F.col("__before") + F.col("__at")).alias(out), *df.columns)
 
 
-def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shelf: Shelf) -> DataFrame:
-    """(node, text), from the document that gave the class its first id. The nodes are a written
-    table of known size: texts are only shuffled where it is too large for a broadcast."""
-    wanted = shelf.put(nodes.join(classes.select("node", "digest", "first"), "node"), "wanted")
-    return docs.join(wanted, (docs["digest"] == wanted["digest"]) & docs["doc_id"].eqNullSafe(wanted["first"])).select("node", "text").dropDuplicates(["node"])
+def _texts(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text); the nodes move, the texts do not."""
+    return texts.join(nodes.join(classes.select("node", "digest"), "node"), "digest").dropDuplicates(["digest"]).select("node", "text")
 
 
 def prefix_size(n: int, alone: int, least: float) -> int:
@@ -248,7 +265,7 @@ def prefix_size(n: int, alone: int, least: float) -> int:
     return max(0, n - alone - math.ceil(least * n - 1e-9) + 1)
 
 
-def _close_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float, sketches: int, shelf: Shelf) -> DataFrame:
+def _close_pairs(rest: DataFrame, classes: DataFrame, texts: DataFrame, k: int, least: float, sketches: int, shelf: Shelf) -> DataFrame:
     """Pairs (a, b) of nodes (node, words, component) of different components that may be similar.
 
     All pairs of k-mer similarity ``least`` are there: k-mers are ordered by the number of
@@ -282,7 +299,7 @@ def _close_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, k: int, l
                 value, count = np.unique(whole.values.flatten().to_numpy(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), block)), pa.array(value), pa.array(count)], names=["block", "kmer", "n"])
 
-    kmers = _texts(rest.select("node"), classes, docs, shelf).mapInArrow(lean(hashes), "node bigint, kmers array<bigint>")
+    kmers = _texts(rest.select("node"), classes, texts).mapInArrow(lean(hashes), "node bigint, kmers array<bigint>")
     kmers = kmers.join(rest, "node").select("node", "words", "component", "kmers")
     blocks = shelf.put(kmers.mapInArrow(lean(pack), "block bigint, node array<bigint>, words array<int>, component array<bigint>, kmers array<array<bigint>>"), "kmers")
     # texts that hold a k-mer, counted within blocks of texts first: a row for each block, not for each text
@@ -326,7 +343,7 @@ def _close_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, k: int, l
     return joined.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float, shelf: Shelf) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: float, shelf: Shelf) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar; a written table."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
@@ -335,7 +352,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float,
             seqs = [word_hashes(t or "").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seqs, pa.binary())], names=["node", "seq"])
 
-    seqs = shelf.put(_texts(nodes, classes, docs, shelf).mapInArrow(lean(hashes), "node bigint, seq binary"), "words")
+    seqs = shelf.put(_texts(nodes, classes, texts).mapInArrow(lean(hashes), "node bigint, seq binary"), "words")
     joined = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("sa")), "a").join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("sb")), "b")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
