@@ -8,15 +8,17 @@ scores for each bucket, so a whole text costs one lookup for each subword.
 
 The temperature of the softmax and the rejection level are fitted on a part of the
 training rows kept apart: the lowest probability with which predictions there are
-right at the wished rate. A rejected prediction has ``accepted`` false.
+right at the wished rate. A rejected prediction has ``accepted`` false. Texts with the
+same smallest subword hash, as near copies have mostly, are on the same side.
 
-Training takes a bounded sample of labelled rows: about ``per_language`` rows of each
-language by a hash of the text, of all languages. Prediction takes every row and whole
-texts.
+Training takes a bounded sample of labelled rows: of each language, of all languages,
+the different texts that come first by their hash, whole, ``per_label`` of them at most,
+and none after ``most_bytes`` of them. Prediction takes every row and whole texts.
 
 Defined cases: null texts and texts without a letter give ``und`` with score 0, not
 accepted; equal texts give equal results; with no labelled row everything is
-``und``; an empty table gives no rows.
+``und``; an empty table gives no rows. Columns added take the place of columns of
+the same name.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,14 +112,19 @@ class LanguageModel:
 
 
 def train(texts: list[str], labels: list[str], steps: int = 16_000, rate: float = 0.5, apart: float = 0.2, right: float = 0.99, seed: int = 11) -> LanguageModel:
-    """Fit a model with about ``steps`` steps of a text each, all texts equally often; the last
-    ``apart`` of the rows, shuffled, set temperature and level."""
-    rows = [(s, y) for t, y in zip(texts, labels, strict=True) if len(s := subwords(t or ""))]
-    languages = sorted({y for _, y in rows})
+    """Fit a model with about ``steps`` steps of a text each, all texts equally often; ``apart``
+    of the rows, the last by their smallest subword hash, set temperature and level."""
+    rows = []
+    for t, y in zip(texts, labels, strict=True):
+        if len(s := subwords(t or "")):
+            at, count = np.unique(s, return_counts=True)
+            rows.append((at, count / len(s), y))
+    languages = sorted({y for *_, y in rows})
     if not rows:
         return LanguageModel([], np.zeros((1, 0), np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(rows))
+    side = rng.permutation(BUCKETS)  # a minimum over this order is shared by texts with mostly the same subwords
+    order = sorted(range(len(rows)), key=lambda i: int(side[rows[i][0]].min()))
     cut = max(1, len(rows) - int(apart * len(rows)))
     fit, held = [rows[i] for i in order[:cut]], [rows[i] for i in order[cut:]]
     embed = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
@@ -127,10 +134,8 @@ def train(texts: list[str], labels: list[str], steps: int = 16_000, rate: float
     steps = epochs * len(fit)
     for _ in range(epochs):
         for i in rng.permutation(len(fit)):
-            at, y = fit[i]
-            if len(at) > 600:  # a random draw of the subwords for each step, of all of the text
-                at = at[rng.integers(0, len(at), 600)]
-            hidden = embed[at].mean(axis=0)
+            at, share, y = fit[i]
+            hidden = share @ embed[at]
             z = hidden @ weight + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -139,12 +144,12 @@ def train(texts: list[str], labels: list[str], steps: int = 16_000, rate: float
             back = weight @ p
             weight -= step * np.outer(hidden, p)
             bias -= step * p
-            np.add.at(embed, at, -step * back / len(at) ** 0.5)  # short and long texts move their subwords alike
+            embed[at] -= np.outer(share / np.sqrt(share @ share), step * back)  # short and long texts move their subwords alike
             done += 1
     model = LanguageModel(languages, (embed @ weight).astype(np.float32), bias)
     if held:
-        z = np.stack([model.table[at].mean(axis=0) + bias for at, _ in held])
-        y = np.array([code[y] for _, y in held])
+        z = np.stack([share @ model.table[at] + bias for at, share, _ in held])
+        y = np.array([code[y] for *_, y in held])
 
         doubt = 1 / (len(y) + 2)  # weight of the other languages, so that a faultless part gives no certainty
 
@@ -164,17 +169,19 @@ def train(texts: list[str], labels: list[str], steps: int = 16_000, rate: float
     return model
 
 
-def training_sample(df: DataFrame, text: str, label: str, per_label: int) -> list[tuple[str, str]]:
-    """About per_label rows of each label, of all labels, by a hash of the text. Counts first, over
-    narrow columns; then only rows under their label's share of the hash range come to the driver."""
+def training_sample(df: DataFrame, text: str, label: str, per_label: int, most_bytes: int = 4 << 20) -> list[tuple[str, str]]:
+    """(place, text, label) of the first different texts of each label by a hash of the text, per_label at
+    most, until they have most_bytes together. Counts first, over narrow columns; then only rows under twice
+    their label's share of the hash range are looked at, copies once."""
     span = 1 << 32
     spot = F.pmod(F.xxhash64(text), F.lit(span))
     labelled = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), spot.alias("spot"))
-    share = labelled.groupBy("label").agg(F.least(F.lit(span), F.floor(F.lit(float(span * per_label)) / F.count(F.lit(1)))).alias("share"))
-    share = share.cache()
-    rows = labelled.join(F.broadcast(share), "label").where("spot < share").select("text", "label", "spot").limit(2 * per_label * max(1, share.count())).collect()
-    share.unpersist()
-    return sorted({(r[2], r[0], r[1]) for r in rows})
+    share = labelled.groupBy("label").agg(F.least(F.lit(span), F.floor(F.lit(float(2 * span * per_label)) / F.approx_count_distinct("spot", 0.02))).alias("share"))
+    few = labelled.join(F.broadcast(share), "label").where("spot < share").groupBy("label", "spot").agg(F.min("text").alias("text"))
+    w = Window.partitionBy("label").orderBy("spot", "text")
+    few = few.select("label", "spot", "text", F.row_number().over(w).alias("nth"), F.sum(F.octet_length("text").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    rows = few.where((F.col("nth") <= per_label) & (F.coalesce("before", F.lit(0)) < most_bytes)).select("spot", "text", "label").collect()
+    return sorted(map(tuple, rows))
 
 
 def detect_language(df: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -182,6 +189,7 @@ def detect_language(df: DataFrame, model: LanguageModel, text: str = "text", kee
     probability) and accepted."""
     bound_batches(df.sparkSession)
     keep = [c for c in df.columns if c != text] if keep is None else keep
+    keep = [c for c in keep if c not in ("lang_pred", "score", "accepted")]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS * languages floats
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .langid import detect_language, train, training_sample
 
-#: Labelled rows taken for training, for each language.
-PER_LANGUAGE = 500
+#: Labelled texts taken for training, for each language: at most so many, and none after so many bytes.
+PER_LANGUAGE, LANGUAGE_BYTES = 500, 4 << 20
 
 
 def held_out() -> Column:
@@ -19,6 +19,6 @@ def held_out() -> Column:
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sample = training_sample(docs.where(~held_out()), "text", "lang", PER_LANGUAGE)
+    sample = training_sample(docs.where(~held_out()), "text", "lang", PER_LANGUAGE, LANGUAGE_BYTES)
     model = train([t for _, t, _ in sample], [y for _, _, y in sample])
     return detect_language(docs.select("doc_id", held_out().alias("held_out"), "text"), model)

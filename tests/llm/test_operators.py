@@ -517,6 +517,61 @@ def test_training_sample_has_every_language(spark):
     assert sorted((t, y) for _, t, y in got) == sorted(rows)
 
 
+def test_training_samples_are_bounded_and_do_not_depend_on_the_run(spark):
+    rows = [(k, f"copy {'x' * 1000}" if k % 3 == 0 else f"text {k} {'y' * 1000}", "a") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = langid.training_sample(df, "text", "lang", 200), langid.training_sample(df.repartition(7), "text", "lang", 200)
+    assert a == b and len(a) == 200 and sum(t.startswith("copy") for _, t, _ in a) <= 1
+    assert len(langid.training_sample(df, "text", "lang", 200, most_bytes=10_000)) == 10
+    assert langid.training_sample(df.limit(0), "text", "lang", 5) == []
+    labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).unionByName(spark.createDataFrame([(None, 1), (5, None), (0, 1)], "doc_id long, quality int"))
+    twice = df.unionByName(df.select("doc_id", F.lit("another").alias("text"), "lang"))
+    one, prior = crf.labelled_sample(twice, labels, F.lit(True), per_label=50)
+    again, _ = crf.labelled_sample(twice.repartition(5), labels.repartition(3), F.lit(True), per_label=50)
+    assert one == again and len(one) == 100 and 0.49 < prior < 0.51 and {t for t, _ in one} == {b"another"}
+    assert len(crf.labelled_sample(df, labels, F.lit(True), per_label=50, most_bytes=5000)[0]) == 10
+    assert crf.labelled_sample(df.limit(0), labels, F.lit(True))[0] == [] and crf.labelled_sample(df, labels.limit(0), F.lit(True)) == ([], 0.5)
+
+
+def test_models_replace_columns_of_their_names(spark):
+    df = documents(spark, ["kala", None]).withColumns({"score": F.lit(7), "lang_pred": F.lit("x")})
+    got = langid.detect_language(df, langid.train([], []))
+    assert got.columns == ["doc_id", "lang_pred", "score", "accepted"] and {r.score for r in got.collect()} == {0.0}
+    assert crf.score_quality(df, crf.train([], [])).columns == ["doc_id", "text", "lang_pred", "score"]
+
+
+def test_likelihood_and_its_gradient_agree():
+    """The gradient that training follows is that of the weighted likelihood, by finite differences."""
+    rng = np.random.default_rng(6)
+    per_text, weight = np.array([3, 1, 5]), np.array([0.5, 2.0, 1.2])
+    unary, pair, gold = rng.standard_normal(9), rng.standard_normal((2, 2)), np.array([1, 1, 1, 0, 1, 1, 1, 1, 1])
+    ends = np.cumsum(per_text)
+
+    def likelihood(u, p):
+        log_z = crf.forward_backward(u, per_text, p)[2]
+        total = 0.0
+        for k, (end, n) in enumerate(zip(ends, per_text, strict=True)):
+            y = gold[end - n : end]
+            total += weight[k] * (u[end - n : end] @ y + sum(p[y[i], y[i + 1]] for i in range(n - 1)) - log_z[k])
+        return total
+
+    good, pairs, _ = crf.forward_backward(unary, per_text, pair, weight)
+    by_unary = (gold - good) * np.repeat(weight, per_text)
+    want = np.zeros((2, 2))
+    for k, (end, n) in enumerate(zip(ends, per_text, strict=True)):
+        for a, b in zip(gold[end - n : end], gold[end - n + 1 : end], strict=False):
+            want[a, b] += weight[k]
+    step = 1e-6
+    for i in range(9):
+        d = np.eye(9)[i] * step
+        assert (likelihood(unary + d, pair) - likelihood(unary - d, pair)) / (2 * step) == pytest.approx(by_unary[i], abs=1e-6)
+    for a in (0, 1):
+        for b in (0, 1):
+            d = np.zeros((2, 2))
+            d[a, b] = step
+            assert (likelihood(unary, pair + d) - likelihood(unary, pair - d)) / (2 * step) == pytest.approx((want - pairs)[a, b], abs=1e-6)
+
+
 def test_subwords_ignore_case_and_signs():
     assert sorted(langid.subwords("Ab c")) == sorted(langid.subwords("  aB,, C ")) and len(langid.subwords("12 !")) == 0
     assert len(langid.subwords("a")) == 4  # a, _a, a_, _a_
