@@ -4,16 +4,20 @@ Every line of a text is labelled good or bad. Its features, and those of the lin
 before and after it, are numbers of the line (shares of letters, capitals, signs,
 signs in runs, ...) cut into bins; weights for bins and for pairs of neighbouring
 labels are trained in numpy by gradient ascent on the likelihood of labelled
-documents, whose lines all have the label of the document. Forward-backward gives
+documents, whose lines all have the label of the document. That likelihood counts texts
+alike whatever their number of lines, and both labels alike. Forward-backward gives
 each line's marginal; their mean weighted by length, through a logistic curve
 fitted on training documents kept apart, is the score.
 
-Training takes a bounded sample of labelled rows (``PER_LABEL`` for each label, by a
-hash of the document id); scoring takes every row and whole texts.
+Training takes a bounded sample of labelled documents: of each label those that come
+first by a hash of their id, whole, ``PER_LABEL`` of them at most, and none after
+``LABEL_BYTES`` of them; of documents with the same id the least text. Scoring takes every
+row and whole texts.
 
 Defined cases: a null or empty text is one empty line; equal texts get equal scores;
 without labelled rows of both labels every score is the share of label 1, or 0.5; an
-empty table gives no rows; lines and texts of any length are taken whole.
+empty table gives no rows; lines and texts of any length are taken whole. The column
+added takes the place of one of the same name.
 """
 
 from __future__ import annotations
@@ -23,14 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bound_batches, lean
 from .order_minhash import _power, mix
 
-PER_LABEL = 1500
+PER_LABEL, LABEL_BYTES = 1500, 24 << 20
 BINS = 8
 #: Bytes handled at once when features of many texts are made.
 CHUNK = 256 << 10
@@ -142,9 +146,9 @@ class QualityModel:
         out[tail] += after[tail + 1]
         return out
 
-    def marginals(self, unary: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def marginals(self, unary: np.ndarray, per_text: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """P(good) of every line, expected pairs of labels, log partition of every text."""
-        return forward_backward(unary, per_text, self.pair)
+        return forward_backward(unary, per_text, self.pair, weight)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not len(self.edges):
@@ -165,9 +169,10 @@ def _weighted(good: np.ndarray, chars: np.ndarray, per_text: np.ndarray) -> np.n
     return np.add.reduceat(good * w, first) / np.add.reduceat(w, first)
 
 
-def forward_backward(unary: np.ndarray, per_text: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forward_backward(unary: np.ndarray, per_text: np.ndarray, pair: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For chains of lines of all texts at once; every text has a line at least. Texts are
-    taken in descending order of their number of lines, so that those still going are the first."""
+    taken in descending order of their number of lines, so that those still going are the first.
+    Expected pairs of labels are summed over texts with ``weight``, 1 each without it."""
     order = np.argsort(-per_text, kind="stable")
     first = (np.cumsum(per_text) - per_text)[order]
     many = per_text[order]
@@ -183,11 +188,12 @@ def forward_backward(unary: np.ndarray, per_text: np.ndarray, pair: np.ndarray)
         alpha[at] = a / scale[at, None]
     beta = np.ones_like(e)
     pairs = np.zeros((2, 2))
+    weight = np.ones(len(order)) if weight is None else weight[order]
     for t in range(len(live) - 1, 0, -1):
         at = first[: live[t]] + t
         back = e[at] * beta[at] / scale[at, None]
         beta[at - 1] = back @ move.T
-        pairs += np.einsum("ni,nj->ij", alpha[at - 1], back) * move
+        pairs += np.einsum("n,ni,nj->ij", weight[: live[t]], alpha[at - 1], back) * move
     good = alpha * beta
     good = good[:, 1] / good.sum(axis=1)
     log_z = np.add.reduceat(np.log(scale) + top[:, 0], np.cumsum(per_text) - per_text) if len(per_text) else np.empty(0)
@@ -218,11 +224,11 @@ def train(texts: list[bytes], labels: list[int], prior: float | None = None, epo
     flat = np.arange(N_FEATURES) * BINS + bins
     gold_pairs = np.zeros((2, 2))
     for a in (0, 1):
-        gold_pairs[a, a] = (per_text[y[fit] == a] - 1).sum()
+        gold_pairs[a, a] = (weight * (per_text - 1))[y[fit] == a].sum()
     m = [np.zeros_like(model.weight), np.zeros((2, 2)), 0.0]
     v = [np.zeros_like(model.weight), np.zeros((2, 2)), 0.0]
     for step in range(1, epochs + 1):
-        good, pairs, _ = model.marginals(model.unary(bins, per_text), per_text)
+        good, pairs, _ = model.marginals(model.unary(bins, per_text), per_text, weight)
         r = (gold - good) * line_weight
         g = np.zeros_like(model.weight)
         tally = lambda at, to: np.bincount(flat[at].ravel(), np.repeat(r[to], N_FEATURES), N_FEATURES * BINS).reshape(N_FEATURES, BINS)
@@ -230,7 +236,7 @@ def train(texts: list[bytes], labels: list[int], prior: float | None = None, epo
         g[0] = tally(inside - 1, inside)
         g[2] = tally(inside, inside - 1)
         n = len(fit)
-        grads = [g / n - penalty * model.weight, (gold_pairs - pairs) / max(1.0, per_text.sum()) - penalty * model.pair, float(r.sum()) / n]
+        grads = [g / n - penalty * model.weight, (gold_pairs - pairs) / n - penalty * model.pair, float(r.sum()) / n]
         for k, grad in enumerate(grads):
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.999 * v[k] + 0.001 * grad**2
@@ -265,29 +271,31 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.05, float(a)), float(b)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality", per_label: int = PER_LABEL) -> tuple[list[tuple[bytes, int]], float]:
-    """About per_label rows of each label (0, 1), and the share of label 1 among all: ids first, by a hash; then their texts, by
-    a join with those ids, of which there are 4 * per_label at most."""
-    spark = docs.sparkSession
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & use).select("doc_id", F.col(label).cast("int").alias("y"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality", per_label: int = PER_LABEL, most_bytes: int = LABEL_BYTES) -> tuple[list[tuple[bytes, int]], float]:
+    """(text, label) of the first documents of each label (0, 1) by a hash of their id, per_label at most, until
+    they have most_bytes together; and the share of label 1 among all. Ids first, of which there are 2 * per_label;
+    then their texts. An id with both labels counts with the smaller."""
+    spot = F.xxhash64("doc_id", F.lit(0))
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & use).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y"))
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
-    span = 1 << 32
-    share = F.lit(0).cast("bigint")
-    for y, n in counts.items():
-        share = F.when(F.col("y") == y, F.lit(min(span, int(span * per_label / n)))).otherwise(share)
-    ids = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < share).limit(4 * per_label).collect()
     prior = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    if not ids:
+    first = [known.where(F.col("y") == y).distinct().select("doc_id", "y", spot.alias("spot")).orderBy("spot", "doc_id").limit(per_label) for y in sorted(counts)]
+    if not first:
         return [], prior
-    wanted = spark.createDataFrame([(r[0], r[1]) for r in ids], "doc_id bigint, y int")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(wanted), "doc_id").collect()
-    return [(bytes(t), y) for _, t, y in sorted((r["doc_id"], bytes(r["text"]), r["y"]) for r in rows)], prior
+    wanted = first[0] if len(first) == 1 else first[0].unionByName(first[1])
+    wanted = wanted.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("spot").alias("spot"))  # 2 * per_label rows at most
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id")
+    rows = rows.groupBy("y", "spot", "doc_id").agg(F.min("text").alias("text"))
+    w = Window.partitionBy("y").orderBy("spot", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("text").cast("long")).over(w), F.lit(0))).where(F.col("before") < most_bytes)
+    got = sorted((r["doc_id"], bytes(r["text"]), r["y"]) for r in rows.select("doc_id", F.col("text").cast("binary").alias("text"), "y").collect())
+    return [(t, y) for _, t, y in got], prior
 
 
 def score_quality(df: DataFrame, model: QualityModel, text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """The columns ``keep`` (all if None), then the score, 0 to 1, higher for better texts."""
     bound_batches(df.sparkSession)
-    keep = df.columns if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c != out]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
