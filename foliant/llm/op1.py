@@ -6,26 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tiff import store_tiff, tiff_read
+from .tiff import EVERY, file_digests, store_tiff, tiff_pages
 
 
 def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layouts of all kinds, chosen by each text; read page by page."""
     docs = table(spark, sf_dir, "documents")
     raw = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("text").cast("binary").alias("payload"))
-    read = tiff_read(store_tiff(raw, "payload"))
-    # one page: its samples; several: their bytes in page order
-    samples = F.when(F.size("pages") == 1, F.col("pages")[0]["samples"]).otherwise(F.unhex(F.array_join(F.transform("pages", lambda p: F.hex(p["samples"])), "")))
-    total = lambda f: F.aggregate("pages", F.lit(0).cast("long"), lambda a, p: a + p[f])
-    feature = F.concat_ws(":", F.size("pages"), total("height"), total("sample_sum"), total("sample_squares"), F.array_join(F.transform("pages", lambda p: p["grid_hash"]), ","))
-    return read.select("doc_id", "n_bytes", "media", "tiff_error", F.size("pages").alias("n_pages"), samples.alias("payload"), feature.alias("feature")).select(
-        "doc_id",
-        "n_bytes",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        "feature",
-        "n_pages",
-        "tiff_error",
-    )
+    stored = store_tiff(raw, "payload", layouts=EVERY)
+    stored = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    head = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
+    read = file_digests(tiff_pages(stored, keep=head), head)
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages", F.col("error").alias("tiff_error"))

@@ -1,19 +1,21 @@
 """Media columns: TIFF files as rows of pages.
 
-``store_tiff`` writes byte payloads as multi-page 8-bit TIFF; ``tiff_read`` walks
-the image directories of a binary column, decodes strips or tiles (none,
-PackBits, LZW, deflate), undoes the horizontal predictor and gives the pages as
-an array, ``tiff_pages`` as one row per page.
+``store_tiff`` writes byte payloads as multi-page 8-bit TIFF; ``tiff_pages`` walks
+the image directories of a binary column, decodes strips or tiles (none, PackBits,
+LZW, deflate), undoes the horizontal predictor and gives one row per page, page by
+page; ``file_digests`` folds the pages of each file, as they come, into one row.
 
 Defined cases: null media gives no pages and no error; bytes that are no TIFF, a
-broken strip or an unsupported layout give ``error`` (the pages before it stay);
-a directory chain that loops ends at the first directory seen twice. Repeated
-rows are decoded each on its own. Other columns pass unchanged; the names of the
-columns added are parameters so that they need not clash.
+broken strip, a page beyond what its strips or a row (2**31 - 1 bytes) can hold, or an
+unsupported layout give a row with ``error`` behind the pages before it; a directory
+chain that loops ends at the first directory seen twice. Repeated rows are decoded
+each on its own. Other columns pass unchanged, but for those that have the name of a
+column added, which are dropped.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,6 +28,8 @@ from pyspark.sql import types as T
 
 from .common import bound_batches, lean
 
+#: Rows and bytes of a batch of pages.
+OUT_ROWS, OUT_BYTES = 500, 8 << 20
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 
 # Tag numbers of TIFF 6.0.
@@ -71,69 +75,73 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
-    out, i, end = [], 0, len(data)
-    while i < end:
+def packbits_decode(data: bytes, most: int) -> bytes:
+    """At least ``most`` bytes of what data decodes to, or all of it."""
+    out, have, i, end = [], 0, 0, len(data)
+    while i < end and have < most:
         n = data[i]
         i += 1
         if n < 128:
             out.append(data[i : i + n + 1])
+            have += n + 1
             i += n + 1
         elif n > 128:
             if i >= end:
                 raise TiffError("PackBits data ends within a run")
             out.append(data[i : i + 1] * (257 - n))
+            have += 257 - n
             i += 1
     return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first, widened one code early."""
-    out, acc, held, width = bytearray(), 0, 0, 9
-    table = {bytes((k,)): k for k in range(256)}
-    fill = 258
-
-    def put(code: int) -> None:
-        nonlocal acc, held
-        acc = (acc << width) | code
-        held += width
-        while held >= 8:
-            held -= 8
-            out.append((acc >> held) & 255)
-        acc &= (1 << held) - 1
-
-    put(256)
-    seen = b""
-    for k in range(len(data)):
-        longer = seen + data[k : k + 1]
-        if longer in table:
-            seen = longer
+    codes, widths = [256], [9]
+    table: dict[int, int] = {}
+    fill, width, last = 258, 9, -1
+    for byte in data:
+        if last < 0:
+            last = byte
+            continue
+        pair = last << 8 | byte
+        known = table.get(pair)
+        if known is not None:
+            last = known
             continue
-        put(table[seen])
-        table[longer] = fill
+        codes.append(last)
+        widths.append(width)
+        table[pair] = fill
         fill += 1
         if fill == 4095:
-            put(256)
-            table = {bytes((k,)): k for k in range(256)}
+            codes.append(256)
+            widths.append(width)
+            table = {}
             fill, width = 258, 9
         elif fill > (1 << width) - 1:
             width += 1
-        seen = data[k : k + 1]
-    if seen:
-        put(table[seen])
+        last = byte
+    if last >= 0:
+        codes.append(last)
+        widths.append(width)
         fill += 1
         if fill > (1 << width) - 1 and width < 12:
             width += 1
-    put(257)
-    if held:
-        out.append((acc << (8 - held)) & 255)
-    return bytes(out)
-
-
-def lzw_decode(data: bytes) -> bytes:
+    codes.append(257)
+    widths.append(width)
+    c, w = np.array(codes), np.array(widths)
+    end = np.cumsum(w)
+    bits = np.zeros(-(-int(end[-1]) // 8) * 8, np.uint8)
+    for k in range(12):  # bit k from the low end of each code
+        some = w > k
+        bits[end[some] - 1 - k] = c[some] >> k & 1
+    return np.packbits(bits).tobytes()
+
+
+def lzw_decode(data: bytes, most: int) -> bytes:
+    """At least ``most`` bytes of what data decodes to, or all of it."""
     out: list[bytes] = []
     base = [bytes((k,)) for k in range(256)] + [b"", b""]
-    table, width, acc, held, before = list(base), 9, 0, 0, b""
+    table, width, acc, held, before, have = list(base), 9, 0, 0, b"", 0
     for byte in data:
         acc = (acc << 8) | byte
         held += 8
@@ -142,33 +150,37 @@ def lzw_decode(data: bytes) -> bytes:
         held -= width
         code = acc >> held
         acc &= (1 << held) - 1
-        if code == 257:
+        if code == 257 or have >= most:
             break
         if code == 256:
             table, width, before = list(base), 9, b""
             continue
+        size = len(table)
         if not before:
             if code > 255:
                 raise TiffError("LZW data starts with a code that is not defined")
             before = table[code]
             out.append(before)
+            have += 1
             continue
-        if code < len(table):
+        if code < size:
             now = table[code]
-        elif code == len(table):
+        elif code == size:
             now = before + before[:1]
         else:
             raise TiffError("LZW code out of range")
-        table.append(before + now[:1])
         out.append(now)
+        have += len(now)
+        if size < 4096:
+            table.append(before + now[:1])
+            size += 1
+            if size >= 2047:
+                width = 12
+            elif size >= 1023:
+                width = 11
+            elif size >= 511:
+                width = 10
         before = now
-        size = len(table)
-        if size >= 2047:
-            width = 12
-        elif size >= 1023:
-            width = 11
-        elif size >= 511:
-            width = 10
     return b"".join(out)
 
 
@@ -184,18 +196,23 @@ def compress(data: bytes, how: int, level: int = 6) -> bytes:
     raise TiffError(f"compression {how} is not supported")
 
 
-def expand(data: bytes, how: int) -> bytes:
+#: Bytes that one byte of data can stand for, at most.
+EXPANSION = {NONE: 1, PACKBITS: 64, DEFLATE: 1100, DEFLATE_OLD: 1100, LZW: 4096}
+
+
+def expand(data: bytes, how: int, need: int) -> bytes:
+    """At least the first ``need`` bytes, if there are as many; hardly more is ever made."""
     if how == NONE:
         return data
     if how in (DEFLATE, DEFLATE_OLD):
         try:
-            return zlib.decompress(data)
+            return zlib.decompressobj().decompress(data, need)
         except zlib.error as e:
             raise TiffError(f"deflate: {e}") from e
     if how == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, need)
     if how == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, need)
     raise TiffError(f"compression {how} is not supported")
 
 
@@ -275,10 +292,11 @@ def walk_directories(data: bytes) -> Iterator[dict[int, tuple]]:
                 tag, kind, many = struct.unpack_from(order + entry, data, p)
                 p += struct.calcsize(order + entry)
                 if code := FIELD_CODES.get(kind):
-                    form = order + code * 1 if many == 1 else f"{order}{many * len(code)}{code[0]}"
-                    long = struct.calcsize(form)
+                    long = many * struct.calcsize(order + code)
                     where = p if long <= size else struct.unpack_from(order + word, data, p)[0]
-                    tags[tag] = struct.unpack_from(form, data, where)
+                    if where + long > len(data):
+                        raise TiffError(f"the values of tag {tag} are out of bounds")
+                    tags[tag] = struct.unpack_from(f"{order}{many * len(code)}{code[0]}", data, where)
                 p += size
             yield tags
             at = struct.unpack_from(order + word, data, p)[0]
@@ -286,36 +304,52 @@ def walk_directories(data: bytes) -> Iterator[dict[int, tuple]]:
         raise TiffError(f"directory out of bounds: {e}") from e
 
 
+#: Bytes of a page's samples, at most: those of a binary value of a row.
+MOST_BYTES = (1 << 31) - 1
+
+
+def _whole(tags: dict, tag: int, default: int | None = None, least: int = 1) -> int:
+    """The first value of a tag, a whole number of ``least`` or more."""
+    value = tags[tag][0] if tags.get(tag) else default
+    if not isinstance(value, int) or value < least:
+        raise TiffError(f"tag {tag} is missing or no whole number of {least} or more")
+    return value
+
+
 def decode_page(data: bytes, tags: dict) -> np.ndarray:
     """The samples of one directory, shape (height, width, samples)."""
-    one = lambda tag, default=None: tags[tag][0] if tag in tags else default
-    width, height, samples = one(WIDTH), one(LENGTH), one(SAMPLES, 1)
-    if not width or not height:
-        raise TiffError("no image size")
+    width, height, samples = _whole(tags, WIDTH), _whole(tags, LENGTH), _whole(tags, SAMPLES, 1)
     bits = set(tags.get(BITS, (1,)))
     if bits not in ({8}, {16}):
         raise TiffError(f"bits per sample {sorted(bits)} are not supported")
     kind = np.dtype("u1" if bits == {8} else tags["order"] + "u2")
-    how, predictor, planar = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
-    if predictor not in (1, 2):
+    how, predictor, planar = _whole(tags, COMPRESSION, NONE), _whole(tags, PREDICTOR, 1), _whole(tags, PLANAR, 1)
+    if predictor > 2:
         raise TiffError(f"predictor {predictor} is not supported")
-    if TILE_OFFSETS in tags:
-        step, offsets, counts = (one(TILE_LENGTH), one(TILE_WIDTH)), tags[TILE_OFFSETS], tags[TILE_COUNTS]
-    elif STRIP_OFFSETS in tags and STRIP_COUNTS in tags:
-        step, offsets, counts = (min(one(ROWS_PER_STRIP, height), height), width), tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+    if how not in EXPANSION:
+        raise TiffError(f"compression {how} is not supported")
+    tiled = TILE_OFFSETS in tags
+    if tiled:
+        step = _whole(tags, TILE_LENGTH), _whole(tags, TILE_WIDTH)
+        offsets, counts = tags[TILE_OFFSETS], tags.get(TILE_COUNTS, ())
     else:
-        raise TiffError("neither strips nor tiles")
-    if not step[0] or not step[1]:
-        raise TiffError("empty strips or tiles")
+        step = min(_whole(tags, ROWS_PER_STRIP, height), height), width
+        offsets, counts = tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_COUNTS, ())
     planes, depth = (samples, 1) if planar == 2 else (1, samples)
-    out = np.empty((height, width, samples), kind.newbyteorder("="))
-    where = [(c, y, x) for c in range(planes) for y in range(0, height, step[0]) for x in range(0, width, step[1])]
-    if len(where) > len(offsets):
+    parts = planes * -(-height // step[0]) * -(-width // step[1])
+    if parts > min(len(offsets), len(counts)):
         raise TiffError("strips or tiles are missing")
+    if not all(isinstance(v, int) and v >= 0 for v in (*offsets[:parts], *counts[:parts])):
+        raise TiffError("places of strips or tiles are no whole numbers")
+    size, of_tile = height * width * samples * kind.itemsize, step[0] * step[1] * depth * kind.itemsize
+    if max(size, of_tile) > MOST_BYTES or size > EXPANSION[how] * sum(min(n, len(data)) for n in counts[:parts]):
+        raise TiffError(f"a page of {size} bytes is larger than its data or a row can be")
+    out = np.empty((height, width, samples), kind.newbyteorder("="))
+    where = ((c, y, x) for c in range(planes) for y in range(0, height, step[0]) for x in range(0, width, step[1]))
     for (c, y, x), at, n in zip(where, offsets, counts, strict=False):
-        rows = step[0] if TILE_OFFSETS in tags else min(step[0], height - y)
+        rows = step[0] if tiled else min(step[0], height - y)
         need = rows * step[1] * depth * kind.itemsize
-        raw = expand(data[at : at + n], how)
+        raw = expand(data[at : at + n], how, need)
         if len(raw) < need:
             raise TiffError(f"a strip or tile has {len(raw)} of {need} bytes")
         cut = np.frombuffer(raw[:need], kind).reshape(rows, step[1], depth)
@@ -339,77 +373,138 @@ def average_hash(page: np.ndarray) -> int:
 
 # ------------------------------------------------------------------ operators
 
-PAGE = "struct<page_no:int,width:int,height:int,samples_per_pixel:int,bits:int,compression:int,predictor:int,tiled:boolean,sample_sum:bigint,sample_squares:bigint,grid_hash:string,samples:binary>"
+PAGE = "page_no int, width int, height int, samples_per_pixel int, bits int, compression int, predictor int, tiled boolean, sample_sum bigint, sample_squares bigint, grid_hash string, samples binary, error string"
+PAGE_FIELDS = [f.split()[0] for f in PAGE.split(", ")]
 
 
-def read_pages(data: bytes | None) -> tuple[list[dict], str | None]:
-    """All pages of one file, and the error that ended the walk."""
-    pages: list[dict] = []
-    if data is None:
-        return pages, None
+def read_pages(data: bytes | None) -> Iterator[dict]:
+    """The pages of one file, one after the other; a last one with ``error`` where the walk ended early."""
+    n = 0
     try:
-        for n, tags in enumerate(walk_directories(data)):
+        for tags in walk_directories(data) if data is not None else ():
             page = decode_page(data, tags)
             wide = page.astype(np.int64)
-            pages.append({
+            yield {
                 "page_no": n, "width": page.shape[1], "height": page.shape[0], "samples_per_pixel": page.shape[2], "bits": page.dtype.itemsize * 8,
                 "compression": tags.get(COMPRESSION, (NONE,))[0], "predictor": tags.get(PREDICTOR, (1,))[0], "tiled": TILE_OFFSETS in tags,
                 "sample_sum": int(wide.sum()), "sample_squares": int((wide * wide).sum()), "grid_hash": f"{average_hash(page):016x}", "samples": page.tobytes(),
-            })
+            }
+            n += 1
     except TiffError as e:
-        return pages, str(e)
-    return pages, None
+        yield {"page_no": n, "error": str(e)}
+    except Exception as e:  # noqa: BLE001 - whatever broken bytes do to the reader is this file's error
+        yield {"page_no": n, "error": f"{type(e).__name__}: {e}"}
+
 
+#: How a file is stored: compression, predictor, and tile (height, width) or None for strips.
+Layout = tuple[int, int, tuple[int, int] | None]
+PLAIN: tuple[Layout, ...] = ((DEFLATE, 2, None),)
+EVERY: tuple[Layout, ...] = tuple((how, predictor, tile) for how in (NONE, PACKBITS, LZW, DEFLATE, DEFLATE_OLD) for predictor in (1, 2) for tile in (None, (16, 32)))
 
-def store_tiff(df: DataFrame, payload: str, out: str = "media", width: int = 64, samples: int = 3, page_rows: int = 4096, compression: int = DEFLATE, predictor: int = 2) -> DataFrame:
+
+def store_tiff(df: DataFrame, payload: str, out: str = "media", width: int = 64, samples: int = 3, page_rows: int = 4096, layouts: tuple[Layout, ...] = PLAIN) -> DataFrame:
     """Replace the binary column ``payload`` by a TIFF of 8-bit samples in ``out``.
 
     A payload is padded with spaces to a positive multiple of one row (width *
     samples bytes) and cut into pages of at most page_rows rows. Null counts as
-    empty. Equal payloads give equal files."""
+    empty. Equal payloads give equal files: a checksum of the bytes chooses among
+    ``layouts``."""
     bound_batches(df.sparkSession)
     row = width * samples
-    kept = [f for f in df.schema.fields if f.name != payload]
+    kept = [f for f in df.schema.fields if f.name not in (payload, out)]
     schema = T.StructType([*kept, T.StructField(out, T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.schema.get_field_index(payload)
             files = []
-            for value in batch.column(k):
+            for value in batch.column(batch.num_columns - 1):
                 data = value.as_py() or b""
                 data += b" " * (row - len(data) if len(data) < row else -len(data) % row)
+                how, predictor, tile = layouts[zlib.crc32(data) % len(layouts)]
                 image = np.frombuffer(data, np.uint8).reshape(-1, width, samples)
-                files.append(encode_tiff([image[y : y + page_rows] for y in range(0, len(image), page_rows)], compression, predictor))
-            cols = [c for i, c in enumerate(batch.columns) if i != k] + [pa.array(files, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
+                files.append(encode_tiff([image[y : y + page_rows] for y in range(0, len(image), page_rows)], how, predictor, tile=tile))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(files, pa.binary())], names=schema.names)
 
-    return df.mapInArrow(lean(encode), schema)
+    return df.select(*(f.name for f in kept), F.col(payload).alias("__payload")).mapInArrow(lean(encode), schema)
 
 
-def tiff_read(df: DataFrame, media: str = "media", pages: str = "pages", error: str = "tiff_error") -> DataFrame:
-    """Add the decoded pages of ``media`` as an array, and what ended the walk."""
+def tiff_pages(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
+    """One row per page of each file, the pages of a file one behind the other: the columns
+    ``keep`` (all but media if None), then those of the page, and error."""
     bound_batches(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField(pages, T.ArrayType(T._parse_datatype_string(PAGE))), T.StructField(error, T.StringType())])
+    keep = [c for c in (df.columns if keep is None else keep) if c != media and c not in PAGE_FIELDS]
+    schema = T.StructType([*(df.schema[c] for c in keep), *T._parse_datatype_string(PAGE).fields])
+    arrow = pa.schema([("page_no", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples_per_pixel", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("sample_sum", pa.int64()), ("sample_squares", pa.int64()), ("grid_hash", pa.string()), ("samples", pa.binary()), ("error", pa.string())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kind = to_arrow_type(schema[pages].dataType)
         for batch in batches:
-            k = batch.schema.get_field_index(media)
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                got = [read_pages(v.as_py()) for v in part.column(k)]
-                cols = [*part.columns, pa.array([g[0] for g in got], kind), pa.array([g[1] for g in got], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
+            of, pages, held = [], [], 0
 
-    return df.mapInArrow(lean(decode), schema)
+            def made() -> pa.RecordBatch:
+                told = pa.RecordBatch.from_pylist(pages, schema=arrow)
+                return pa.RecordBatch.from_arrays([*(c.take(pa.array(of, pa.int32())) for c in batch.columns[:-1]), *told.columns], names=schema.names)  # noqa: B023
 
+            for k, value in enumerate(batch.column(batch.num_columns - 1)):
+                for page in read_pages(value.as_py()):
+                    of.append(k)
+                    pages.append(page)
+                    held += len(page.get("samples") or b"")
+                    if held >= OUT_BYTES or len(pages) >= OUT_ROWS:
+                        yield made()
+                        of, pages, held = [], [], 0
+            if pages:
+                yield made()
 
-def tiff_pages(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
-    """One row per page of each file: the columns ``keep`` (all but media if None),
-    then those of the page, in directory order by page_no."""
-    keep = [c for c in df.columns if c != media] if keep is None else keep
-    read = tiff_read(df.select(*keep, F.col(media).alias("__media")), "__media", "__pages", "__error")
-    return read.select(*keep, F.explode("__pages").alias("__page")).select(*keep, "__page.*")
+    return df.select(*keep, F.col(media).alias("__media")).mapInArrow(lean(decode), schema)
+
+
+DIGESTS = "n_pages int, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string, error string"
+
+
+def file_digests(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """One row for each file from the rows that tiff_pages gave, which have to be as they came:
+    ``keep``, then the number of pages, the length and SHA-256 of the samples of all pages in
+    their order, the CRC-32 of the last 16, a feature (pages, rows, sum and sum of squares of
+    samples, grid hash of each page) and the error. A file in hand is a few numbers."""
+    schema = T.StructType([*(pages.schema[c] for c in keep), *T._parse_datatype_string(DIGESTS).fields])
+    arrow = pa.schema([("n_pages", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string()), ("error", pa.string())])
+    columns = ("page_no", "height", "sample_sum", "sample_squares", "grid_hash", "samples", "error")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, first = None, None  # the file in hand, and its kept columns
+
+        def closed() -> dict:
+            hashes = ",".join(file["hashes"])
+            return {"n_pages": len(file["hashes"]), "payload_bytes": file["size"], "payload_sha256": file["sha"].hexdigest(), "tail_crc32": zlib.crc32(file["tail"]), "feature": f"{len(file['hashes'])}:{file['rows']}:{file['sum']}:{file['squares']}:{hashes}", "error": file["error"]}
+
+        def told(heads: list[pa.RecordBatch], rows: list[dict]) -> pa.RecordBatch:
+            kept = pa.Table.from_batches(heads).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([*kept.columns, *pa.RecordBatch.from_pylist(rows, schema=arrow).columns], names=schema.names)
+
+        for batch in batches:
+            head, done, heads = batch.select(keep), [], []
+            for k, row in enumerate(zip(*(batch.column(c) for c in columns), strict=True)):
+                page_no, height, total, squares, grid, samples, error = (v.as_py() for v in row)
+                if page_no == 0:
+                    if file is not None:
+                        done.append(closed())
+                        heads.append(first)
+                    file, first = {"sha": hashlib.sha256(), "size": 0, "tail": b"", "rows": 0, "sum": 0, "squares": 0, "hashes": [], "error": None}, head.slice(k, 1)
+                if error is not None:
+                    file["error"] = error
+                    continue
+                file["sha"].update(samples)
+                file["size"] += len(samples)
+                file["tail"] = (file["tail"] + samples[-16:])[-16:]
+                file["rows"] += height
+                file["sum"] += total
+                file["squares"] += squares
+                file["hashes"].append(grid)
+            if done:
+                yield told(heads, done)
+            if first is not None:  # a copy, so that the batch can go
+                first = pa.RecordBatch.from_pylist(first.to_pylist(), schema=first.schema)
+        if file is not None:
+            yield told([first], [closed()])
+
+    return pages.select(*keep, *columns).mapInArrow(lean(fold), schema)

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as e
 import corpus_pipeline
-from foliant.llm import crf, langid, op9, op10, order_minhash
+from foliant.llm import crf, langid, op9, op10, order_minhash, tiff
 from foliant.llm.queries import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -56,13 +56,37 @@ def test_sql(spark, duck, name):
     assert sorted(map(repr, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(repr, want.select(*cols).fetchall()))
 
 
+def plain_feature(payload):
+    """Pages, rows, sum and squares of samples, and each page's 8 x 8 grid, cell by cell."""
+    rows = [payload[i : i + 192] for i in range(0, len(payload), 192)]
+    hashes = []
+    for top in range(0, len(rows), 4096):
+        page = rows[top : top + 4096]
+        n, mean, bits = len(page), sum(map(sum, page)) / (len(page) * 64), ""
+        for i in range(8):
+            for j in range(8):
+                cell = [page[y][3 * x : 3 * x + 3] for y in range(i * n // 8, (i + 1) * n // 8) for x in range(j * 8, j * 8 + 8)]
+                bits += "01"[bool(cell) and sum(map(sum, cell)) / len(cell) > mean]
+        hashes.append(f"{int(bits, 2):016x}")
+    return f"{len(hashes)}:{len(rows)}:{sum(payload)}:{sum(b * b for b in payload)}:{','.join(hashes)}"
+
+
 def test_op1(spark, docs):
     rows = QUERIES["op1_tiff"](spark, DIR).collect()
     assert len(rows) == len(docs)
+    same, layouts = {}, set()
+    stored = tiff.store_tiff(spark.createDataFrame([(k, bytearray((t or "").encode())) for k, t in docs.items()], "doc_id long, payload binary"), "payload", layouts=tiff.EVERY)
+    media = {r.doc_id: bytes(r.media) for r in stored.collect()}
     for r in rows:
         raw = (docs[r.doc_id] or "").encode()
         payload = raw + b" " * (192 - len(raw) if len(raw) < 192 else -len(raw) % 192)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])) and r.tiff_error is None
+        assert r.feature == plain_feature(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(media[r.doc_id]), hashlib.sha256(media[r.doc_id]).hexdigest())
+        assert same.setdefault(raw, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+        (tags, *_) = tiff.walk_directories(media[r.doc_id])
+        layouts.add((tags[tiff.COMPRESSION][0], tags[tiff.PREDICTOR][0], tiff.TILE_OFFSETS in tags))
+    assert len(layouts) >= 18  # of 20
 
 
 def test_op4(spark, docs, library):

@@ -6,6 +6,7 @@ import hashlib
 import io
 import json
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -48,38 +49,103 @@ def test_lzw_and_packbits_at_code_width_changes():
     rng = np.random.default_rng(0)
     for n in (0, 1, 254, 255, 256, 257, 511, 512, 5000, 70000):
         for data in (rng.integers(0, 256, n, dtype=np.uint8).tobytes(), bytes(n)):
-            assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
-            assert tiff.packbits_decode(tiff.packbits_encode(data)) == data
+            assert tiff.lzw_decode(tiff.lzw_encode(data), n + 1) == data
+            assert tiff.packbits_decode(tiff.packbits_encode(data), n + 1) == data
+
+
+def read_all(data):
+    pages = list(tiff.read_pages(data))
+    return [p for p in pages if "error" not in p], next((p["error"] for p in pages if "error" in p), None)
+
+
+def directory(data, change):
+    """The file with one directory whose tags are changed by ``change``: tag -> (type, values) or None."""
+    (tags,) = tiff.walk_directories(data)
+    shifted = {t: tuple(x + 8 for x in v) if t in (tiff.STRIP_OFFSETS, tiff.TILE_OFFSETS) else v for t, v in tags.items() if t != "order"}
+    fields = {t: (4, v) for t, v in shifted.items()} | change  # the old file is moved by a header and holds the strips
+    fields = sorted((t, *f) for t, f in fields.items() if f is not None)
+    body, extra, at = b"", b"", 8 + len(data) + 2 + 12 * len(fields) + 4
+    for tag, kind, values in fields:
+        raw = struct.pack("<" + tiff.FIELD_CODES[kind] * len(values), *(x for v in values for x in (v if isinstance(v, tuple) else (v,))))
+        body += struct.pack("<HHI", tag, kind, len(values)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", at + len(extra)))
+        extra += raw if len(raw) > 4 else b""
+    return b"II*\0" + struct.pack("<I", 8 + len(data)) + data + struct.pack("<H", len(fields)) + body + b"\0\0\0\0" + extra
 
 
 def test_tiff_broken_files():
     good = tiff.encode_tiff([np.zeros((2, 2, 1), np.uint8)])
     for data in (b"", b"II*\0", b"nonsense" * 4, good[:-6], good.replace(good[8:12], b"\xff\xff\xff\xff")):
-        pages, error = tiff.read_pages(data)
-        assert error
-    assert tiff.read_pages(None) == ([], None)
+        assert read_all(data)[1]
+    assert read_all(None) == ([], None)
     loop = bytearray(good)
     at = int.from_bytes(good[4:8], "little")
     loop[-4:] = at.to_bytes(4, "little")
-    assert len(tiff.read_pages(bytes(loop))[0]) == 1
+    assert len(read_all(bytes(loop))[0]) == 1
+
+
+def test_tiff_directories_that_lie():
+    image = np.arange(4 * 40 * 3, dtype=np.uint8).reshape(4, 40, 3)
+    strips, tiles = tiff.encode_tiff([image]), tiff.encode_tiff([image], tile=(16, 16))
+    for base in (strips, tiles):
+        (page,), error = read_all(directory(base, {}))
+        assert error is None and page["samples"] == image.tobytes()
+    top = (1 << 32) - 1
+    lies = [(strips, c) for c in (
+        {tiff.WIDTH: (4, (top,)), tiff.LENGTH: (4, (top,))}, {tiff.LENGTH: (4, (top,)), tiff.ROWS_PER_STRIP: (4, (1,))}, {tiff.SAMPLES: (4, (0,))}, {tiff.SAMPLES: (4, (top,))}, {tiff.WIDTH: None},
+        {tiff.WIDTH: (11, (40.0,))}, {tiff.WIDTH: (5, ((40, 1),)), tiff.LENGTH: None}, {tiff.BITS: (4, (4, 4, 4))}, {tiff.COMPRESSION: (4, (7,))}, {tiff.PREDICTOR: (4, (3,))}, {tiff.STRIP_COUNTS: None}, {tiff.STRIP_OFFSETS: None},
+        {tiff.STRIP_COUNTS: (4, (5,))}, {tiff.STRIP_OFFSETS: (4, (top - 8,))}, {tiff.ROWS_PER_STRIP: (4, (0,))}, {tiff.STRIP_COUNTS: (11, (5.5,))}, {tiff.LENGTH: (4, (100_000,))}, {tiff.COMPRESSION: (4, (tiff.LZW,))},
+    )] + [(tiles, c) for c in ({tiff.TILE_COUNTS: None}, {tiff.TILE_WIDTH: None}, {tiff.TILE_WIDTH: (4, (0,))}, {tiff.TILE_LENGTH: (4, (top,)), tiff.TILE_WIDTH: (4, (top,))}, {tiff.TILE_OFFSETS: (4, (8,))})]
+    for base, change in lies:
+        pages, error = read_all(directory(base, change))
+        assert error and not pages, change
+    rng = random.Random(3)
+    for base in (strips, tiles, tiff.encode_tiff([image, image], tiff.LZW), tiff.encode_tiff([image, image], tiff.PACKBITS)):
+        for _ in range(400):
+            data = bytearray(base)
+            for _ in range(rng.randint(1, 6)):
+                data[rng.randrange(len(data))] = rng.choice((0, 1, 255, rng.randrange(256)))
+            read_all(bytes(data[: rng.choice((len(data), rng.randrange(len(data))))]))  # ends, whatever it gives
+    bomb = zlib.compress(bytes(50_000_000))
+    assert len(tiff.expand(bomb, tiff.DEFLATE, 1000)) == 1000
 
 
 def test_tiff_operator(spark):
     texts = ["", None, "a" * 500_000, "é", "é"]
-    df = documents(spark, texts).select("doc_id", F.col("text").cast("binary").alias("payload"), F.lit("x").alias("samples"))
-    stored = tiff.store_tiff(df, "payload", page_rows=1000)
-    assert stored.columns == ["doc_id", "samples", "media"]
-    pages = defaultdict(list)
-    for r in tiff.tiff_pages(stored, keep=["doc_id"]).collect():
-        pages[r.doc_id].append((r.page_no, bytes(r.samples)))
-    for k, t in enumerate(texts):
-        raw = (t or "").encode()
-        raw += b" " * (192 - len(raw) if len(raw) < 192 else -len(raw) % 192)
-        assert b"".join(s for _, s in sorted(pages[k])) == raw
-    assert len(pages[2]) == 3 and pages[3] == pages[4]
+    df = documents(spark, texts).select("doc_id", F.col("text").cast("binary").alias("payload"), F.lit("x").alias("samples"), F.lit("y").alias("media"))
+    for layout in tiff.EVERY:
+        stored = tiff.store_tiff(df, "payload", page_rows=1000, layouts=(layout,))
+        assert stored.columns == ["doc_id", "samples", "media"]
+        pages, kinds = defaultdict(list), set()
+        rows = tiff.tiff_pages(stored)
+        assert rows.columns == ["doc_id", *tiff.PAGE_FIELDS]
+        for r in rows.collect():
+            pages[r.doc_id].append((r.page_no, bytes(r.samples)))
+            kinds.add((r.compression, r.predictor, r.tiled))
+        assert kinds == {(layout[0], layout[1], layout[2] is not None)}
+        for k, t in enumerate(texts):
+            raw = (t or "").encode()
+            raw += b" " * (192 - len(raw) if len(raw) < 192 else -len(raw) % 192)
+            assert b"".join(s for _, s in sorted(pages[k])) == raw
+        assert len(pages[2]) == 3 and pages[3] == pages[4]
     assert tiff.tiff_pages(stored.limit(0)).count() == 0
 
 
+def test_tiff_digests_of_files_whose_pages_span_batches(spark, monkeypatch):
+    monkeypatch.setattr(tiff, "OUT_ROWS", 2)
+    rng = np.random.default_rng(5)
+    bodies = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 5000, 192 * 70, 192 * 10, 192 * 10 + 1, 30_000)]
+    media = [tiff.encode_tiff([np.frombuffer(b.ljust(192 * max(1, -(-len(b) // 192))), np.uint8).reshape(-1, 64, 3)[y : y + 10] for y in range(0, max(1, -(-len(b) // 192)), 10)]) for b in bodies]
+    rows = [(k, bytearray(m)) for k, m in enumerate([*media, media[2], b"broken", media[5][:-20]])] + [(99, None)]
+    df = spark.createDataFrame(rows, "doc_id long, media binary").coalesce(2)
+    got = {r.doc_id: r for r in tiff.file_digests(tiff.tiff_pages(df), ["doc_id"]).collect()}
+    assert sorted(got) == list(range(9))
+    for k, b in enumerate([*bodies, bodies[2]]):
+        whole = b.ljust(192 * max(1, -(-len(b) // 192)))
+        assert (got[k].payload_bytes, got[k].payload_sha256, got[k].tail_crc32, got[k].error) == (len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]), None)
+        assert got[k].n_pages == -(-len(whole) // 1920)
+    assert got[7].error and got[7].n_pages == 0 and got[8].error
+
+
 # ------------------------------------------------------------------------ chat
 
 def test_chat_is_reversible(spark):
