@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as e
 import corpus_pipeline
-from foliant.llm import crf, langid, op9, op10, order_minhash, tiff
+from foliant.llm import crf, langid, mixing, op9, op10, order_minhash, tiff
 from foliant.llm.queries import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -127,11 +127,31 @@ def test_op7(spark, docs, library):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-def test_op8(spark, docs):
-    rows = QUERIES["op8_mix"](spark, DIR).collect()
-    assert all(r.size == len(re.findall(r"[^\x20\x09-\x0D]+", docs[r.doc_id] or "")) and r.taken <= 3 * r.size for r in rows)
-    assert sum({(r.source_size, r.target): r.target for r in rows}.values()) == pytest.approx(sum(r.size for r in rows))
-    assert sorted(map(tuple, QUERIES["op8_mix"](spark, DIR).collect())) == sorted(map(tuple, rows))
+def test_op8(spark, docs, duck):
+    """Sizes, targets and quotas from the definition, in plain Python."""
+    source = dict(duck.sql("SELECT doc_id, source FROM documents").fetchall())
+    rows = {r.doc_id: r for r in QUERIES["op8_mix"](spark, DIR).collect()}
+    size = {k: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in docs.items()}
+    assert {k: r.size for k, r in rows.items()} == size
+    names = sorted({s for s in source.values() if s is not None}) + [None] * (None in source.values())
+    of = {s: sum(size[k] for k in docs if source[k] == s) for s in names}
+    weight, left, target = {s: 1 + k % 3 for k, s in enumerate(names)}, float(sum(of.values())), {}
+    while open_ := [s for s in names if s not in target]:
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        full = [s for s in open_ if share[s] > 3 * of[s]]
+        target |= {s: 3.0 * of[s] for s in full} if full else share
+        left -= sum(3.0 * of[s] for s in full)
+    block = {r[0]: r[1] for r in spark.createDataFrame([(k,) for k in docs], "doc_id long").select("doc_id", F.pmod(F.xxhash64(F.struct("doc_id"), F.lit(17)), F.lit(1024))).collect()}
+    for code, s in enumerate(names):
+        mine = [k for k in docs if source[k] == s]
+        assert all((rows[k].source_size, rows[k].target) == (of[s], pytest.approx(target[s])) and rows[k].taken <= 3 * size[k] for k in mine)
+        by_block = Counter()
+        for k in mine:
+            by_block[block[k]] += size[k]
+        order = [b for turn in range(3) for b in mixing.block_order(code, sorted(by_block), 17, turn)]
+        sums = np.cumsum([0] + [by_block[b] for b in order])
+        assert abs(sum(rows[k].taken for k in mine) - target[s]) == pytest.approx(np.abs(sums - target[s]).min())
+    assert sorted(map(tuple, QUERIES["op8_mix"](spark, DIR).collect())) == sorted(map(tuple, rows.values()))
 
 
 def test_op9_and_op10(spark, duck):

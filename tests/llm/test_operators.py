@@ -5,6 +5,7 @@ tables, clashing column names."""
 import hashlib
 import io
 import json
+import math
 import random
 import struct
 import zlib
@@ -535,14 +536,53 @@ def test_targets():
     assert mixing.targets([100, 100, 100], [1, 2, 3]) == pytest.approx([50, 100, 150])
     got = mixing.targets([10, 1000, 1000], [3, 1, 1])
     assert got[0] == 30 and sum(got) == pytest.approx(2010)
-    assert mixing.targets([0, 5], [1, 2]) == [0, 5.0] and mixing.targets([], []) == []
+    assert list(mixing.targets([0, 5], [1, 2])) == [0, 5.0] and len(mixing.targets([], [])) == 0
+
+
+def test_quotas_against_brute_force():
+    rng = random.Random(8)
+    for k in range(60):
+        sizes = {b: rng.randrange(50) for b in rng.sample(range(1024), rng.randint(1, 12))}
+        goal = rng.random() * 3 * sum(sizes.values())
+        order = [b for turn in range(3) for b in mixing.block_order(k, sorted(sizes), 17, turn)]
+        off = [abs(sum(sizes[b] for b in order[:n]) - goal) for n in range(len(order) + 1)]
+        assert off[mixing.quota(k, sizes, goal, 17)] == pytest.approx(min(off))
+        n = rng.randrange(len(order) + 1)
+        cuts = sorted(rng.randrange(n + 1) for _ in range(3))
+        counts = [j - i for i, j in zip([0, *cuts], [*cuts, n], strict=True)]
+        want = defaultdict(list)
+        for b, shard in zip(order, [s for s, c in enumerate(counts) for _ in range(c)], strict=False):
+            want[b].append(shard)
+        assert mixing.dealt(k, sorted(sizes), counts, 17) == want
+
+
+def test_splitting_tree_has_the_law_of_a_shuffle():
+    """Counts of each shard, over many seeds, against the multivariate hypergeometric law."""
+    quotas, shards, n = np.array([5, 0, 3, 4]), 4, 4000
+    seen = [Counter() for _ in range(shards)]
+    for seed in range(n):
+        counts = mixing.split_quotas(quotas, shards, seed)
+        assert (counts.sum(axis=0) == quotas).all() and (counts.sum(axis=1) == 3).all()
+        for shard in range(shards):
+            seen[shard][tuple(counts[shard].tolist())] += 1
+    for counter in seen:
+        stat, cells = 0.0, 0
+        for a in range(4):
+            for b in range(4 - a):
+                p = math.comb(5, a) * math.comb(3, b) * math.comb(4, 3 - a - b) / math.comb(12, 3)
+                stat += (counter[a, 0, b, 3 - a - b] - n * p) ** 2 / (n * p)
+                cells += 1
+        assert stat < 30 and cells == 10  # 9 degrees of freedom: beyond 30 once in 2000
+    uneven = sum(mixing.split_quotas(np.array([7, 4]), 3, seed).sum(axis=1) for seed in range(600)) / 600
+    assert np.allclose(uneven, 11 / 3, atol=0.1)
 
 
 def test_mix(spark):
     rng = random.Random(5)
     rows = [(k, f"s{k % 5}" if k % 11 else None, text_of(rng, rng.randrange(60))) for k in range(2000)] + [(5000, "s1", None), (5001, "s9", "")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, text string, shard int")
+    df = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "doc_id long, source string, text string, shard int, size string, draws string")
     drawn = mixing.mix_draws(df, key=F.struct("doc_id"), shards=7)
+    assert drawn.columns == ["doc_id", "source", "text", "shard", "size", "source_size", "target", "draws"]
     got = drawn.collect()
     assert len(got) == len(rows) and all(len(r.draws) <= 3 for r in got)
     taken, target = Counter(), {}
@@ -553,13 +593,34 @@ def test_mix(spark):
     for s, t in target.items():
         assert abs(taken[s] - t) <= max(60, 0.02 * t)
     assert sorted(map(repr, mixing.mix_draws(df, key=F.struct("doc_id"), shards=7).collect())) == sorted(map(repr, got))
-    out = mixing.mixed(drawn.drop("shard"), ["doc_id", "text"]).collect()
+    out = mixing.mixed(drawn, ["doc_id", "text", "shard"]).collect()
     assert Counter(r.doc_id for r in out) == Counter({r.doc_id: len(r.draws) for r in got if r.draws})
     sizes = Counter(r.shard for r in out)
     assert len(sizes) == 7 and max(sizes.values()) < 2 * min(sizes.values())
     assert mixing.mix_draws(df.limit(0)).count() == 0
 
 
+def test_mix_is_counted_back_from_its_rows(spark):
+    rng = random.Random(6)
+    rows = [(k // 2, f"s{k % 40 // 2 % 3}", text_of(rng, 9)) for k in range(400)] + [(7, "s1", "same text")] * 3 + [(None, None, None), (None, None, "a b"), (8, "only", "")]
+    drawn = mixing.mix_draws(spark.createDataFrame(rows, "doc_id long, source string, text string"), key=F.struct("doc_id"))
+    drawn = drawn.withColumn("text_hash", F.xxhash64("text")).cache()
+    by = ["doc_id", "text_hash", "size", "source_size", "target"]
+    mix = mixing.mixed(drawn, by)
+    got = Counter((r.doc_id, r.text_hash, r.taken, r.shards) for r in mixing.counted_back(drawn, mix, by).collect())
+    bits = lambda r: sum({1 << d.shard for d in r.draws})
+    assert got == Counter((r.doc_id, r.text_hash, r.size * len(r.draws), bits(r)) for r in drawn.collect()) and sum(got.values()) == len(rows)
+    # rows that are missing from the mix are missing from the count
+    some = mix.where("shard < 4")
+    assert sum(r.taken * n for r, n in Counter(mixing.counted_back(drawn, some, by).collect()).items()) == some.agg(F.sum("size")).first()[0]
+
+
+def test_mix_of_many_sources(spark):
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("source "), F.col("id") % 12_000).alias("source"), F.lit("a b c").alias("text"))
+    got = mixing.mix_draws(df, key=F.struct("doc_id")).agg(F.count("*").alias("n"), F.count_distinct("source").alias("s"), F.sum(F.size("draws") * F.col("size")).alias("t")).first()
+    assert (got.n, got.s) == (30_000, 12_000) and abs(got.t - 90_000) < 9000
+
+
 # --------------------------------------------------------------------- models
 
 def test_language_model(spark):
