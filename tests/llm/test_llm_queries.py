@@ -5,6 +5,7 @@ import glob
 import hashlib
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -18,9 +19,11 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as e
 import corpus_pipeline
-from foliant.llm import crf, langid, mixing, op9, op10, order_minhash, tiff
+from foliant.llm import crf, langid, mixing, op6, op9, op10, order_minhash, pseudonyms, tiff
 from foliant.llm.queries import ORACLE_SQL, QUERIES
 
+from plain_pseudonyms import Plain, luhn
+
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
@@ -113,11 +116,36 @@ def test_op5(spark, docs):
 
 
 def test_op6(spark, docs):
+    """Whole texts against plain Python; nothing that was there in clear is left."""
+    plain, changed = Plain(op6.KEY), 0
     for r in QUERIES["op6_pseudonyms"](spark, DIR).collect():
+        assert r.text == plain.text(docs[r.doc_id])
+        changed += r.text != docs[r.doc_id]
         for m in re.findall(r"\+1 \(\d{3}\) 555-\d{4}|(?<!\d)4\d{15}(?!\d)|[\w.]+@mail\d\.example\.com", docs[r.doc_id] or ""):
             assert m not in r.text
-        if not any(c in (docs[r.doc_id] or "") for c in "0123456789@"):
-            assert r.text == docs[r.doc_id]
+    assert changed > 10
+
+
+def test_pseudonyms_of_made_up_texts_against_plain_python(spark):
+    rng, plain = random.Random(4), Plain("k")
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(groups):
+        body = d(sum(groups) - 1)
+        body += next(c for c in "0123456789" if not luhn(body + c))
+        return rng.choice(" -").join(body[sum(groups[:i]) : sum(groups[: i + 1])] for i in range(len(groups)))
+
+    kinds = [
+        lambda: card(rng.choice(([16], [13], [19], [4] * 4, [4, 6, 5], [3] * 5, [4, 4, 4, 4, 3]))), lambda: d(rng.randint(1, 22)), lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"+1 {d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}",
+        lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: ".".join(str(rng.randrange(300)) for _ in range(4)), lambda: f"{rng.randint(1890, 2110)}-{rng.randint(0, 13):02d}-{rng.randint(0, 32):02d}", lambda: f"{rng.randint(0, 32):02d}/{rng.randint(0, 13):02d}/{rng.randint(1900, 2099)}",
+        lambda: f"{rng.randint(0, 32):02d}.{rng.randint(0, 13):02d}.{rng.randint(1900, 2099)}", lambda: "".join(rng.choice("aB9._-") for _ in range(rng.randint(1, 9))) + "@" + rng.choice(("a.io", "x-y.example.com", "b", "c.d1")), lambda: rng.choice(("word", "é", "\n", "/", "12/25", "٣", "")),
+    ]
+    texts = [rng.choice((" ", ", ", "", "-")).join(rng.choice(kinds)() for _ in range(rng.randint(1, 8))) for _ in range(1500)]
+    p = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k")
+    got = {r.doc_id: r.text for r in p.collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == plain.text(t), t
+    assert sum(got[k] != t for k, t in enumerate(texts)) > 700
 
 
 def test_op7(spark, docs, library):

@@ -7,6 +7,7 @@ import io
 import json
 import math
 import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -512,6 +513,24 @@ def test_pseudonyms_restore_and_link(spark):
     assert pseudonyms.pseudonymise(df.limit(0), "key").count() == 0
 
 
+def test_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 12/25", f"{card.replace(' ', '')} 123", f"item 7 {card.replace(' ', '')}", f"{card} 123", "3782 822463 10005 99", card.replace(" ", "-"), "4111 1111 1111 1112 12"]
+    p = pseudonyms.pseudonymise(documents(spark, texts), "key", count="n")
+    out = {r.doc_id: r for r in p.collect()}
+    assert [r.n["card"] for _, r in sorted(out.items())] == [1, 1, 1, 1, 1, 1, 0] and out[6].text == texts[6]
+    digits = [re.sub("[^0-9]", "", out[k].text) for k in range(6)]
+    assert len({d[:16] for d in (digits[0], digits[1], digits[3], digits[5])} | {digits[2][1:]}) == 1
+    assert out[0].text.endswith(" 12/25") and out[1].text.endswith(" 123") and out[2].text.startswith("item 7 4") and out[4].text.endswith(" 99") and all(out[k].text != texts[k] for k in range(6))
+    assert [r.text for r in pseudonyms.pseudonymise(p.drop("n"), "key", reverse=True).orderBy("doc_id").collect()] == texts
+
+
+def test_the_key_is_in_no_plan(spark):
+    p = pseudonyms.pseudonymise(documents(spark, ["10.0.0.1"]), "very-secret-key")
+    assert p.collect()[0].text != "10.0.0.1"
+    assert "very-secret" not in p._jdf.queryExecution().toString() and "EvalPython" not in p._jdf.queryExecution().toString()
+
+
 def test_permutation_against_python(spark):
     """The rounds in plain Python; and a whole range is permuted."""
 
