@@ -4,10 +4,16 @@ Each stage takes the documents that its predecessor kept and returns documents w
 the same columns, the last one their token ids. Decisions take effect: documents
 that the quality classifier rejects go, one document of each group of near copies
 stays, personal data is replaced, and the mix repeats or leaves out documents.
+
+Defined cases: null texts count as empty (quality, mix, ids) and stay null until then;
+rows with the same id and text are one document, which stays or goes whole; null ids,
+sources and languages are kept; an empty table gives no rows; columns that documents do
+not have are not read.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -18,12 +24,13 @@ from foliant.llm.bpe import encode_bpe
 from foliant.llm.common import materialise, table
 from foliant.llm.crf import score_quality
 from foliant.llm.mixing import mix_draws, mixed
-from foliant.llm.op6 import KEY
 from foliant.llm.op7 import VOCABULARY, digests
 from foliant.llm.op10 import LEVEL, quality_model
 from foliant.llm.order_minhash import near_texts
 from foliant.llm.pseudonyms import pseudonymise
 
+#: Setting with the secret that pseudonyms come from; Spark hides settings of such names.
+SECRET = "spark.foliant.pseudonyms.secret"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -40,8 +47,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal data in their texts."""
-    return pseudonymise(docs.select(*COLUMNS), KEY).withColumn("n_chars", F.length("text").cast("bigint"))
+    """All documents, with pseudonyms for personal data in their texts, under the secret of the
+    session (SECRET); where there is none, under a new one that nobody keeps."""
+    key = spark.conf.get(SECRET, None) or secrets.token_hex(32)
+    return pseudonymise(docs.select(*COLUMNS), key).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
