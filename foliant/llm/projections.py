@@ -30,11 +30,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, lean, materialise
+from ..functions.columns import arrow_type
+from .common import Shelf, bound_batches, join_facts, lean
 from .graph import LocalUnion, components
 
 BLOCK = 2048
@@ -69,7 +69,8 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     bound_batches(spark)
     base = df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(group).alias("grp"), F.col(vector).cast("array<double>").alias("v"))
     ok = F.col("grp").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False)) & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = materialise(base.select(F.monotonically_increasing_id().alias("row"), "vec_id", "grp", F.when(ok, F.col("v")).alias("v")), "vectors")
+    kept, shelf = Shelf(), Shelf()
+    rows = kept.put(base.select(F.monotonically_increasing_id().alias("row"), "vec_id", "grp", F.when(ok, F.col("v")).alias("v")), "vectors")
     good = rows.where("v is not null")
     grp = rows.schema["grp"].dataType.simpleString()
 
@@ -94,26 +95,48 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), lo, np.int32)), g.take(take), pa.array(np.full(len(on), dim, np.int32)), pa.array(key), row.take(take), pa.array(raw, pa.binary())], names=["pass", "grp", "dim", "key", "row", "u"])
 
     number = F.udf(lambda n: passes_for(n, threshold, passes, window, missed), "int")
-    groups = good.select("row", "grp", "v", F.size("v").alias("dim"))
-    numbers = groups.groupBy("grp", "dim").agg(F.count(F.lit(1)).alias("n")).select("grp", "dim", number("n").alias("number"))
-    sized = groups.join(numbers, ["grp", "dim"]).select("row", "grp", "v", "number")
+    groups = good.select(F.struct("grp", F.size("v").alias("dim")).alias("group"), "row", "grp", "v")
+    numbers = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    numbers = shelf.put(numbers.select("group", number("n").alias("number"), "n"), "numbers")
+    sized = join_facts(groups, numbers, "group", "n").select("row", "grp", "v", "number")
     keyed = sized.mapInArrow(lean(keys), f"pass int, grp {grp}, dim int, key bigint, row bigint, u binary")
-    order = ["pass", "grp", "dim", "key", "row"]
-    names = ["part", "head", "a", "b", "u"]
-    edge_schema = "part int, head boolean, a bigint, b bigint, u binary"
+    found = components(_window_links(keyed, window, threshold, shelf))
+
+    members = found.select(F.col("node").alias("row"), "component").join(good.select("row", "vec_id", "v"), "row")
+    members = shelf.put(members, "members")
+    named = _count_links(members, threshold, shelf)
+    out = rows.select("row", "vec_id").join(kept.put(named, "named"), "row", "left")
+    shelf.clear()
+    comp = F.coalesce("least", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), comp.alias("component_id"), F.col("vec_id").eqNullSafe(comp).alias("kept"))
+
+
+ORDER = ["pass", "grp", "dim", "key", "row"]
+
+
+def _window_links(keyed: DataFrame, window: int, threshold: float, shelf: Shelf) -> DataFrame:
+    """(a, b) for vectors of one pass, group and length within a window of each other in the order,
+    whose cosine is at least the threshold, united within tasks.
+
+    Each task gives its first and last ``window`` vectors too. A window across the border of two
+    tasks, or of more where some have few vectors, lies within those, and they are as near to
+    each other among themselves as in the full order; so they are scanned again, in fewer
+    tasks, until one is left."""
+    given = keyed.schema["grp"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, union = TaskContext.get().partitionId(), LocalUnion()
-        tail_u, tail_row, tail_key = [], np.empty(0, np.int64), []
-        first: list[tuple[int, bytes]] = []
+        union, seen = LocalUnion(), 0
+        head: list[pa.RecordBatch] = []
+        tail: pa.RecordBatch | None = None
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 s = b.slice(lo, 2000)
-                kind = list(zip(*(s.column(k).to_pylist() for k in (0, 1, 2)), strict=True))
-                raw, row = s.column(5).to_pylist(), s.column(4).to_numpy()
-                if len(first) < window:
-                    first += list(zip(row.tolist(), raw, strict=True))[: window - len(first)]
-                raw, row, kind = tail_u + raw, np.concatenate((tail_row, row)), tail_key + kind
+                if seen < window:
+                    head.append(_copy(s.slice(0, window - seen)))
+                seen += s.num_rows
+                part = s if tail is None else pa.Table.from_batches([tail, s]).combine_chunks().to_batches()[0]
+                kind = list(zip(*(part.column(k).to_pylist() for k in (0, 1, 2)), strict=True))
+                raw, row = part.column(5).to_pylist(), part.column(4).to_numpy()
                 code = np.unique([repr(k) for k in kind], return_inverse=True)[1]
                 for c in np.unique(code):
                     at = np.flatnonzero(code == c)
@@ -122,43 +145,38 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
                         hit = np.flatnonzero(np.einsum("ij,ij->i", u[d:], u[:-d]) >= threshold)
                         for x, y in zip(row[at[hit + d]].tolist(), row[at[hit]].tolist(), strict=True):
                             union.join(x, y)
-                tail_u, tail_row, tail_key = raw[-window:], row[-window:], kind[-window:]
-        ends = [(part, False, x, 0, u) for x, u in zip(tail_row.tolist(), tail_u, strict=True)] + [(part - 1, True, x, 0, u) for x, u in first]
-        out = [(None, None, x, r, None) for x, r in union.pairs()] + ends
-        for lo in range(0, len(out), 10_000):
-            cols = list(zip(*out[lo : lo + 10_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
-
-    scanned = materialise(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(scan), edge_schema), "window")
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The last vectors of one task against the first of the next."""
-        head, tail = pdf[pdf["head"]], pdf[~pdf["head"]]
-        out = []
-        for size in set(head["u"].map(len)) & set(tail["u"].map(len)):
-            h, t = head[head["u"].map(len) == size], tail[tail["u"].map(len) == size]
-            m = np.stack([np.frombuffer(x) for x in h["u"]]) @ np.stack([np.frombuffer(x) for x in t["u"]]).T
-            i, j = np.nonzero(m >= threshold)
-            out.append(pd.DataFrame({"a": h["a"].to_numpy()[i], "b": t["a"].to_numpy()[j]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
-
-    met = scanned.where("part is not null").groupBy("part").applyInPandas(meet, "a bigint, b bigint")
-    # the ends of tasks may belong to different groups: only pairs of one group are links
-    of = good.select(F.col("row"), F.col("grp"))
-    met = met.join(of.select(F.col("row").alias("a"), F.col("grp").alias("ga")), "a").join(of.select(F.col("row").alias("b"), F.col("grp").alias("gb")), "b").where("ga = gb").select("a", "b")
-    found = components(scanned.where("part is null").select("a", "b").unionByName(met))
-
-    members = materialise(found.select(F.col("node").alias("row"), "component").join(good.select("row", "v"), "row"), "members")
-    counts = _count_links(members, threshold)
-    least = members.select("component", "row").join(rows.select("row", "vec_id"), "row").groupBy("component").agg(F.min("vec_id").alias("least"))
-    named = members.select("row", "component").join(least, "component").join(counts, "row").select("row", "least", "n_links")
-    out = rows.select("row", "vec_id").join(named, "row", "left")
-    comp = F.coalesce("least", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), comp.alias("component_id"), F.col("vec_id").eqNullSafe(comp).alias("kept"))
-
-
-def _count_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(row, n_links) for members (row, component, v), links within components only."""
+                tail = _copy(part.slice(max(0, part.num_rows - window)))
+        pairs = union.pairs()
+        for lo in range(0, len(pairs), 10_000):
+            a, b = zip(*pairs[lo : lo + 10_000], strict=True)
+            none = [pa.nulls(len(a), f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *none], names=["a", "b", *keyed_names])
+        if tail is not None:  # without those that are among the first already
+            for end in (*head, tail.slice(max(0, tail.num_rows - max(0, seen - window)))):
+                yield pa.RecordBatch.from_arrays([pa.nulls(end.num_rows, pa.int64()), pa.nulls(end.num_rows, pa.int64()), *end.columns], names=["a", "b", *keyed_names])
+
+    keyed_names = keyed.columns
+    arrow = list(arrow_type(f"struct<pass:int,grp:{given},dim:int,key:bigint,row:bigint,u:binary>"))
+    schema = f"a bigint, b bigint, pass int, grp {given}, dim int, key bigint, row bigint, u binary"
+    dealt, tasks, links = keyed.repartitionByRange(*ORDER), int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), None
+    while True:
+        scanned = shelf.put(dealt.sortWithinPartitions(*ORDER).mapInArrow(lean(scan), schema), "window")
+        pairs = scanned.where("a is not null").select("a", "b")
+        links = pairs if links is None else links.unionByName(pairs)
+        if tasks == 1:
+            return links
+        tasks = -(-tasks // 256)
+        dealt = scanned.where("a is null").select(*keyed_names).repartitionByRange(tasks, *ORDER)
+
+
+def _copy(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows of a slice alone, without the batch that they are of."""
+    return b.take(pa.array(range(b.num_rows), pa.int32()))
+
+
+def _count_links(members: DataFrame, threshold: float, shelf: Shelf) -> DataFrame:
+    """(row, least, n_links) for members (row, vec_id, component, v): the smallest vec_id of the
+    component, and the links, which are within components only."""
     half = math.cos(math.acos(threshold) / 2 - 1e-7)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,17 +187,17 @@ def _count_links(members: DataFrame, threshold: float) -> DataFrame:
                 comp = b.column(0).to_numpy()[at]
                 order = np.argsort(comp, kind="stable")
                 u = _unit(_scaled(b.column(1).take(pa.array(at[order]))))
-                ids, start = np.unique(comp[order], return_index=True)
+                ids, start, many = np.unique(comp[order], return_index=True, return_counts=True)
                 sums = np.add.reduceat(u, start, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s.tobytes() for s in sums], pa.binary())], names=["component", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s.tobytes() for s in sums], pa.binary()), pa.array(many)], names=["component", "s", "n"])
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         s = np.sum([np.frombuffer(x) for x in pdf["s"]], axis=0)
-        return pd.DataFrame({"component": [pdf["component"].iloc[0]], "mean": [s.tolist()]})
+        return pd.DataFrame({"component": [pdf["component"].iloc[0]], "mean": [s.tolist()], "n": [pdf["n"].sum()]})
 
     # sums of each batch first, so that one row for each batch of a component at most is shuffled
-    sums = members.select("component", "v").mapInArrow(lean(partial), "component bigint, s binary")
-    mean = sums.groupBy("component").applyInPandas(total, "component bigint, mean array<double>")
+    sums = members.select("component", "v").mapInArrow(lean(partial), "component bigint, s binary, n bigint")
+    mean = shelf.put(sums.groupBy("component").applyInPandas(total, "component bigint, mean array<double>, n bigint"), "means")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,11 +212,12 @@ def _count_links(members: DataFrame, threshold: float) -> DataFrame:
                 inner.append(bool(n > 0 and m @ v / n >= half))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(inner)], names=["row", "component", "v", "inner"])
 
-    marked = members.select("row", "component", "v").join(mean, "component").select("row", "component", "v", "mean").mapInArrow(lean(mark), "row bigint, component bigint, v array<double>, inner boolean")
-    marked = materialise(marked, "marked")
-    sizes = marked.groupBy("component").agg(F.count_if("inner").alias("n_inner"), F.count_if(~F.col("inner")).alias("n_outer"))
-    sizes = sizes.withColumn("rows_of", F.ceil((F.col("n_inner") + F.col("n_outer")) / BLOCK)).withColumn("outs_of", F.ceil(F.col("n_outer") / BLOCK))
-    sized = marked.join(sizes, "component")
+    known = join_facts(members.select("row", "component", "v"), mean, "component", "n")
+    marked = known.select("row", "component", "v", "mean").mapInArrow(lean(mark), "row bigint, component bigint, v array<double>, inner boolean")
+    marked = shelf.put(marked.join(members.select("row", "vec_id"), "row"), "marked")
+    sizes = marked.groupBy("component").agg(F.count_if("inner").alias("n_inner"), F.count_if(~F.col("inner")).alias("n_outer"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    sizes = shelf.put(sizes.withColumn("rows_of", F.ceil(F.col("n") / BLOCK)).withColumn("outs_of", F.ceil(F.col("n_outer") / BLOCK)), "sizes")
+    sized = shelf.put(join_facts(marked, sizes, "component", "n"), "sized")
     # outer vectors against all members, each block of one against each block of the other
     todo = sized.where("n_outer > 0")
     deal = F.pmod(F.xxhash64("row"), F.col("rows_of"))
@@ -215,8 +234,9 @@ def _count_links(members: DataFrame, threshold: float) -> DataFrame:
         return pd.DataFrame({"row": np.concatenate((q["row"], m["row"][inner])), "n": np.concatenate((hit.sum(1), hit[:, inner].sum(0)))}).astype("int64")
 
     compared = left.unionByName(right).groupBy("component", "x", "y").applyInPandas(compare, "row bigint, n bigint")
-    same = sized.select("row", F.when(F.col("inner"), F.col("n_inner") - 1).otherwise(0).cast("bigint").alias("n"))
-    return same.unionByName(compared).groupBy("row").agg(F.sum("n").alias("n_links"))
+    same = sized.select("row", "least", F.when(F.col("inner"), F.col("n_inner") - 1).otherwise(0).cast("bigint").alias("n"))
+    none = F.lit(None).cast("bigint").alias("least")
+    return same.unionByName(compared.select("row", none, "n")).groupBy("row").agg(F.max("least").alias("least"), F.sum("n").alias("n_links"))
 
 
 def _scaled(col: pa.Array) -> np.ndarray:

@@ -18,7 +18,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foliant.llm import bpe, chat, crf, graph, langid, mixing, order_minhash, projections, pseudonyms, simple8b, tiff, token_files
+from foliant.llm import bpe, chat, common, crf, graph, langid, mixing, order_minhash, projections, pseudonyms, simple8b, tiff, token_files
+
+from foliant.llm.common import Shelf
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WORDS = "the of and lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor".split()
@@ -258,6 +260,47 @@ def test_equal_vectors_beyond_the_window(spark):
     assert {(r.n_links, r.component_id) for r in got} == {(299, 0)}
 
 
+def test_windows_reach_across_short_tasks(spark):
+    """Every pair within a window is found, whatever the tasks: many with one vector or none."""
+    n, window = 60, 5
+    angle = [0.001 * k * k for k in range(n)]
+    raw = [np.array([math.cos(a), math.sin(a)]).tobytes() for a in angle]
+    rows = [(0, k % 2, 2, k, k, bytearray(u)) for k, u in enumerate(raw)]
+    keyed = spark.createDataFrame(rows, "pass int, grp int, dim int, key bigint, row bigint, u binary")
+    near = lambda a, b: math.cos(angle[a] - angle[b]) >= 0.999
+    want = graph.LocalUnion()
+    for g in (0, 1):
+        mine = [k for k in range(n) if k % 2 == g]
+        for i in range(len(mine)):
+            for j in range(i + 1, min(i + window + 1, len(mine))):
+                if near(mine[i], mine[j]):
+                    want.join(mine[i], mine[j])
+    many = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for tasks in ("1", "3", "200", "300"):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            got = graph.LocalUnion()
+            for r in projections._window_links(keyed, window, 0.999, Shelf()).collect():
+                assert r.a % 2 == r.b % 2
+                got.join(r.a, r.b)
+            assert {k: got.find(k) for k in range(n)} == {k: want.find(k) for k in range(n)}, tasks
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", many)
+
+
+def test_facts_of_hot_and_other_keys(spark):
+    rows = spark.createDataFrame([(k, "hot" if k % 3 else f"key {k % 40}" if k % 4 else None) for k in range(4000)], "id long, key string")
+    facts = Shelf().put(rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top")), "facts")
+    want = {r.id: r for r in rows.join(facts.drop("n"), "key", "left").collect()}
+    for hot in (1, 10, 1000):
+        common.HOT_KEYS = hot
+        try:
+            assert {r.id: r.top for r in common.join_facts(rows, facts, "key", "n", "left").collect()} == {k: r.top for k, r in want.items()}
+            assert common.join_facts(rows, facts, "key", "n").count() == sum(r.key is not None for r in want.values())
+        finally:
+            common.HOT_KEYS = 1000
+
+
 def test_passes_follow_the_size_of_a_group(spark):
     assert [projections.passes_for(n, 0.93, 8, 32, 0.01) for n in (10, 10**5, 10**6)] == [8, 18, 29]
     rng, n, pairs = np.random.default_rng(4), 4000, 300
