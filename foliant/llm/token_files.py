@@ -3,7 +3,8 @@ Simple-8b files in a shared folder, and read back.
 
 Each task of a range partitioning by document id writes the files of its range:
 under a name of its own first, then renamed, so that a task that is run again leaves
-whole files only; the manifest lists the files of the attempts that succeeded. Task
+whole files only; what failed attempts leave is deleted at the end; the manifest lists the
+files of the attempts that succeeded. Task
 memory holds one file's code words. Where each document starts follows from sums of
 the files before it.
 
@@ -123,9 +124,19 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None,
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
     ranged = rows.repartitionByRange(F.col("doc").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc").asc_nulls_first(), "tie")
     manifest = materialise(ranged.mapInArrow(lean(write), MANIFEST), "manifest")
+    _sweep(folder)
     return manifest.withColumn("uri", F.concat(F.lit(folder + "/"), F.element_at(F.split("path", "/"), -1))).drop("path").withColumnRenamed("uri", "path")
 
 
+def _sweep(folder: str) -> None:
+    """Delete what attempts that failed have left; all tasks have ended."""
+    store, root = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(root).type == fs.FileType.Directory:
+        for info in store.get_file_info(fs.FileSelector(root)):
+            if info.base_name.startswith("."):
+                store.delete_file(info.path)
+
+
 def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """One row per document of the files: doc_id, start (values in all documents before
     it), n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers)
