@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import pdfgen as g
 from ..functions import columns
+from ..functions.filters import register_filter
 from ..operators.collection import Pdfs, freed, listing, operator_groups
 from ..operators.collection import latest as latest_entries
 from ..shared import shared_dir
@@ -669,3 +670,21 @@ def bad_pdf_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdfs = _documents(spark, sf_dir, make, b"wrong")
     o = pdfs.objects([4]).withColumn("d", columns.pdf_decode(*(F.col(c) for c in ("stream_raw", "filters", "parms", "cipher", "cipher_key"))))
     return o.select(_key().alias("doc_id"), F.coalesce("error.class", "d.error.class", F.lit("none")).alias("error"))
+
+
+@query("""SELECT doc_id, 'PDFLexicalError' AS class, CAST(70 + doc_id % 50 AS BIGINT) AS pos,
+  substr(repeat('x', 50) || chr(10) || '5 0 obj' || chr(10) || repeat(' ', CAST(doc_id % 50 AS INT)) || '<< /A <12 >>' || chr(10) || 'endobj' || chr(10) || 'xref' || chr(10) || '0 2' || chr(10) || '00', CAST(51 + doc_id % 50 AS INT), 40) AS context
+FROM documents""")
+def error_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where errors are, and 40 bytes about the place."""
+    make = lambda r: (f"doc-{r['doc_id']}", g.Pdf().revision({1: b"<< /Type /Catalog >>", 5: b" " * (r["doc_id"] % 50) + b"<< /A <12 >>"}, b"/Root 1 0 R").bytes())
+    o = Pdfs(g.generate(_table(spark, sf_dir, "documents").select("doc_id"), make), context_size=40).objects([5], raw=False)
+    return o.select(_key().alias("doc_id"), F.col("error.class").alias("class"), F.col("error.pos").alias("pos"), F.decode("error.context", "ISO-8859-1").alias("context"))
+
+
+@query(TEXT_SQL)
+def own_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered filter, after one of the format's."""
+    register_filter("FoliantReversed", lambda data, parms: data[::-1])
+    make = lambda r: g.page_file(g.stream(g.ENCODE["FlateDecode"](_raw(r["text"])[::-1]), b"/Filter [/FlateDecode /FoliantReversed]"))
+    return _page_text(_documents(spark, sf_dir, make))
