@@ -51,14 +51,15 @@ def pack_block(values: np.ndarray) -> np.ndarray:
     if raw:  # an escape takes all values up to the next one that fits a selector
         fits = np.flatnonzero(np.append(best, 1) != 0)
         after = fits[np.searchsorted(fits, np.arange(n))]
-        follow = np.where(best == 0, after, np.arange(n) + _COUNT[best]).tolist()
+        follow = np.where(best == 0, after, np.arange(n) + _COUNT[best])
     else:
-        follow = (np.arange(n) + _COUNT[best]).tolist()
-    heads, at = [], 0
-    while at < n:
-        heads.append(at)
-        at = follow[at]
-    heads = np.array(heads)
+        follow = np.arange(n) + _COUNT[best]
+    # the heads are 0 and what follows; those known give as many more, by steps that double in length
+    follow, heads = np.append(np.minimum(follow, n), n), np.zeros(1, np.int64)
+    while heads[-1] < n:
+        heads = np.concatenate((heads, follow[heads]))
+        follow = follow[follow]
+    heads = heads[: np.searchsorted(heads, n)]
     used = best[heads]
     words = used.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate((v, np.zeros(60, np.uint64)))
