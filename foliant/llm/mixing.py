@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Shelf, materialise
 
 BLOCKS = 1024
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -123,10 +123,11 @@ def mix_draws(df: DataFrame, source: str = "source", text: str = "text", key: Co
     block = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(blocks)).cast("int")
     sized = df.select(*(F.col(c) for c in kept), F.col(source).alias("__source"), word_count(F.col(text)).alias("__size"), block.alias("__block"))
     of_block = sized.groupBy(F.col("__source").alias("s"), F.col("__block").alias("b")).agg(F.sum("__size").alias("n"))
-    of_block = materialise(of_block, "blocks")
+    shelf = Shelf()
+    of_block = shelf.put(of_block, "blocks")
     # a row for each source: its place in code point order, null last, and its size
     ranked = of_block.groupBy("s").agg(F.sum("n").alias("source_size"))
-    ranked = materialise(ranked.select((F.row_number().over(Window.orderBy(F.col("s").asc_nulls_last())) - 1).alias("code"), "s", "source_size"), "sources")
+    ranked = shelf.put(ranked.select((F.row_number().over(Window.orderBy(F.col("s").asc_nulls_last())) - 1).alias("code"), "s", "source_size"), "sources")
     sizes = np.array([n for _, n in sorted(map(tuple, ranked.select("code", "source_size").collect()))], np.int64)
     goals = targets(sizes, np.resize(np.array(weights, np.float64), len(sizes)), most)
     facts = spark.createDataFrame(pa.table({"code": pa.array(np.arange(len(sizes)), pa.int32()), "target": pa.array(goals, pa.float64())}))
@@ -149,6 +150,7 @@ def mix_draws(df: DataFrame, source: str = "source", text: str = "text", key: Co
 
     plan = coded.join(split, "code").groupBy("code").applyInPandas(deal, "s string, b int, source_size bigint, target double, shards array<int>")
     plan = materialise(plan, "mix-plan")
+    shelf.clear()
     joined = sized.join(plan, sized["__source"].eqNullSafe(plan["s"]) & (sized["__block"] == plan["b"]), "left")
     draws = F.transform(plan["shards"], lambda s, i: F.struct(s.alias("shard"), i.alias("copy")))
     return joined.select(*(sized[c] for c in kept), sized["__size"].alias("size"), plan["source_size"], plan["target"], draws.alias("draws"))

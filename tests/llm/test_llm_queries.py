@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as e
 import corpus_pipeline
-from foliant.llm import crf, langid, mixing, op6, op9, op10, order_minhash, pseudonyms, tiff
+from foliant.llm import crf, langid, mixing, op6, op9, op10, order_minhash, projections, pseudonyms, tiff
 from foliant.llm.queries import ORACLE_SQL, QUERIES
 
 from plain_pseudonyms import Plain, luhn
@@ -272,3 +272,60 @@ def test_pipeline_run(spark):
 def test_held_out(spark):
     got = spark.range(50).select(F.col("id").alias("doc_id")).withColumn("h", op9.held_out()).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+
+
+def empty_tables(spark, folder, *full):
+    """All tables without rows, but for those named."""
+    for p in glob.glob(f"{DIR}/*.parquet"):
+        name = os.path.basename(p)
+        df = spark.read.parquet(p)
+        (df if name[:-8] in full else df.limit(0)).write.parquet(f"{folder}/{name}")
+    return str(folder)
+
+
+def test_empty_tables(spark, tmp_path):
+    none = empty_tables(spark, tmp_path / "none")
+    for name, q in QUERIES.items():
+        rows = q(spark, none).collect()
+        assert len(rows) == (name == "op2_chat"), name
+    assert corpus_pipeline.run(spark, none).count() == 0
+
+
+def test_models_without_labels(spark, tmp_path, docs):
+    """Nothing to learn from: every language is unknown where no row has one, every score the share of label 1."""
+    bare = empty_tables(spark, tmp_path / "bare", "documents")
+    assert {r.score for r in QUERIES["op10_crf"](spark, bare).collect()} == {0.5}
+    unlabelled = tmp_path / "unlabelled"
+    spark.read.parquet(f"{DIR}/documents.parquet").withColumn("lang", F.lit(None).cast("string")).write.parquet(f"{unlabelled}/documents.parquet")
+    rows = QUERIES["op9_langid"](spark, str(unlabelled)).collect()
+    assert len(rows) == len(docs) and {(r.lang_pred, r.score) for r in rows} == {("und", 0.0)}
+
+
+def test_nulls_in_every_column(spark, tmp_path):
+    """Rows of nulls, repeated, beside the others, in all tables that the queries read."""
+    for name in ("documents", "embeddings", "conversations", "labels"):
+        df = spark.read.parquet(f"{DIR}/{name}.parquet")
+        blank = df.limit(2).select(*(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns))
+        df.limit(60).unionByName(blank).withColumn("extra", F.lit("clash")).withColumn("size", F.lit("clash")).withColumn("score", F.lit(0)).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = {n: len(q(spark, str(tmp_path)).collect()) for n, q in QUERIES.items()}
+    chats = spark.read.parquet(f"{tmp_path}/conversations.parquet").select("conv_id").distinct().count() + 1
+    assert rows == {n: chats if n == "op2_chat" else 62 for n in QUERIES}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_recall_of_sorted_passes():
+    """Planted pairs at the threshold within a window in some pass, among 20,000 vectors of one label."""
+    rng, dim, pairs, n = np.random.default_rng(1), 64, 2000, 20_000
+    u = rng.standard_normal((n, dim))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    side = rng.standard_normal((pairs, dim))
+    side -= (side * u[:pairs]).sum(1, keepdims=True) * u[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    u[pairs : 2 * pairs] = 0.93 * u[:pairs] + (1 - 0.93**2) ** 0.5 * side
+    many, hit = projections.passes_for(n, 0.93, 8, 32, 0.01), np.zeros(pairs, bool)
+    for towards in projections.directions(dim, many, 32, 7).reshape(many, 32, dim):
+        key = (u @ towards.T > 0) @ (1 << np.arange(31, -1, -1, dtype=np.int64)).astype(np.float64)
+        place = np.empty(n, np.int64)
+        place[np.argsort(key, kind="stable")] = np.arange(n)
+        hit |= np.abs(place[:pairs] - place[pairs : 2 * pairs]) <= 32
+    assert hit.mean() >= 0.98
