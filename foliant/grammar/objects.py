@@ -181,11 +181,11 @@ class Reader:
         return Stream(entries, m.end(), length, bytes(self.data[m.end() : m.end() + length]))
 
 
+_TAGS = {bool: "bool", int: "integer", float: "real", Name: "name", Str: "string", Hex: "hex", Ref: "ref", Operator: "operator", Stream: "stream", dict: "dict", list: "array", Indirect: "indirect"}
+
+
 def tag_of(value: object) -> str:
-    for kind, tag in ((bool, "bool"), (int, "integer"), (float, "real"), (Name, "name"), (Str, "string"), (Hex, "hex"), (Ref, "ref"), (Operator, "operator"), (Stream, "stream"), (dict, "dict"), (list, "array"), (Indirect, "indirect")):
-        if isinstance(value, kind):
-            return tag
-    return "null"
+    return _TAGS.get(type(value), "null")
 
 
 def to_plain(value: object) -> object:
@@ -217,17 +217,22 @@ def nodes_of(value: object) -> Iterator[tuple]:
         v, parent, key, pos = stack.pop()
         node, tag = count, tag_of(v)
         count += 1
-        yield (
-            node, parent, key, pos, tag,
-            v if tag == "bool" else None,
-            v if tag == "integer" and -(1 << 63) <= v < 1 << 63 else None,
-            float(v) if tag == "real" else None,
-            str(v) if tag == "name" else v.name if tag == "operator" else str(v) if tag == "integer" and not -(1 << 63) <= v < 1 << 63 else None,
-            bytes(v) if tag in ("string", "hex") else None,
-            v.num if tag == "ref" else None, v.gen if tag == "ref" else None,
-        )
+        head = (node, parent, key, pos, tag)
+        if tag == "integer":
+            fits = -(1 << 63) <= v < 1 << 63
+            yield (*head, None, v if fits else None, None, None if fits else str(v), None, None, None)
+        elif tag == "name":
+            yield (*head, None, None, None, str(v), None, None, None)
+        elif tag == "real":
+            yield (*head, None, None, v, None, None, None, None)
+        elif tag in ("string", "hex"):
+            yield (*head, None, None, None, None, bytes(v), None, None)
+        elif tag == "ref":
+            yield (*head, None, None, None, None, None, v.num, v.gen)
+        else:
+            yield (*head, v if tag == "bool" else None, None, None, v.name if tag == "operator" else None, None, None, None)
         if tag == "array":
-            stack.extend((x, node, None, i) for i, x in reversed(list(enumerate(v))))
+            stack.extend((x, node, None, i) for i, x in zip(range(len(v) - 1, -1, -1), reversed(v), strict=True))
         elif tag in ("dict", "stream"):
             stack.extend((x, node, k, None) for k, x in reversed((v if tag == "dict" else v.entries).items()))
 

@@ -48,6 +48,10 @@ def _whole(e: Exception) -> dict:
     return columns.error_row(e if isinstance(e, PDFError) else PDFSyntaxError(f"{type(e).__name__}: {e}"))
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 class Pdfs:
     """Files as (path, content), opened with one password; see the module for modes.
     ``context_size``: bytes about an error's place that its struct holds."""
@@ -60,14 +64,18 @@ class Pdfs:
 
     # ------------------------------------------------------------ machinery
 
-    def _scan(self, rows_of: Callable[[str, bytes, str | bytes | None], Iterator[dict]], schema: str) -> DataFrame:
-        """Rows of every file by a function of its path, bytes and password. Errors are raised
-        or left out here, so that it does not matter who selects the column."""
+    def _scan(self, rows_of: Callable[[str, bytes, str | bytes | None], Iterator[dict | tuple]], schema: str) -> DataFrame:
+        """Rows (dicts, or tuples in the order of the schema) of every file by a function of its
+        path, bytes and password. The first column is the path, the last one the error. Errors are
+        raised or left out here, so that it does not matter who selects the column."""
         lower_batches(self.spark, BATCH_FILES, BATCH_BYTES)
         password, mode, context_size = self.password, self.mode, self.context_size
+        strict = mode != "PERMISSIVE"
         kind = columns.arrow_type(f"struct<{_colons(schema)}>")
         arrow = pa.schema(list(kind))
 
+        wide = [k for k, f in enumerate(arrow) if f.name != "path" and (pa.types.is_string(f.type) or pa.types.is_binary(f.type))]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             set_context_size(context_size)
             out, held = [], 0
@@ -76,17 +84,22 @@ class Pdfs:
                     if not content.is_valid:
                         continue
                     for row in rows_of(path.as_py(), content.as_py(), password):
-                        if row.get("error") is not None and mode != "PERMISSIVE":
+                        if type(row) is dict:
+                            row = tuple(map(row.get, arrow.names))
+                        if row[-1] is not None and strict:
                             if mode == "FAILFAST":
-                                raise PDFError(f"{row['path']}: {row['error']['class']}: {row['error']['msg']}")
+                                raise PDFError(f"{row[0]}: {row[-1]['class']}: {row[-1]['msg']}")
                             continue
                         out.append(row)
-                        held += 64 + len(row.get("stream_raw") or b"") + len(row.get("json") or "") + len(row.get("content") or b"")
+                        held += 64
+                        for k in wide:
+                            if row[k]:
+                                held += len(row[k])
                         if len(out) >= OUT_ROWS or held >= OUT_BYTES:
-                            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                            yield _batch(out, arrow)
                             out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                yield _batch(out, arrow)
 
         return self.files.mapInArrow(run, schema)
 
@@ -369,14 +382,14 @@ def _node_rows(path: str, data: bytes, password, wanted: frozenset[int] | None)
     for e in (file.latest[n] for n in sorted(numbers)):
         if e.kind == "f":
             continue
-        head = {"path": path, "obj_num": e.num, "gen_num": e.gen}
+        head = (path, e.num, e.gen)
         try:
             value = file.read(e)
         except Exception as x:  # noqa: BLE001
-            yield head | {"error": _whole(x)}
+            yield dict(zip(("path", "obj_num", "gen_num"), head, strict=True)) | {"error": _whole(x)}
             continue
         for n in nodes_of(value):
-            yield head | dict(zip(columns.NODE_FIELDS, n, strict=True))
+            yield (*head, *n, None)
 
 
 def _refs(value: object) -> Iterator[Ref]:
