@@ -68,14 +68,15 @@ def permute(x: Column, a: Column | int, b: Column | int, key: Column | str, tag:
     sign = -1 if reverse else 1
     number = lambda i, v: F.conv(F.substring(_hash(key, tag, i, v), 1, 14), 16, 10).cast("bigint")
 
+    # what rounds share is in their state: a lambda works out again whatever else it names
     def one(s: Column, i: Column) -> Column:
         even = i % 2 == 0
-        left = F.when(even, F.pmod(s["l"] + sign * F.pmod(number(i, s["r"]), a), a)).otherwise(s["l"])
-        right = F.when(even, s["r"]).otherwise(F.pmod(s["r"] + sign * F.pmod(number(i, s["l"]), b), b))
-        return F.struct(left.alias("l"), right.alias("r"))
+        left = F.when(even, F.pmod(s["l"] + sign * F.pmod(number(i, s["r"]), s["a"]), s["a"])).otherwise(s["l"])
+        right = F.when(even, s["r"]).otherwise(F.pmod(s["r"] + sign * F.pmod(number(i, s["l"]), s["b"]), s["b"]))
+        return F.struct(left.alias("l"), right.alias("r"), s["a"].alias("a"), s["b"].alias("b"))
 
-    start = F.struct(F.call_function("div", x, b).alias("l"), F.pmod(x, b).alias("r"))
-    return F.aggregate(_rounds(reverse), start, one, lambda s: s["l"] * b + s["r"])
+    start = F.struct(F.call_function("div", x, b).alias("l"), F.pmod(x, b).alias("r"), a.alias("a"), b.alias("b"))
+    return F.aggregate(_rounds(reverse), start, one, lambda s: s["l"] * s["b"] + s["r"])
 
 
 def permute_letters(s: Column, key: Column | str, tag: str, reverse: bool = False) -> Column:
@@ -85,12 +86,15 @@ def permute_letters(s: Column, key: Column | str, tag: str, reverse: bool = Fals
     half = F.floor(F.length(s) / 2).cast("int")
 
     def moved(part: Column, by: Column) -> Column:
-        def shift(c: Column, j: Column) -> Column:
-            v = F.conv(F.substr(by, (2 * j) % 64 + 1, F.lit(2)), 16, 10).cast("int")
+        """Each character moved by its two hexadecimal digits, which repeat after 32 characters."""
+
+        def shift(c: Column, pair: Column) -> Column:
+            v = F.conv(pair, 16, 10).cast("int")
             to = lambda base, n: F.char((base + F.pmod(F.ascii(c) - base + sign * v, F.lit(n))).cast("bigint"))
             return F.when(c.rlike("^[0-9]$"), to(48, 10)).when(c.rlike("^[a-z]$"), to(97, 26)).when(c.rlike("^[A-Z]$"), to(65, 26)).otherwise(c)
 
-        return F.array_join(F.transform(F.split(part, ""), shift), "")
+        pairs = F.regexp_extract_all(F.repeat(by, (F.length(part) / 32 + 1).cast("int")), F.lit(".."), F.lit(0))
+        return F.array_join(F.zip_with(F.split(part, ""), F.slice(pairs, F.lit(1), F.length(part)), shift), "")
 
     def one(p: Column, i: Column) -> Column:
         even = i % 2 == 0
@@ -108,8 +112,12 @@ def digits_of(m: Column) -> Column:
 
 def lay(m: Column, digits: Column) -> Column:
     """m with its digits, in order, replaced by those given."""
-    step = lambda s, c: F.when(c.rlike("^[0-9]$"), F.struct(F.concat(s["o"], F.substr(digits, s["k"], F.lit(1))).alias("o"), (s["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(s["o"], c).alias("o"), s["k"].alias("k")))
-    return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("o"), F.lit(1).alias("k")), step, lambda s: s["o"])
+
+    def step(s: Column, c: Column) -> Column:
+        is_digit = c.rlike("^[0-9]$")
+        return F.struct(F.concat(s["o"], F.when(is_digit, F.substr(s["d"], s["k"], F.lit(1))).otherwise(c)).alias("o"), (s["k"] + is_digit.cast("int")).alias("k"), s["d"].alias("d"))
+
+    return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("o"), F.lit(1).alias("k"), digits.alias("d")), step, lambda s: s["o"])
 
 
 def padded(x: Column, n: Column | int) -> Column:
@@ -118,14 +126,13 @@ def padded(x: Column, n: Column | int) -> Column:
 
 def luhn_sum(d: Column, doubled: int) -> Column:
     """Luhn sum of a digit string, doubling every second digit from the last (doubled 0) or the last but one (1)."""
-    n = F.length(d)
 
-    def add(total: Column, i: Column) -> Column:
-        v = F.substr(d, i, F.lit(1)).cast("int")
-        twice = (n - i) % 2 == doubled
-        return total + F.when(twice, F.when(v > 4, 2 * v - 9).otherwise(2 * v)).otherwise(v)
+    def add(s: Column, c: Column) -> Column:
+        v = c.cast("int")
+        value = F.when(s["i"] % 2 == doubled, F.when(v > 4, 2 * v - 9).otherwise(2 * v)).otherwise(v)
+        return F.struct((s["t"] + value).alias("t"), (s["i"] + 1).alias("i"))
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
+    return F.aggregate(F.reverse(F.split(d, "")), F.struct(F.lit(0).alias("t"), F.lit(0).alias("i")), add, lambda s: s["t"])
 
 
 def card_in(m: Column) -> Column:
