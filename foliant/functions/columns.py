@@ -141,16 +141,31 @@ def token_row(seq: int, tag: str, value: object, pos: int) -> dict:
 
 
 def _tokens(data: pa.Array) -> pa.Array:
-    out = []
+    """Columns of all tokens first, then their lists: no object for each token."""
+    seq, pos, tags, bools, longs, doubles, names, raw = ([] for _ in range(8))
+    ends, empty = [0], []
     for d in data.to_pylist():
-        rows = None if d is None else []
+        k = 0
+        empty.append(d is None)
         try:
-            for t in tokens(d) if d else ():
-                rows.append(token_row(len(rows), t.tag, t.value, t.pos))
+            for tag, value, at, _ in tokens(d) if d else ():
+                seq.append(k)
+                pos.append(at)
+                tags.append(tag)
+                whole = tag == "integer" and -(1 << 63) <= value < 1 << 63
+                bools.append(value if tag == "bool" else None)
+                longs.append(value if whole else None)
+                doubles.append(value if tag == "real" else None)
+                raw.append(value if isinstance(value, bytes) else None)
+                names.append(None if whole or value is None or tag in ("bool", "real") or isinstance(value, bytes) else str(value))
+                k += 1
         except PDFError as e:
-            rows.append(dict.fromkeys(("bool_val", "long_val", "double_val", "bytes_val")) | {"seq": len(rows), "pos": e.pos, "tag": "error", "name_val": type(e).__name__})
-        out.append(rows)
-    return pa.array(out, TOKEN_LIST)
+            for c, v in zip((seq, pos, tags, bools, longs, doubles, names, raw), (k, e.pos, "error", None, None, None, type(e).__name__, None), strict=True):
+                c.append(v)
+        ends.append(len(seq))
+    kinds = TOKEN_LIST.value_type
+    flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip((seq, pos, tags, bools, longs, doubles, names, raw), kinds, strict=True)], fields=list(kinds))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(empty, pa.bool_()))
 
 
 def pdf_token_array(data: Column) -> Column:
