@@ -27,8 +27,9 @@ from ..functions import columns, filters
 from ..grammar.file import PdfFile, Section
 from ..grammar.objects import Name, Ref, Stream, nodes_of, tag_of, to_plain
 
-#: Whole files in one Arrow batch: rows and bytes, whichever comes first.
-BATCH_FILES, BATCH_BYTES = 2000, 16 << 20
+#: Whole files in one Arrow batch: rows and bytes, whichever comes first. Few enough that the
+#: Python stages of a task work at the same time.
+BATCH_FILES, BATCH_BYTES = 512, 16 << 20
 #: Output rows of one batch, and the bytes after which one is closed.
 OUT_ROWS, OUT_BYTES = 4096, 32 << 20
 
