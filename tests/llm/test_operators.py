@@ -539,6 +539,33 @@ def test_counts_of_kmers_are_of_all_texts(spark, monkeypatch):
     assert {(r.class_id, r.doc_id) for r in got} == set(pairs)
 
 
+def test_copies_that_the_first_keys_leave_apart_cost_few_comparisons(spark, monkeypatch):
+    rng, texts = random.Random(11), []
+    for _ in range(4):
+        base = text_of(rng, 150).split()
+        edits = [(at, f"edit{at}") for at in range(2, 150, 6)]
+        for i in range(300):
+            copy = list(base)
+            for at, word in rng.sample(edits, rng.randint(1, 4)):
+                copy[at] = word
+            # every other text is too long to link, and can be the smallest of a key
+            texts.append(" ".join(copy + [text_of(rng, 45)] * (i % 2)))
+    compared, put = [], common.Shelf.put
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        if df.columns == ["a", "b"]:
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Shelf, "put", counted)
+    got, few = order_minhash.near_texts(documents(spark, texts), sketches=1).collect(), sum(compared)
+    monkeypatch.setattr(order_minhash, "TURNS", 0, raising=False)  # all pairs of a key, as a measure
+    compared.clear()
+    assert sorted(got) == sorted(order_minhash.near_texts(documents(spark, texts), sketches=1).collect())
+    assert few < 10 * len(texts) and 2 * few < sum(compared), (few, sum(compared))
+
+
 # --------------------------------------------------------------- pseudonyms
 
 def test_pseudonyms_restore_and_link(spark):
