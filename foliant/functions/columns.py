@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -141,10 +142,14 @@ def token_row(seq: int, tag: str, value: object, pos: int) -> dict:
 
 
 def _tokens(data: pa.Array) -> pa.Array:
+    return token_lists(data.to_pylist())
+
+
+def token_lists(data: Sequence[bytes | None]) -> pa.Array:
     """Columns of all tokens first, then their lists: no object for each token."""
     seq, pos, tags, bools, longs, doubles, names, raw = ([] for _ in range(8))
     ends, empty = [0], []
-    for d in data.to_pylist():
+    for d in data:
         k = 0
         empty.append(d is None)
         try:
@@ -183,23 +188,24 @@ def _text(tag: str, value: object) -> str | None:
     return value.decode("latin-1") if isinstance(value, bytes) else None if value is None else str(value)
 
 
+def operator_groups_of(data: bytes) -> Iterator[tuple[int, str | None, list[str | None]]]:
+    """Groups of a content stream, in order: number, operator, operands as text."""
+    count, held = 0, []
+    try:
+        for t in tokens(data) if data else ():
+            if t.tag == "operator":
+                yield count, str(t.value), held
+                count, held = count + 1, []
+            else:
+                held.append(_text(t.tag, t.value))
+    except PDFError as e:
+        held.append(type(e).__name__)
+    if held:
+        yield count, None, held
+
+
 def _operators(data: pa.Array) -> pa.Array:
-    out = []
-    for d in data.to_pylist():
-        groups, held = (None, []) if d is None else ([], [])
-        try:
-            for t in tokens(d) if d else ():
-                if t.tag == "operator":
-                    groups.append({"group_no": len(groups), "operator": str(t.value), "operands": held})
-                    held = []
-                else:
-                    held.append(_text(t.tag, t.value))
-        except PDFError as e:
-            held.append(type(e).__name__)
-        if held:
-            groups.append({"group_no": len(groups), "operator": None, "operands": held})
-        out.append(groups)
-    return pa.array(out, GROUP_LIST)
+    return pa.array([None if d is None else list(operator_groups_of(d)) for d in data.to_pylist()], GROUP_LIST)
 
 
 def pdf_operator_array(data: Column) -> Column:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,15 +24,17 @@ from pyspark.sql import functions as F
 
 from ..arrow import lower_batches
 from ..errors import PDFError, PDFSyntaxError, set_context_size
-from ..functions import columns, filters
-from ..grammar.file import PdfFile, Section
+from ..functions import ciphers, columns, filters
+from ..grammar.file import Entry, PdfFile, Section
 from ..grammar.objects import Name, Ref, Stream, nodes_of, tag_of, to_plain
 
 #: Whole files in one Arrow batch: rows and bytes, whichever comes first. Few enough that the
-#: Python stages of a task work at the same time.
-BATCH_FILES, BATCH_BYTES = 512, 16 << 20
+#: Python stages of a task work at the same time, and that a worker holds some MB.
+BATCH_FILES, BATCH_BYTES = 512, 4 << 20
 #: Output rows of one batch, and the bytes after which one is closed.
-OUT_ROWS, OUT_BYTES = 4096, 32 << 20
+OUT_ROWS, OUT_BYTES = 4096, 4 << 20
+#: Bytes of output after which a worker gives unused memory of Arrow back.
+KEPT_BYTES = 32 << 20
 
 ENTRY = "struct<obj_num:int,gen_num:int,kind:string,offset:bigint,objstm_num:int,idx:int,live:boolean>"
 TRAILER = "struct<key:string,tag:string,json:string>"
@@ -49,42 +52,73 @@ def _whole(e: Exception) -> dict:
     return columns.error_row(e if isinstance(e, PDFError) else PDFSyntaxError(f"{type(e).__name__}: {e}"))
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+def _batch(rows: list[tuple], schema: pa.Schema, build: dict[str, Callable[[tuple], pa.Array]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([build[f.name](c) if f.name in build else pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+@dataclass
+class Made:
+    """Files that a function of a row (as a dict) makes: (path, content). They are made by the
+    worker that reads them, so that their bytes pass neither through the JVM nor a second worker."""
+
+    rows: DataFrame
+    make: Callable[[dict], tuple[str, bytes]]
+
+    def files(self) -> DataFrame:
+        make = self.make
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = [make(r) for r in batch.to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.binary())], names=["path", "content"])
+
+        lower_batches(self.rows.sparkSession, BATCH_FILES, BATCH_BYTES)
+        return self.rows.mapInArrow(run, "path string, content binary")
 
 
 class Pdfs:
-    """Files as (path, content), opened with one password; see the module for modes.
+    """Files as (path, content), or Made of rows, opened with one password; see the module for modes.
     ``context_size``: bytes about an error's place that its struct holds."""
 
-    def __init__(self, files: DataFrame, password: str | bytes | None = None, mode: str = "PERMISSIVE", context_size: int = 200):
+    def __init__(self, files: DataFrame | Made, password: str | bytes | None = None, mode: str = "PERMISSIVE", context_size: int = 200):
         if mode not in MODES:
             raise ValueError(f"mode is one of {MODES}")
-        self.files, self.password, self.mode, self.context_size = files.select("path", "content"), password, mode, context_size
-        self.spark: SparkSession = files.sparkSession
+        self.made = files if isinstance(files, Made) else None
+        self._files = None if self.made else files.select("path", "content")
+        self.password, self.mode, self.context_size = password, mode, context_size
+        self.spark: SparkSession = (files.rows if self.made else files).sparkSession
+
+    @property
+    def files(self) -> DataFrame:
+        """path, content."""
+        return self.made.files() if self.made else self._files
 
     # ------------------------------------------------------------ machinery
 
-    def _scan(self, rows_of: Callable[[str, bytes, str | bytes | None], Iterator[dict | tuple]], schema: str) -> DataFrame:
+    def _scan(self, rows_of: Callable[[str, bytes, str | bytes | None], Iterator[dict | tuple]], schema: str, build: dict[str, Callable[[tuple], pa.Array]] | None = None) -> DataFrame:
         """Rows (dicts, or tuples in the order of the schema) of every file by a function of its
         path, bytes and password. The first column is the path, the last one the error. Errors are
-        raised or left out here, so that it does not matter who selects the column."""
+        raised or left out here, so that it does not matter who selects the column. ``build``:
+        functions that make a column's array of the values in rows."""
         lower_batches(self.spark, BATCH_FILES, BATCH_BYTES)
         password, mode, context_size = self.password, self.mode, self.context_size
-        strict = mode != "PERMISSIVE"
+        strict, build = mode != "PERMISSIVE", build or {}
+        make = self.made.make if self.made else None
         kind = columns.arrow_type(f"struct<{_colons(schema)}>")
         arrow = pa.schema(list(kind))
 
-        wide = [k for k, f in enumerate(arrow) if f.name != "path" and (pa.types.is_string(f.type) or pa.types.is_binary(f.type))]
+        # bytes that become an array take a multiple of themselves
+        wide = [(k, 16 if f.name in build else 1) for k, f in enumerate(arrow) if f.name in build or (f.name != "path" and (pa.types.is_string(f.type) or pa.types.is_binary(f.type)))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             set_context_size(context_size)
-            out, held = [], 0
+            out, held, sent = [], 0, 0
             for batch in batches:
-                for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                    if not content.is_valid:
+                files = map(make, batch.to_pylist()) if make else ((p.as_py(), c.as_py()) for p, c in zip(batch.column(0), batch.column(1), strict=True))
+                for path, content in files:
+                    if content is None:
                         continue
-                    for row in rows_of(path.as_py(), content.as_py(), password):
+                    for row in rows_of(path, content, password):
                         if type(row) is dict:
                             row = tuple(map(row.get, arrow.names))
                         if row[-1] is not None and strict:
@@ -93,16 +127,20 @@ class Pdfs:
                             continue
                         out.append(row)
                         held += 64
-                        for k in wide:
+                        for k, times in wide:
                             if row[k]:
-                                held += len(row[k])
+                                held += len(row[k]) * times
                         if len(out) >= OUT_ROWS or held >= OUT_BYTES:
-                            yield _batch(out, arrow)
+                            yield _batch(out, arrow, build)
+                            sent += held
                             out, held = [], 0
+                            if sent >= KEPT_BYTES:
+                                pa.default_memory_pool().release_unused()
+                                sent = 0
             if out:
-                yield _batch(out, arrow)
+                yield _batch(out, arrow, build)
 
-        return self.files.mapInArrow(run, schema)
+        return (self.made.rows if make else self._files).mapInArrow(run, schema)
 
     # --------------------------------------------------------------- tables
 
@@ -110,26 +148,36 @@ class Pdfs:
         """path, version."""
         return self.files.select("path", columns.pdf_version(F.col("content")).alias("version"))
 
-    def sections(self) -> DataFrame:
-        """One row per cross-reference section, rev 0 the newest; or one with the error of the file."""
-        return self._scan(_section_rows, SECTIONS)
+    def sections(self, trailer: bool = True) -> DataFrame:
+        """One row per cross-reference section, rev 0 the newest; or one with the error of the file.
+        Without ``trailer`` that column is null, and costs nothing."""
+        return self._scan(lambda path, data, password: _section_rows(path, data, password, trailer), SECTIONS)
 
     def xref(self, live: bool = False) -> DataFrame:
         """path, rev, obj_num, gen_num, kind (n, f, c), offset, objstm_num, idx, live; with
         ``live`` only what current lookups find."""
-        e = self.sections().where("error is null").select("path", "rev", F.explode("entries").alias("e")).select("path", "rev", "e.*")
-        return e.where("live") if live else e
+        fields = ENTRY.removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")
+        e = self._scan(lambda path, data, password: _entry_rows(path, data, live), f"path string, rev int, {fields}, error {columns.ERROR}")
+        return e.where("error is null").drop("error")
+
+    def listing(self) -> DataFrame:
+        """path, rev, part, obj_num, line: entries as text, file by file; in a file section by section:
+        in use, free, compressed, by number. Each file's lines are put in order where it is read; for
+        a stored table, and an order over all files, there is the function ``listing``."""
+        e = self._scan(_listing_rows, f"path string, rev int, part int, obj_num int, line string, error {columns.ERROR}")
+        return e.where("error is null").drop("error")
 
     def trailers(self) -> DataFrame:
         """path, rev, key, tag, value of every section's trailer."""
         t = self.sections().where("error is null").select("path", "rev", F.explode("trailer").alias("t"))
         return t.select("path", "rev", "t.key", "t.tag", F.parse_json("t.json").alias("value"))
 
-    def trailer(self) -> DataFrame:
-        """path, key, tag, value: the newest revision's value of every key."""
-        newest = F.struct("tag", F.to_json("value").alias("json"))
-        best = self.trailers().groupBy("path", "key").agg(F.min_by(newest, "rev").alias("v"))
-        return best.select("path", "key", "v.tag", F.parse_json("v.json").alias("value"))
+    def trailer(self, keys: list[str] | None = None) -> DataFrame:
+        """path, key, tag, value: the newest revision's value of every key (of ``keys`` only, if
+        given); read with the chain of a file."""
+        wanted = None if keys is None else frozenset(keys)
+        t = self._scan(lambda path, data, password: _trailer_rows(path, data, wanted), f"path string, key string, tag string, json string, error {columns.ERROR}")
+        return t.where("error is null").select("path", "key", "tag", F.parse_json("json").alias("value"))
 
     def freed(self) -> DataFrame:
         """path, obj_num that were in use in some revision and are free now; read with the chain of a file."""
@@ -183,14 +231,36 @@ class Pdfs:
         return self._scan(lambda path, data, password: _node_rows(path, data, password, wanted), NODES)
 
     def token_arrays(self, numbers: list[int] | None = None) -> DataFrame:
-        """path, source_obj, tokens: those of a decoded stream as one array."""
-        return self.streams(numbers).select("path", F.col("obj_num").alias("source_obj"), columns.pdf_token_array(F.col("decoded")).alias("tokens"))
+        """path, source_obj, tokens: those of a decoded stream as one array; null where it cannot be decoded."""
+        t = self._decoded_scan(numbers, lambda head, data, error: [(*head, data, error)], f"tokens array<{columns.TOKEN}>", {"tokens": columns.token_lists})
+        return t.drop("error")
 
     def operators(self, numbers: list[int] | None = None) -> DataFrame:
         """Operands gathered with the operator that follows them, stream by stream where it is:
         path, source_obj, group_no, operator, operands (array of text)."""
-        s = self.streams(numbers).select("path", F.col("obj_num").alias("source_obj"), F.explode(columns.pdf_operator_array(F.col("decoded"))).alias("g"))
-        return s.select("path", "source_obj", "g.*")
+
+        def rows(head: tuple, data: bytes | None, error: dict | None) -> Iterator[tuple]:
+            if data is not None:
+                yield from ((*head, *group, None) for group in columns.operator_groups_of(data))
+            elif error is not None:
+                yield (*head, None, None, None, error)
+
+        return self._decoded_scan(numbers, rows, "group_no int, operator string, operands array<string>").where("error is null").drop("error")
+
+    def _decoded_scan(self, numbers: list[int] | None, rows: Callable[[tuple, bytes | None, dict | None], Iterator[tuple]], schema: str, build: dict | None = None) -> DataFrame:
+        """Rows of decoded streams by a function of (path, obj_num), the bytes and the error, read
+        and decoded where the file is. Errors of whole files and objects give none in mode PERMISSIVE."""
+        wanted = None if numbers is None else frozenset(numbers)
+        strict, known, empty = self.mode != "PERMISSIVE", dict(filters.FILTERS), (None,) * schema.count(", ") + (None,)
+
+        def scan(path: str, data: bytes, password) -> Iterator[tuple]:
+            for num, content, error, read in _stream_rows(path, data, password, wanted, known):
+                if read:
+                    yield from rows((path, num), content, error)
+                elif strict:
+                    yield (path, num, *empty, error)
+
+        return self._scan(scan, f"path string, source_obj int, {schema}, error {columns.ERROR}", build)
 
     def tokens(self, numbers: list[int] | None = None) -> DataFrame:
         """Tokens of decoded streams: path, source_obj, seq, pos, tag, values."""
@@ -240,6 +310,13 @@ class Pdfs:
         one row without obj_num."""
         return self._scan(_reachable_rows, f"path string, obj_num int, error {columns.ERROR}")
 
+    def reachable_by_file(self) -> DataFrame:
+        """path, objects, failed, error: the same with a row for each file, which no shuffle has to
+        gather: its numbers in the order of the walk, and those of them that cannot be read. In modes
+        FAILFAST and DROPMALFORMED objects that cannot be read are raised or left out, as for ``reachable``."""
+        mode = self.mode
+        return self._scan(lambda path, data, password: _reached_rows(path, data, password, mode), f"path string, objects array<int>, failed array<int>, error {columns.ERROR}")
+
 
 def _newest(row: list[str]) -> Column:
     return F.min_by(F.struct(*row), F.struct("rev", F.col("kind") == "c"))
@@ -298,18 +375,67 @@ def _sections(data: bytes) -> list[Section]:
     return file._read_sections()
 
 
-def _section_rows(path: str, data: bytes, password) -> Iterator[dict]:
+def _section_rows(path: str, data: bytes, password, trailers: bool = True) -> Iterator[tuple]:
     try:
         found = _sections(data)
     except Exception as e:  # noqa: BLE001
-        yield {"path": path, "error": _whole(e)}
+        yield (path, *(None,) * 6, _whole(e))
         return
     seen: set[int] = set()
     for s in found:
-        entries = [{"obj_num": e.num, "gen_num": e.gen, "kind": e.kind, "offset": e.offset, "objstm_num": e.objstm, "idx": e.idx, "live": e.num not in seen and e.kind != "f"} for e in s.entries]
+        entries = [(e.num, e.gen, e.kind, e.offset, e.objstm, e.idx, e.num not in seen and e.kind != "f") for e in s.entries]
         seen.update(e.num for e in s.entries)
-        trailer = [{"key": k, "tag": tag_of(v), "json": json.dumps(to_plain(v))} for k, v in s.trailer.items()]
-        yield {"path": path, "rev": s.rev, "pos": s.pos, "kind": s.kind, "prev": s.prev, "trailer": trailer, "entries": entries}
+        trailer = [(k, tag_of(v), json.dumps(to_plain(v))) for k, v in s.trailer.items()] if trailers else None
+        yield (path, s.rev, s.pos, s.kind, s.prev, trailer, entries, None)
+
+
+def _entry_rows(path: str, data: bytes, live: bool) -> Iterator[tuple]:
+    try:
+        found = _sections(data)
+    except Exception as e:  # noqa: BLE001
+        yield (path, *(None,) * 8, _whole(e))
+        return
+    seen: set[int] = set()
+    for s in found:
+        for e in s.entries:
+            now = e.kind != "f" and e.num not in seen
+            if now or not live:
+                yield (path, s.rev, e.num, e.gen, e.kind, e.offset, e.objstm, e.idx, now, None)
+        seen.update([e.num for e in s.entries])
+
+
+def _line(e: Entry) -> tuple[int, int, str]:
+    """Part, number and text of an entry."""
+    if e.kind == "n":
+        return 0, e.num, f"{e.num} {e.gen} at {e.offset}"
+    if e.kind == "f":
+        return 1, e.num, f"{e.num} {e.gen} free"
+    return 2, e.num, f"{e.num} {e.gen} in object stream {e.objstm} at {e.idx}"
+
+
+def _listing_rows(path: str, data: bytes, password) -> Iterator[tuple]:
+    try:
+        found = _sections(data)
+    except Exception as e:  # noqa: BLE001
+        yield (path, *(None,) * 4, _whole(e))
+        return
+    for s in found:
+        for line in sorted(map(_line, s.entries)):
+            yield (path, s.rev, *line, None)
+
+
+def _trailer_rows(path: str, data: bytes, wanted: frozenset[str] | None) -> Iterator[tuple]:
+    try:
+        found = _sections(data)
+    except Exception as e:  # noqa: BLE001
+        yield (path, *(None,) * 3, _whole(e))
+        return
+    newest: dict[str, object] = {}
+    for s in found:
+        newest = s.trailer | newest
+    for k, v in newest.items():
+        if wanted is None or k in wanted:
+            yield (path, k, tag_of(v), str(v) if type(v) is int else json.dumps(to_plain(v)), None)
 
 
 def _freed_rows(path: str, data: bytes, password) -> Iterator[dict]:
@@ -393,40 +519,93 @@ def _node_rows(path: str, data: bytes, password, wanted: frozenset[int] | None)
             yield (*head, *n, None)
 
 
-def _refs(value: object) -> Iterator[Ref]:
+def _refs(value: object) -> list[Ref]:
     """All references inside a value."""
-    todo = [value]
+    out, todo = [], [value]
     while todo:
         v = todo.pop()
-        if isinstance(v, Ref):
-            yield v
-        elif isinstance(v, Stream):
-            todo += v.entries.values()
-        elif isinstance(v, dict):
+        kind = type(v)
+        if kind is Ref:
+            out.append(v)
+        elif kind is dict:
             todo += v.values()
-        elif isinstance(v, list):
+        elif kind is list:
             todo += v
+        elif kind is Stream:
+            todo += v.entries.values()
+    return out
 
 
-def _reachable_rows(path: str, data: bytes, password) -> Iterator[dict]:
-    file, error = _open(path, data, password)
-    if file is None:
-        yield {"path": path, "error": error}
-        return
-    todo = [r for s in file.sections for v in s.trailer.values() for r in _refs(v)]
+def _walk(file: PdfFile) -> Iterator[tuple[int, dict | None]]:
+    """Numbers of all objects that the trailers lead to, each with the error that reading it gave."""
+    todo = [r for s in file.sections for r in _refs(s.trailer)]
     seen: set[int] = set()
     while todo:
         ref = todo.pop()
+        if ref.num in seen:
+            continue
         status, e = file.find(ref)
-        if ref.num in seen or status != "found":
+        if status != "found":
             continue
         seen.add(ref.num)
-        row = {"path": path, "obj_num": ref.num}
+        error = None
         try:
             todo += _refs(file.read(e))
         except Exception as x:  # noqa: BLE001
-            row["error"] = _whole(x)
-        yield row
+            error = _whole(x)
+        yield ref.num, error
+
+
+def _reachable_rows(path: str, data: bytes, password) -> Iterator[tuple]:
+    file, error = _open(path, data, password)
+    if file is None:
+        yield (path, None, error)
+        return
+    yield from ((path, num, error) for num, error in _walk(file))
+
+
+def _reached_rows(path: str, data: bytes, password, mode: str) -> Iterator[tuple]:
+    file, error = _open(path, data, password)
+    if file is None:
+        yield (path, None, None, error)
+        return
+    objects, failed = [], []
+    for num, error in _walk(file):
+        if error is not None:
+            if mode == "FAILFAST":
+                yield (path, None, None, error)
+            if mode == "DROPMALFORMED":
+                continue
+            failed.append(num)
+        objects.append(num)
+    yield (path, objects, failed, None)
+
+
+def _stream_rows(path: str, data: bytes, password, wanted: frozenset[int] | None, known: dict) -> Iterator[tuple[int | None, bytes | None, dict | None, bool]]:
+    """Number, decoded bytes, error, and whether the object could be read, of every stream."""
+    file, error = _open(path, data, password)
+    if file is None:
+        yield None, None, error, False
+        return
+    numbers = file.latest.keys() if wanted is None else wanted & file.latest.keys()
+    for n in sorted(numbers):
+        e = file.latest[n]
+        if e.kind == "f":
+            continue
+        try:
+            value = file.read(e)
+            if not isinstance(value, Stream):
+                continue
+            names, parms = file.filters_of(value.entries)
+            method, key = file.cipher_of(value, e.num, e.gen)
+        except Exception as x:  # noqa: BLE001
+            yield n, None, _whole(x), False
+            continue
+        try:
+            content, error = filters.decode(ciphers.decrypt(method, key, value.raw), names, parms, known), None
+        except PDFError as x:
+            content, error = None, columns.error_row(x)
+        yield n, content, error, True
 
 
 def _content_rows(path: str, data: bytes, password, known: dict) -> Iterator[dict]:
